@@ -12,6 +12,15 @@ from claimweave.functions import fixed_values as V
 PROTECTED_DOT = "<DOT>"
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once per row.
+
+    An array of one element and a lambda over it: inside nested lambdas the bound variable is
+    read, not recomputed, and the body stays out of generated code that would outgrow its limit.
+    """
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
 def norm_match(c: Column | str) -> Column:
     """Lower case, whitespace collapsed, punctuation stripped (letters of any script kept)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -106,18 +115,25 @@ def false_negative(c: Column | str) -> Column:
     return c.rlike(strong) & ~c.rlike(negated)
 
 
+def _grams(items: Column, k: int, sep: str) -> Column:
+    """k consecutive items joined, at every position of an already bound array."""
+    join = lambda i: F.concat_ws(sep, *[F.get(items, i + d) for d in range(k)])
+    last = F.size(items) - k
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), join))
+
+
 def shingles(c: Column | str, k: int = 5) -> Column:
     """Distinct word k-grams of the ASCII-normalised text (the whole text when shorter)."""
-    ws = F.split(norm_ascii(c), " ")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - (k - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(ws, i, k), " ")))
+    whole = norm_ascii(c)
+    grams = bind(F.split(whole, " "), lambda w: _grams(w, k, " "))
+    return F.array_distinct(F.coalesce(grams, F.array(whole)))
 
 
 def char_ngrams(c: Column | str, n: int) -> Column:
-    """All character n-grams of a string, in order."""
+    """All character n-grams of a string, in order; empty when it is shorter."""
     c = F.col(c) if isinstance(c, str) else c
-    starts = F.when(F.length(c) >= n, F.sequence(F.lit(1), F.length(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substr(c, i, F.lit(n)))
+    grams = bind(F.filter(F.split(c, ""), lambda x: x != ""), lambda chars: _grams(chars, n, ""))
+    return F.coalesce(grams, F.array().cast("array<string>"))
 
 
 def any_of(patterns: list[str], flags: str = "") -> str:
@@ -131,9 +147,9 @@ def contains_any(c: Column, stems: list[str]) -> Column:
 
 def count_patterns(c: Column, patterns: list[str], flags: str = "") -> Column:
     """How many of the patterns occur at least once; texts without any are settled by one scan."""
-    each = reduce(lambda a, b: a + b, [c.rlike(flags + p).cast("int") for p in patterns])
+    each = bind(c, lambda t: reduce(lambda a, b: a + b, [t.rlike(flags + p).cast("int") for p in patterns]))
     return F.when(c.rlike(any_of(patterns, flags)), each).otherwise(F.lit(0))
 
 
 def count_stems(c: Column, stems: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [c.contains(s).cast("int") for s in stems])
+    return bind(c, lambda t: reduce(lambda a, b: a + b, [t.contains(s).cast("int") for s in stems]))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.plans.registry import QUERIES, Query
 
-MODULES = ["flagship"]
+MODULES = ["flagship", "scalar", "sources"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -11,12 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import sentences_of
+from claimweave.session import broadcast_if_small
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy per-row work when a table arrives in fewer pieces than there are cores.
+
+    Large inputs already come in many splits and are left alone, so no shuffle is added for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 TYPES = [
     "preysOn", "parasiteOf", "endoparasiteOf", "pathogenOf", "vectorOf",
     "pollinates", "grazesOn", "symbioticWith", "interactsWith", "hasHost",
@@ -44,11 +54,12 @@ def letters(col):
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """One statement per order line; dimension sides are joined by key and sized by the optimiser."""
-    line = load(spark, sf, "lineitem")
-    sup = load(spark, sf, "supplier").join(
-        load(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
-    )
-    part = load(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    line = spread(load(spark, sf, "lineitem").drop("l_extendedprice", "l_tax", "l_linestatus"))
+    supplier, nation = load(spark, sf, "supplier"), load(spark, sf, "nation")
+    sup = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    sup = broadcast_if_small(sup.select("s_suppkey", "s_nationkey", "n_regionkey"), [supplier, nation])
+    part = load(spark, sf, "part")
+    part = broadcast_if_small(part.select("p_partkey", "p_name"), [part])
     j = line.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     kind = (F.col("l_partkey") + F.col("l_suppkey")) % 10
     j = j.select(
@@ -112,7 +123,7 @@ FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS c
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     """Every document split into sentences longer than 10 characters."""
-    docs = load(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
     return sentences_of(docs, "text", keep=["doc_id", "lang", "source"])
 
 
@@ -127,7 +138,7 @@ WHERE length(trim(parts[i])) > 10)"""
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, pos, token) over whole documents; tokens are runs of ASCII letters and digits."""
-    docs = load(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return docs.select(
         "doc_id", F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).alias("pos", "token")
     )
@@ -168,7 +179,7 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     """Reads per (sample, species): customer × part name."""
     orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
     line = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    part = load(spark, sf, "part").select("p_partkey", "p_name")
+    part = broadcast_if_small(load(spark, sf, "part").select("p_partkey", "p_name"))
     return (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))

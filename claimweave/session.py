@@ -6,8 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 16 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,13 +55,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan."""
+    """Catalyst's size estimate of a plan (for a scan: bytes on storage)."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast hint only when the estimated size is below the limit; otherwise the plan decides."""
-    from pyspark.sql import functions as F
+def broadcast_if_small(df: DataFrame, inputs: list[DataFrame] | None = None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+    """Broadcast hint only when the measured size is below the limit; beyond it the plan shuffles.
 
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    ``inputs`` names the scans that bound the result (a key join cannot outgrow them), because the
+    estimate of a join multiplies its sides.
+    """
+    size = sum(plan_bytes(x) for x in inputs) if inputs else plan_bytes(df)
+    return F.broadcast(df) if size <= limit else df
