@@ -699,3 +699,12 @@ ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 FUZZY_MIN_SIMILARITY, FUZZY_MIN_LENGTH = 0.90, 8
 KINGDOM_RANKS = ["kingdom", "domain", "superkingdom"]
+
+# --- Fixed values: co-listed taxa -----------------------------------------------------------------------------
+LIST_SPAN_MAX = 80
+LIST_BREAKERS = (
+    "of in on by with from to as that which for is are was were be been being has have had "
+    "infect infects infected infecting parasit parasite preys prey predator transmit transmits host hosts "
+    "causes cause caused associated feeding feeds pollinat symbio vector isolated found during after before "
+    "between within than such including like against via through"
+).split()
