@@ -18,21 +18,18 @@ def token_grams(text: Column, max_words: int) -> Column:
     """Array of (start, len, gram) for all runs of 1..max_words tokens of a text."""
     toks = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
+    none = F.array().cast("array<struct<start:int,len:int,gram:string>>")
+
+    def runs_of(ws: Column, k: int) -> Column:
+        def run(i: Column) -> Column:
+            gram = F.concat_ws(" ", *[F.get(ws, i + d) for d in range(k)])
+            return F.struct(i.alias("start"), F.lit(k).alias("len"), gram.alias("gram"))
+
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ws) - k))
+        return F.when(F.size(ws) >= k, F.transform(starts, run)).otherwise(none)
+
     def runs(ws: Column) -> Column:
-        n = F.size(ws)
-        sizes = []
-        for k in range(1, max_words + 1):
-            join = lambda i, k=k: F.concat_ws(" ", *[F.get(ws, i + d) for d in range(k)])
-            sizes.append(
-                F.when(
-                    n >= k,
-                    F.transform(
-                        F.sequence(F.lit(0), F.greatest(F.lit(0), n - k)),
-                        lambda i, k=k, join=join: F.struct(i.alias("start"), F.lit(k).alias("len"), join(i).alias("gram")),
-                    ),
-                ).otherwise(F.array().cast("array<struct<start:int,len:int,gram:string>>"))
-            )
-        return F.concat(*sizes)
+        return F.concat(*[runs_of(ws, k) for k in range(1, max_words + 1)])
 
     return bind(toks, runs)
 
