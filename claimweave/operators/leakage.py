@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import norm_ascii, shingles, words
+from claimweave.session import broadcast_if_small, stage
 
 
 def collapse_copies(df: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -57,17 +58,19 @@ def near_duplicates(test: DataFrame, train: DataFrame, test_id: str, train_id: s
     """Best training match of each test row with TF-IDF cosine above ``threshold``.
 
     Exact candidate selection: of a unit test vector keep its rarest grams until the rest has a norm
-    below the threshold; a document without any of those grams cannot reach it. Only candidate
-    pairs are scored.
+    below the threshold; a document without any of those grams cannot reach it and is dropped before
+    scoring. The test vectors are broadcast while small, so a document is scored where its grams are
+    and only (test, document) sums are shuffled. Gram tables are written once to the shared folder: they feed several joins.
     """
     t = collapse_copies(test, test_id, F.col(text)).withColumnRenamed("form", text)
     d = collapse_copies(train, train_id, F.col(text)).withColumnRenamed("form", text)
-    tg, dg = gram_counts(t, test_id, text), gram_counts(d, train_id, text)
+    tg, dg = stage(gram_counts(t, test_id, text), "test-grams"), stage(gram_counts(d, train_id, text), "train-grams")
     df_t = tg.join(t.select(test_id, "copies"), test_id).groupBy("gram").agg(F.sum("copies").alias("c"))
     df_d = dg.join(d.select(train_id, "copies"), train_id).groupBy("gram").agg(F.sum("copies").alias("c"))
     df = df_t.unionByName(df_d).groupBy("gram").agg(F.sum("c").alias("df"))
     total = test.agg(F.count("*")).scalar() + train.agg(F.count("*")).scalar()
     idf = df.select("gram", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = stage(idf, "gram-idf")
     tw, dw = (x.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf")) for x in (tg, dg))
     tn = tw.groupBy(test_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     dn = dw.groupBy(train_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
@@ -81,10 +84,10 @@ def near_duplicates(test: DataFrame, train: DataFrame, test_id: str, train_id: s
         ),
     )
     probes = packed.select(test_id, F.explode(keep["grams"]).alias("gram"))
-    candidates = probes.join(dg.select(train_id, "gram"), "gram").select(test_id, train_id).distinct()
+    reachable = dg.join(probes.select("gram").distinct(), "gram", "left_semi").select(train_id).distinct()
     dot = (
-        candidates.join(tu.select(test_id, "gram", "wt"), test_id)
-        .join(dw.select(train_id, "gram", F.col("w").alias("wd")), [train_id, "gram"])
+        dw.join(reachable, train_id, "left_semi").select(train_id, "gram", F.col("w").alias("wd"))
+        .join(broadcast_if_small(stage(tu.select(test_id, "gram", "wt"), "test-vectors")), "gram")
         .groupBy(test_id, train_id).agg(F.sum(F.col("wt") * F.col("wd")).alias("dot"))
     )
     sims = dot.join(dn, train_id).withColumn("similarity", F.round(F.col("dot") / F.col("d_norm"), 4)).where(F.col("similarity") > threshold)

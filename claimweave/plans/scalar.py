@@ -17,7 +17,7 @@ from claimweave.plans.sqltext import (
 from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, claims, load, scored, sentences
 
 LEX = f"""lex0 AS (SELECT *, lower(text) AS low FROM claims),
-lex1 AS (SELECT *, {count_sql("low", V.STRONG_TERMS)} AS lex_strong, {count_sql("low", V.WEAK_TERMS)} AS lex_weak,
+lex1 AS MATERIALIZED (SELECT *, {count_sql("low", V.STRONG_TERMS)} AS lex_strong, {count_sql("low", V.WEAK_TERMS)} AS lex_weak,
   {any_sql("low", V.LEXICON_NEGATION)} AS lex_negated, {count_sql("low", V.LEXICON_METHOD)} AS lex_method FROM lex0),
 lex2 AS (SELECT *, least(CAST(1.0 AS DOUBLE), lex_strong * CAST(0.40 AS DOUBLE) + lex_weak * CAST(0.15 AS DOUBLE)) AS base FROM lex1),
 lex3 AS (SELECT *, CASE WHEN lex_negated THEN base * CAST(0.35 AS DOUBLE) ELSE base END AS damped FROM lex2),
