@@ -708,3 +708,12 @@ LIST_BREAKERS = (
     "causes cause caused associated feeding feeds pollinat symbio vector isolated found during after before "
     "between within than such including like against via through"
 ).split()
+
+# --- Fixed values: document trust ---------------------------------------------------------------------------------
+DOCUMENT_WEIGHTS = {
+    "self_retraction": 0.35,
+    "self_temporal": 0.15,
+    "foundation_retraction": 0.30,
+    "foundation_temporal": 0.20,
+}
+RETRACTED_CAP, RETRACTED_SLOPE, NEUTRAL_FOUNDATION, OLD_BASE_AGE, RECENT_AGE = 0.15, 6.0, 0.5, 25, 10

@@ -333,7 +333,7 @@ def band_cut(df, col: str, share: float):
 
 @query(
     "win_17_weight_grid",
-    f"""WITH {SCORED}, w AS (SELECT unnest([0.3, 0.5, 0.7]) AS w), s AS (SELECT w, round(w * score + (1 - w) * score_b, 2) AS m, label FROM scored, w), g AS (SELECT w, m AS score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM s GROUP BY ALL),
+    f"""WITH {SCORED}, w AS (SELECT unnest([CAST(0.3 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.7 AS DOUBLE)]) AS w), s AS (SELECT w, round(w * score + (1 - w) * score_b, 2) AS m, label FROM scored, w), g AS (SELECT w, m AS score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM s GROUP BY ALL),
  c AS (SELECT *, sum(pos) OVER (PARTITION BY w ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY w ORDER BY score DESC) AS cn, sum(pos) OVER (PARTITION BY w) AS np FROM g), f AS (SELECT w, score, round(2 * cp / CAST(cp + cn + np AS DOUBLE), 9) AS f FROM c)
  SELECT CAST(w AS DOUBLE) AS weight, score AS threshold, round(f, 6) AS f1 FROM f QUALIFY row_number() OVER (PARTITION BY w ORDER BY f DESC, score) = 1""",
 )
@@ -347,14 +347,14 @@ def weight_grid(spark, sf):
 @query(
     "mth_06_score_pooling",
     f"""WITH {SCORED}, p AS (SELECT item_id, [score, score_b, round(score * score_b, 6), round((score + score_b) / 2, 6)] AS v FROM scored)
- SELECT item_id, list_max(v) AS top, round(list_sum(list_reverse_sort(v)[1:3]) / 3, 6) AS top3, round(list_sum(v) / 4, 6) AS mean, round(len(list_filter(v, lambda x: x > 0.5)) / CAST(4 AS DOUBLE), 6) AS share_positive FROM p""",
+ SELECT item_id, list_max(v) AS top, round(list_sum(list_reverse_sort(v)[1:3]) / 3, 6) AS top3, round(list_sum(v) / 4, 8) AS mean, round(len(list_filter(v, lambda x: x > 0.5)) / CAST(4 AS DOUBLE), 6) AS share_positive FROM p""",
 )
 def score_pooling(spark, sf):
     v = F.array("score", "score_b", F.round(F.col("score") * F.col("score_b"), 6), F.round((F.col("score") + F.col("score_b")) / 2, 6))
     p = scored(spark, sf).select("item_id", v.alias("v"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     return p.select(
-        "item_id", F.array_max("v").alias("top"), F.round(total(F.slice(F.sort_array("v", asc=False), 1, 3)) / 3, 6).alias("top3"), F.round(total(F.col("v")) / 4, 6).alias("mean"),
+        "item_id", F.array_max("v").alias("top"), F.round(total(F.slice(F.sort_array("v", asc=False), 1, 3)) / 3, 6).alias("top3"), F.round(total(F.col("v")) / 4, 8).alias("mean"),
         F.round(F.size(F.filter("v", lambda x: x > 0.5)) / 4.0, 6).alias("share_positive"),
     )
 
