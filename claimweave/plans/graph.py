@@ -250,8 +250,8 @@ def partner_support(spark, sf):
 
 @query(
     "mth_04_coherence_surprise",
-    f"""WITH {SAMPLES}, {KNOWN_PAIRS}, {SCORES}, n AS (SELECT sample_id, count(*) AS n FROM samples GROUP BY 1), u AS (SELECT count(*) AS pop FROM deg),
- t AS (SELECT f.sample_id, f.species, k, degree AS bk, n, pop, unnest(range(k, greatest(k, least(degree, least(n, pop))) + 1)) AS i FROM fall f JOIN deg ON deg.n = f.species JOIN n USING (sample_id), u),
+    f"""WITH {SAMPLES}, {KNOWN_PAIRS}, {SCORES}, sizes AS (SELECT sample_id, count(*) AS size FROM samples GROUP BY 1), u AS (SELECT count(*) AS pop FROM deg),
+ t AS (SELECT f.sample_id, f.species, k, degree AS bk, size AS n, pop, unnest(range(k, greatest(k, least(degree, least(size, pop))) + 1)) AS i FROM fall f JOIN deg ON deg.n = f.species JOIN sizes USING (sample_id), u),
  lc AS (SELECT *, lgamma(CAST(bk + 1 AS DOUBLE)) - lgamma(CAST(i + 1 AS DOUBLE)) - lgamma(CAST(bk - i + 1 AS DOUBLE)) AS c1, CASE WHEN least(n, pop) - i <= pop - bk THEN lgamma(CAST(pop - bk + 1 AS DOUBLE)) - lgamma(CAST(least(n, pop) - i + 1 AS DOUBLE)) - lgamma(CAST(pop - bk - least(n, pop) + i + 1 AS DOUBLE)) END AS c2,
    lgamma(CAST(pop + 1 AS DOUBLE)) - lgamma(CAST(least(n, pop) + 1 AS DOUBLE)) - lgamma(CAST(pop - least(n, pop) + 1 AS DOUBLE)) AS c3 FROM t)
  SELECT sample_id, species, round(-log10(greatest(sum(CASE WHEN c2 IS NOT NULL THEN exp(c1 + c2 - c3) ELSE 0 END), 1e-300)) + 0.0, 5) AS surprise FROM lc GROUP BY ALL""",
@@ -265,12 +265,12 @@ def coherence_surprise(spark, sf):
     return j.select("sample_id", "species", F.round(M.hypergeom_surprise(F.col("k"), F.col("degree"), F.least("n", "pop"), F.col("pop")), 5).alias("surprise"))
 
 
-RERANKED = f"""{SAMPLES}, {KNOWN_PAIRS}, {SCORES}, fin AS (SELECT s.sample_id, s.species, reads, coalesce(coherence, 0) AS coherence, round(reads * (1 + CAST(0.5 AS DOUBLE) * coalesce(coherence, 0)), 4) AS final_score FROM samples s LEFT JOIN coh c ON c.sample_id = s.sample_id AND c.species = s.species),
+RERANKED = f"""{SAMPLES}, {KNOWN_PAIRS}, {SCORES}, fin AS (SELECT s.sample_id, s.species, reads, coalesce(coherence, 0) AS coherence, round(reads * (1 + coalesce(coherence, 0)), 4) AS final_score FROM samples s LEFT JOIN coh c ON c.sample_id = s.sample_id AND c.species = s.species),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY reads DESC, species) AS original_rank, row_number() OVER (PARTITION BY sample_id ORDER BY final_score DESC, species) AS new_rank FROM fin)"""
 
 
 def reranked(spark, sf):
-    return RR.rerank(samples(spark, sf), coherence(spark, sf).select("sample_id", "species", "coherence"), 0.5)
+    return RR.rerank(samples(spark, sf), coherence(spark, sf).select("sample_id", "species", "coherence"), 1.0)
 
 
 @query("win_03_rerank_samples", f"WITH {RERANKED} SELECT sample_id, species, reads, final_score, CAST(original_rank AS INTEGER) AS original_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(original_rank - new_rank AS INTEGER) AS delta_rank FROM reranked")
