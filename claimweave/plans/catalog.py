@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.plans.registry import QUERIES, Query
 
-MODULES = ["flagship", "scalar", "sources", "filters", "joins", "aggregates", "evaluation", "windows", "sampling", "graph", "trust", "composites"]
+MODULES = ["flagship", "scalar", "sources", "filters", "joins", "aggregates", "evaluation", "windows", "sampling", "graph", "trust", "composites", "streams"]
 
 
 def all_queries() -> dict[str, Query]:
