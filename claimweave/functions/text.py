@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -145,10 +146,52 @@ def contains_any(c: Column, stems: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [c.contains(s) for s in stems])
 
 
-def count_patterns(c: Column, patterns: list[str], flags: str = "") -> Column:
-    """How many of the patterns occur at least once; texts without any are settled by one scan."""
-    each = bind(c, lambda t: reduce(lambda a, b: a + b, [t.rlike(flags + p).cast("int") for p in patterns]))
-    return F.when(c.rlike(any_of(patterns, flags)), each).otherwise(F.lit(0))
+def leading_literal(pattern: str) -> str:
+    """Letters every match of a pattern must begin with ("" when there are fewer than three)."""
+    m = re.match(r"\\b([a-z]+)", pattern)
+    if m is None or "|" in re.sub(r"\([^()]*\)", "", pattern):
+        return ""
+    letters = m.group(1)
+    if pattern[m.end() : m.end() + 1] in ("?", "*", "{"):
+        letters = letters[:-1]
+    return letters if len(letters) >= 3 else ""
+
+
+def _by_literal(patterns: list[str]) -> dict[str, list[str]]:
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        groups.setdefault(leading_literal(p), []).append(p)
+    return groups
+
+
+def count_patterns(lowered: Column, patterns: list[str]) -> Column:
+    """How many of the patterns occur at least once in a lower-cased text.
+
+    A plain substring test on the letters a pattern begins with comes first; the regular expression runs
+    only where it can match.
+    """
+
+    def count(t: Column) -> Column:
+        parts = []
+        for literal, group in _by_literal(patterns).items():
+            n = reduce(lambda a, b: a + b, [t.rlike(p).cast("int") for p in group])
+            parts.append(F.when(t.contains(literal), n).otherwise(F.lit(0)) if literal else n)
+        return reduce(lambda a, b: a + b, parts)
+
+    return bind(lowered, count)
+
+
+def has_pattern(lowered: Column, patterns: list[str]) -> Column:
+    """Whether any pattern occurs in a lower-cased text, with the same cheap test first."""
+
+    def test(t: Column) -> Column:
+        parts = []
+        for literal, group in _by_literal(patterns).items():
+            hit = t.rlike(any_of(group))
+            parts.append(t.contains(literal) & hit if literal else hit)
+        return reduce(lambda a, b: a | b, parts)
+
+    return bind(lowered, test)
 
 
 def count_stems(c: Column, stems: list[str]) -> Column:

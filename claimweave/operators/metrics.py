@@ -45,12 +45,10 @@ def rates(c: DataFrame, digits: int = 6) -> DataFrame:
 def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Score groups with totals above and through each score."""
     g = running_totals(score_groups(df, by, score, label), by, "score", ["pos", "neg"])
-    totals = g.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")) if by else g.agg(
-        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")
-    )
-    if by:
-        return g.join(totals, by)
-    return g.join(totals.withColumn("_one", F.lit(1)), F.lit(1) == F.col("_one")).drop("_one")
+    if not by:
+        n = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+        return g.withColumns({"n_pos": n.select("p").scalar(), "n_neg": n.select("n").scalar()})
+    return g.join(g.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")), by)
 
 
 def auc_ap(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:

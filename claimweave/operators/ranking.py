@@ -50,3 +50,20 @@ def top_n(df: DataFrame, by: list[str], order: list[Column | str], n: int, name:
     """First ``n`` rows per group. A fixed ``n`` lets Spark keep only n rows per group before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+
+
+def grouped_median(df: DataFrame, by: list[str], value: str, buckets: int = 1024) -> DataFrame:
+    """Exact median per group without holding a group in one task.
+
+    Values are counted, placed in value-range buckets, and only the position inside a bucket is sorted.
+    """
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    ends = h.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
+    v, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
+    b = h.join(ends, by).withColumn("_b", F.when(hi > lo, F.floor((v - lo) / (hi - lo) * (buckets - 1))).otherwise(0))
+    w = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    c = b.withColumn("_c", F.sum("n").over(w)).join(_offsets(b, by, {"n": F.sum("n")}), [*by, "_b"])
+    through = F.col("_c") + F.col("_o_n")
+    first, second = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    low, high = F.min(F.when(through >= first, v)), F.min(F.when(through >= second, v))
+    return c.groupBy(*by).agg(((low + high) / 2).alias("median"))

@@ -35,8 +35,9 @@ def deletion_forms(c: Column, edits: int) -> Column:
 def fuzzy_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
     """Pairs (query, name_norm, id, is_syn) in one 3-letter block with similarity ≥ the fixed minimum.
 
-    Up to 29 characters the minimum allows at most two edits: join on deletion forms (exact). Longer
-    names allow more edits; there the block plus a length band is joined directly.
+    Up to 29 characters the minimum allows at most two edits: join on deletion forms. Longer names allow
+    e more edits: cut into e + 1 pieces, one piece of a partner stands unchanged within e places, so the
+    join runs on (block, length, piece). Both are exact; no block is compared with itself.
     """
     q = queries.select("query", F.substring("query", 1, 3).alias("prefix3")).where(F.length("query") >= V.FUZZY_MIN_LENGTH)
     n = names.select("name_norm", "id", "is_syn", "prefix3")
@@ -47,15 +48,20 @@ def fuzzy_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
         .join(n.where(F.length("name_norm") <= limit).select("*", form("name_norm")), ["prefix3", "form"])
         .drop("form").distinct()
     )
+    low, high = V.FUZZY_MIN_SIMILARITY, 1 / V.FUZZY_MIN_SIMILARITY
+    edits = lambda n_: F.floor(n_ * (high - 1)).cast("int")  # noqa: E731  most edits any partner of that length allows
+    long_n = n.where(F.length("name_norm") > limit * low).withColumn("len_n", F.length("name_norm"))
+    width = (F.col("len_n") / (edits(F.col("len_n")) + 1)).cast("int")
+    piece = lambda i: F.substr("name_norm", i * width + 1, width)
+    long_n = long_n.select("*", F.posexplode(F.transform(F.sequence(F.lit(0), edits(F.col("len_n"))), piece)).alias("part", "piece"))
     long_q = q.withColumn("len_q", F.length("query"))
-    long_n = n.withColumn("len_n", F.length("name_norm")).where(F.col("len_n") > limit * V.FUZZY_MIN_SIMILARITY)
-    band = F.sequence(F.ceil(F.col("len_q") * V.FUZZY_MIN_SIMILARITY).cast("int"), F.floor(F.col("len_q") / V.FUZZY_MIN_SIMILARITY).cast("int"))
-    long = (
-        long_q.select("query", "prefix3", "len_q", F.explode(band).alias("len_n"))
-        .where(F.greatest("len_q", "len_n") > limit)
-        .join(long_n, ["prefix3", "len_n"])
-        .select("query", "prefix3", "name_norm", "id", "is_syn")
-    )
+    band = F.sequence(F.ceil(F.col("len_q") * low).cast("int"), F.floor(F.col("len_q") * high).cast("int"))
+    long_q = long_q.select("query", "prefix3", "len_q", F.explode(band).alias("len_n")).where(F.greatest("len_q", "len_n") > limit)
+    long_q = long_q.select("*", F.explode(F.sequence(F.lit(0), edits(F.col("len_n")))).alias("part"))
+    shifts = F.sequence(-edits(F.col("len_n")), edits(F.col("len_n")))
+    long_q = long_q.withColumn("start", F.explode(F.transform(shifts, lambda d: F.col("part") * width + 1 + d))).where(F.col("start") >= 1)
+    long_q = long_q.withColumn("piece", F.substr("query", F.col("start"), width)).drop("start").distinct()
+    long = long_q.join(long_n, ["prefix3", "len_n", "part", "piece"]).select("query", "prefix3", "name_norm", "id", "is_syn").distinct()
     pairs = short.select("query", "prefix3", "name_norm", "id", "is_syn").unionByName(long)
     return pairs.withColumn("similarity", similarity(F.col("query"), F.col("name_norm"))).where(F.col("similarity") >= V.FUZZY_MIN_SIMILARITY - 1e-9)
 

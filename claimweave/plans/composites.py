@@ -82,7 +82,7 @@ def clade_roles(spark, sf):
     by_region = concepts.join(names, "pref").select(F.col("id").alias("ancestor"), "clade")
     by_nation = concepts.where("rank = 'genus'").where(F.substring("id", 2, 9).cast("int") % 5 == 0).select(F.col("id").alias("ancestor"), F.lit("Nematoda").alias("clade"))
     prior = spark.createDataFrame(list(V.CLADE_PRIOR.items()), "clade string, score int")
-    clades = F.broadcast(by_region.unionByName(by_nation).join(prior, "clade"))
+    clades = by_region.unionByName(by_nation).join(F.broadcast(prior), "clade")
     s = lin.join(clades, "ancestor").where(F.col("id").startswith("s")).groupBy("id").agg(F.max("score").alias("role_score"))
     return s.select("id", "role_score", R.subject_from_role(F.col("role_score"), F.lit(V.CLADE_PRIOR["Insecta"]), F.lit(1)).alias("subject"))
 
@@ -187,7 +187,7 @@ def harvest_tiers(spark, sf):
     names = s.select("claim_id", "doc_id", F.explode(F.array("source_species", "target_species")).alias("name"))
     single = names.join(one, ["doc_id", "name"], "left_semi").select("claim_id").distinct().withColumn("single", F.lit(True))
     j = s.join(both, ["doc_id", "source_species", "target_species"], "left").join(single, "claim_id", "left")
-    signal = F.lower("text").rlike(T.any_of(V.STRONG_TERMS + V.WEAK_TERMS))
+    signal = T.has_pattern(F.lower("text"), V.STRONG_TERMS + V.WEAK_TERMS)
     tier = (
         F.when(F.col("both") & signal, "positive").when(F.col("both"), "both_species").when(F.col("single"), "single_species")
         .when(F.col("text").rlike(r"[A-Z][a-z]+\s[a-z]{3,}"), "other_species").when(F.size(T.words("text")) >= 12, "no_species")

@@ -108,7 +108,7 @@ def recall_prefilter(spark, sf):
     low = F.lower("sentence")
     words = s.select("doc_id", "sent_id", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
     hits = words.join(names, "token").groupBy("doc_id", "sent_id").agg(F.lit(True).alias("by_name"))
-    flagged = s.select("doc_id", "sent_id", low.rlike(T.any_of(V.STRONG_TERMS + V.WEAK_TERMS)).alias("by_term"))
+    flagged = s.select("doc_id", "sent_id", T.has_pattern(low, V.STRONG_TERMS + V.WEAK_TERMS).alias("by_term"))
     out = flagged.join(hits, ["doc_id", "sent_id"], "left").withColumn("by_name", F.coalesce("by_name", F.lit(False)))
     return out.where(F.col("by_term") | F.col("by_name"))
 

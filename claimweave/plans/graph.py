@@ -13,6 +13,7 @@ from claimweave.plans.registry import query
 from claimweave.plans.scalar import CATEGORY_CASE
 from claimweave.plans.sqltext import list_sql, values_sql
 from claimweave.plans.tables import CLAIMS, KNOWN_PAIRS, SAMPLES, claims, known_pairs, load, samples
+from claimweave.session import broadcast_if_small
 
 
 @query(
@@ -118,7 +119,7 @@ def violations(c, rules):
     types = c.select("interaction_type").distinct()
     parts = types.select("interaction_type", F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), F.lower("interaction_type").rlike(r[1]).alias("hit")) for i, r in enumerate(RULES)])).alias("m"))
     first = parts.where("m.hit").groupBy("interaction_type").agg(F.min("m.seq").alias("seq"))
-    j = c.join(F.broadcast(first.join(rules, "seq")), "interaction_type", "left")
+    j = c.join(broadcast_if_small(first.join(rules, "seq"), [rules]), "interaction_type", "left")
     inside = lambda k: F.exists("required", lambda t: F.contains(F.lower(k), F.lower(t)))
     need = F.size("required") > 0
     banned = F.exists("forbidden", lambda t: F.contains(F.lower("source_kingdom"), F.lower(t)))
