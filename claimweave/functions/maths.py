@@ -15,10 +15,11 @@ def _col(c: Column | str) -> Column:
 
 
 def temporal_score(year: Column | str) -> Column:
-    """exp(-ln 2 / half-life · age), 0.4 for an unknown year."""
-    age = F.greatest(F.lit(0), F.lit(V.CURRENT_YEAR) - _col(year))
+    """exp(-ln 2 / half-life · age), 0.4 for an unknown year (``greatest`` alone would skip the null)."""
+    year = _col(year)
+    age = F.greatest(F.lit(0), F.lit(V.CURRENT_YEAR) - year)
     decayed = F.round(F.exp(age * F.lit(-math.log(2) / V.HALF_LIFE_YEARS)), 4)
-    return F.coalesce(decayed, F.lit(V.UNKNOWN_YEAR_SCORE))
+    return F.when(year.isNull(), V.UNKNOWN_YEAR_SCORE).otherwise(decayed)
 
 
 def fuse(p: Column, q: Column) -> dict[str, Column]:

@@ -159,11 +159,14 @@ def contradiction_risk(spark, sf):
     return with_risk(c).select("claim_id", "n_pos", "n_neg", "negated", "risk", "conflict")
 
 
-def with_risk(c):
+def with_risk(c, index=None):
+    """Claims with the risk of their pair in ``index`` (by default the index of the claims themselves)."""
     key = [F.lower("source_species").alias("a"), F.lower("target_species").alias("b"), F.col("interaction_type").alias("t")]
-    q = c.select("*", *key, E.is_negated("text").alias("negated")).join(contradiction_index(c), ["a", "b", "t"], "left").drop("a", "b", "t")
-    known = F.when(F.col("negated"), F.least(F.lit(1.0), F.col("base") + 0.3)).otherwise(F.col("base"))
-    risk = F.coalesce(known, F.when(F.col("negated"), 0.1).otherwise(0.0))
+    q = c.select("*", *key, E.is_negated("text").alias("negated")).join(contradiction_index(c) if index is None else index, ["a", "b", "t"], "left").drop("a", "b", "t")
+    unknown, negated = F.col("base").isNull(), F.col("negated")
+    risk = (
+        F.when(unknown & negated, 0.1).when(unknown, 0.0).when(negated, F.least(F.lit(1.0), F.col("base") + 0.3)).otherwise(F.col("base"))
+    )
     return q.withColumns({"risk": F.round(risk, 3), "conflict": F.col("base").isNotNull() & (F.round(risk, 9) > 0.3)}).drop("base")
 
 

@@ -666,7 +666,7 @@ def pair_position(spark, sf):
 @query(
     "mth_01_temporal_decay",
     f"""WITH {CLAIMS}, y AS (SELECT claim_id, CASE WHEN reads % 10 = 0 THEN NULL ELSE pub_year END AS y FROM claims)
- SELECT claim_id, coalesce(round(exp(-(ln(2) / 15) * greatest(0, 2026 - y)), 4), CAST(0.4 AS DOUBLE)) AS temporal FROM y""",
+ SELECT claim_id, CASE WHEN y IS NULL THEN CAST(0.4 AS DOUBLE) ELSE round(exp(-(ln(2) / 15) * greatest(0, 2026 - y)), 4) END AS temporal FROM y""",
 )
 def temporal_decay(spark, sf):
     year = F.when(F.col("reads") % 10 != 0, F.col("pub_year"))
