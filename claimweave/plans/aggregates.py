@@ -377,7 +377,7 @@ def majority_vote(spark, sf):
  s AS (SELECT event_type AS source, count(*) AS n, count(*) FILTER (WHERE lab = 1) AS n_pos, round(avg(lab), 6) AS pos_rate FROM d GROUP BY 1),
  l AS (SELECT item, author, event_type, lab FROM d QUALIFY row_number() OVER (PARTITION BY item, author, event_type ORDER BY event_id DESC) = 1),
  a AS (SELECT event_type AS source, item, count(*) AS k, sum(lab) AS p FROM l GROUP BY 1, 2)
- SELECT source, n, n_pos, pos_rate, CAST(sum(k * (k - 1) / 2) AS BIGINT) AS n_author_pairs, round(sum(p * (p - 1) / 2 + (k - p) * (k - p - 1) / 2) / CAST(sum(k * (k - 1) / 2) AS DOUBLE), 6) AS agreement FROM s JOIN a USING (source) GROUP BY ALL""",
+ SELECT source, n, n_pos, pos_rate, CAST(sum(k * (k - 1) / 2) AS BIGINT) AS n_author_pairs, round(sum(p * (p - 1) / 2 + (k - p) * (k - p - 1) / 2) / nullif(CAST(sum(k * (k - 1) / 2) AS DOUBLE), 0), 6) AS agreement FROM s JOIN a USING (source) GROUP BY ALL""",
 )
 def curation_statistics(spark, sf):
     """Status counts per source, and agreement over all pairs of authors of an item.
@@ -394,7 +394,7 @@ def curation_statistics(spark, sf):
     two = lambda x: x * (x - 1) / 2
     k, p = F.col("k"), F.col("p")
     g = a.groupBy("source").agg(F.sum(two(k)).alias("pairs"), F.sum(two(p) + two(k - p)).alias("same"))
-    return s.join(g, "source").select("source", "n", "n_pos", "pos_rate", F.col("pairs").cast("bigint").alias("n_author_pairs"), F.round(F.col("same") / F.col("pairs"), 6).alias("agreement"))
+    return s.join(g, "source").select("source", "n", "n_pos", "pos_rate", F.col("pairs").cast("bigint").alias("n_author_pairs"), F.round(F.try_divide("same", "pairs"), 6).alias("agreement"))
 
 
 @query(

@@ -9,7 +9,7 @@ from claimweave.functions.text import good_sentence, norm_space, sentences_of
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import LEX
 from claimweave.plans.sqltext import words_sql
-from claimweave.plans.tables import CLAIMS, claims, load
+from claimweave.plans.tables import CLAIMS, LINE_ID, claims, line_id, load, spread
 from claimweave.session import stage_path
 from claimweave.sources import readers as R
 from claimweave.sources import writers as W
@@ -236,8 +236,7 @@ def html_text(spark, sf):
 
 @query(
     "src_13_citation_passages",
-    """WITH t AS (SELECT 't' || p_partkey AS target_id, p_partkey FROM part)
- SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS doc_id, 'B1' AS rid, 't' || l_partkey AS target_id, CAST(CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS INTEGER) AS matched_by,
+    f"""SELECT {LINE_ID} AS doc_id, 'B1' AS rid, 't' || l_partkey AS target_id, CAST(CASE l_linenumber % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS INTEGER) AS matched_by,
   'Quantity ' || CAST(l_quantity AS BIGINT) || ' was reported ⟦B1⟧ in that year.' AS sentence FROM lineitem""",
 )
 def citation_passages(spark, sf):
@@ -256,8 +255,7 @@ def citation_passages(spark, sf):
         F.lit(' was reported <xref rid="B1">1</xref> in that year. Nothing else is said.</p></body><ref-list><ref id="B1">'),
         doi, F.lit("<mixed>"), mixed, F.lit("</mixed></ref></ref-list></article>"),
     )
-    doc = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    articles = load(spark, sf, "lineitem").select(doc.alias("doc_id"), xml.alias("xml"))
+    articles = spread(load(spark, sf, "lineitem")).select(line_id().alias("doc_id"), xml.alias("xml"))
     k = F.col("p_partkey").cast("string")
     targets = load(spark, sf, "part").select(
         F.concat(F.lit("t"), k).alias("target_id"), F.concat(F.lit("10.5555/P"), k).alias("doi"),

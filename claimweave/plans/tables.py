@@ -52,9 +52,18 @@ def letters(col):
     return F.translate(col.cast("string"), "0123456789", "abcdefghij")
 
 
+def line_id():
+    """Identity of an order line: its keys, day and price (the keys alone repeat)."""
+    day, cents = F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string")
+    return F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day, cents)
+
+
+LINE_ID = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT))"
+
+
 def claims(spark: SparkSession, sf: str) -> DataFrame:
     """One statement per order line; dimension sides are joined by key and sized by the optimiser."""
-    line = spread(load(spark, sf, "lineitem").drop("l_extendedprice", "l_tax", "l_linestatus"))
+    line = spread(load(spark, sf, "lineitem").drop("l_tax", "l_linestatus"))
     supplier, nation = load(spark, sf, "supplier"), load(spark, sf, "nation")
     sup = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     sup = broadcast_if_small(sup.select("s_suppkey", "s_nationkey", "n_regionkey"), [supplier, nation])
@@ -63,7 +72,7 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     j = line.join(sup, F.col("l_suppkey") == F.col("s_suppkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     kind = (F.col("l_partkey") + F.col("l_suppkey")) % 10
     j = j.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("claim_id"),
+        line_id().alias("claim_id"),
         F.concat(F.lit("10.1000/"), F.col("l_orderkey").cast("string")).alias("doi"),
         F.col("l_orderkey").alias("doc_id"),
         F.col("l_linenumber").alias("pos"),
@@ -104,7 +113,7 @@ SELECT claim_id, doi, doc_id, pos, source_species, target_species, interaction_t
         WHEN 5 THEN 'We used a statistical protocol and table 3 to test if ' || source_species || ' ' || verb || ' ' || target_species || '.'
         WHEN 6 THEN source_species || ' and ' || target_species || ' were seen near the river in the same week of May'
         ELSE source_species || ' ' || verb || ' ' || target_species || ', a known predator of Homo sapiens and a pathogen of ' || source_species || '.' END AS text
-FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id,
+FROM (SELECT {LINE_ID} AS claim_id,
     '10.1000/' || l_orderkey AS doi, l_orderkey AS doc_id, l_linenumber AS pos,
     'Sup' || translate(CAST(s_nationkey AS VARCHAR), '0123456789', 'abcdefghij') || 'us '
       || translate(CAST(l_suppkey AS VARCHAR), '0123456789', 'abcdefghij') || 'ensis' AS source_species,
@@ -154,7 +163,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Items with a gold label and the scores of two models, one per order line."""
     line = load(spark, sf, "lineitem")
     return line.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("item_id"),
+        line_id().alias("item_id"),
         F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
         F.concat(F.lit("src"), (F.col("l_suppkey") % 7).cast("string")).alias("source"),
         F.col("l_linestatus").alias("arm"),
@@ -166,8 +175,8 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-SCORED = """scored AS (
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS item_id,
+SCORED = f"""scored AS (
+SELECT {LINE_ID} AS item_id,
   CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
   'src' || (l_suppkey % 7) AS source, l_linestatus AS arm, l_orderkey AS doc_id,
   CASE WHEN l_returnflag = 'R' THEN round((l_quantity + 25) / 75.0, 3) ELSE round(l_quantity / 75.0, 3) END AS score,
