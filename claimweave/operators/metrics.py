@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.hashing import hash_bucket, seeded_md5
 from claimweave.functions.maths import f1_of
 from claimweave.operators.ranking import running_totals
+from claimweave.session import stage
 
 
 def score_groups(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -43,12 +44,16 @@ def rates(c: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
-    """Score groups with totals above and through each score."""
-    g = running_totals(score_groups(df, by, score, label), by, "score", ["pos", "neg"])
+    """Score groups with totals above and through each score.
+
+    The groups are written once: they are few, and the totals below read them several times.
+    """
+    groups = stage(score_groups(df, by, score, label), "score-groups")
+    g = running_totals(groups, by, "score", ["pos", "neg"])
     if not by:
-        n = g.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+        n = groups.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
         return g.withColumns({"n_pos": n.select("p").scalar(), "n_neg": n.select("n").scalar()})
-    return g.join(g.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")), by)
+    return g.join(groups.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")), by)
 
 
 def auc_ap(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:

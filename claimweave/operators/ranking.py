@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.hashing import seeded_md5
+from claimweave.session import stage
 
 
 def _offsets(df: DataFrame, strata: list[str], values: dict[str, Column]) -> DataFrame:
@@ -57,7 +58,7 @@ def grouped_median(df: DataFrame, by: list[str], value: str, buckets: int = 1024
 
     Values are counted, placed in value-range buckets, and only the position inside a bucket is sorted.
     """
-    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    h = stage(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), "value-counts")
     ends = h.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
     v, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
     b = h.join(ends, by).withColumn("_b", F.when(hi > lo, F.floor((v - lo) / (hi - lo) * (buckets - 1))).otherwise(0))

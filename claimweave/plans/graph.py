@@ -13,7 +13,7 @@ from claimweave.plans.registry import query
 from claimweave.plans.scalar import CATEGORY_CASE
 from claimweave.plans.sqltext import list_sql, values_sql
 from claimweave.plans.tables import CLAIMS, KNOWN_PAIRS, SAMPLES, claims, known_pairs, load, samples
-from claimweave.session import broadcast_if_small
+from claimweave.session import broadcast_if_small, stage
 
 
 @query(
@@ -227,15 +227,17 @@ coh AS (SELECT f.sample_id, f.species, k, coalesce(bk, 0) AS bk, CASE WHEN coale
 def coherence_inputs(spark, sf):
     from claimweave.functions.hashing import hash_bucket, seeded_md5
 
-    pairs = known_pairs(spark, sf)
+    pairs = stage(known_pairs(spark, sf), "pairs")
     h = hash_bucket(seeded_md5("bx", "a", "b"), 2)
     prim = pairs.withColumn("h", h).where("h % 3 = 0").select("a", "b", F.round(F.col("h") / 256.0, 4).alias("score"))
     deg = pairs.select(F.explode(F.array("a", "b")).alias("species")).groupBy("species").agg(F.count("*").alias("degree"))
-    return samples(spark, sf), pairs, prim, deg
+    return stage(samples(spark, sf), "samples"), pairs, prim, deg
 
 
 def coherence(spark, sf):
-    """Primary score where any primary partner is present, else the degree-normalised count of known partners."""
+    """Detections and edges are written once, since support reads each several times.
+
+    Primary score where any primary partner is present, else the degree-normalised count of known partners."""
     s, pairs, prim, deg = coherence_inputs(spark, sf)
     fall = RR.partner_support(s, pairs.withColumn("score", F.lit(0.0))).drop("score_sum")
     first = RR.partner_support(s, prim).withColumnsRenamed({"k": "bk", "score_sum": "bx"})
