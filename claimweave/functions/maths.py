@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as V
+from claimweave.functions.text import bind
 
 
 def _col(c: Column | str) -> Column:
@@ -73,13 +74,14 @@ def log_choose(n: Column, k: Column) -> Column:
 
 def hypergeom_surprise(k: Column, big_k: Column, n: Column, population: Column) -> Column:
     """-log10 P(X ≥ k) for X ~ Hypergeometric(population, big_k, n); 0 without support."""
-    top = F.least(big_k, n)
-    terms = F.transform(
-        F.sequence(k, F.greatest(k, top)),
-        lambda i: F.when(
-            n - i <= population - big_k,
-            F.exp(log_choose(big_k, i) + log_choose(population - big_k, n - i) - log_choose(population, n)),
-        ).otherwise(F.lit(0.0)),
+    total = log_choose(population, n)
+    weight = lambda i: log_choose(big_k, i) + log_choose(population - big_k, n - i)
+    terms = bind(
+        total,
+        lambda all_: F.transform(
+            F.sequence(k, F.greatest(k, F.least(big_k, n))),
+            lambda i: F.when(n - i <= population - big_k, F.exp(weight(i) - all_)).otherwise(F.lit(0.0)),
+        ),
     )
     tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
     return F.when((k == 0) | (big_k == 0) | (population <= 0), 0.0).otherwise(-F.log10(F.greatest(tail, F.lit(1e-300))))

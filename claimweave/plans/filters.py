@@ -262,7 +262,7 @@ RULE_SQL = {
     "negated": f"""(len(list_filter({BOTH}, lambda n: regexp_matches(passage, '(?i)\\bnon-?' || n || '\\s+hosts?\\b'))) > 0
   OR len(list_filter(regexp_extract_all(passage, {q("(?i)" + V.DENIAL_SCOPE)}, 1), lambda s: len(list_filter({BOTH}, lambda n: regexp_matches(s, {WORD.format(n="n")}))) > 0)) > 0)""",
     "not_an_organism": f"len(list_filter({BOTH}, lambda n: n IN ({list_sql(V.NOT_ORGANISM)}))) > 0",
-    "pathogen_modifier": f"""len(list_filter({BOTH}, lambda n: n IN ({list_sql(V.HOST_ADJECTIVES)}) AND len(regexp_extract_all(passage, {WORD.format(n="n")})) > 0
+    "pathogen_modifier": f"""len(list_filter(list_filter({BOTH}, lambda a: a IN ({list_sql(V.HOST_ADJECTIVES)})), lambda n: len(regexp_extract_all(passage, {WORD.format(n="n")})) > 0
    AND len(regexp_extract_all(passage, {WORD.format(n="n")})) = len(regexp_extract_all(passage, {WORD.format(n="n")} || {q("(?i:\\s*" + V.PATHOGEN_HEAD + ")")})))) > 0""",
 }
 
