@@ -61,11 +61,14 @@ def grade(score: Column | str) -> Column:
 
 def log_gamma(n: Column) -> Column:
     """ln Γ(n) for n ≥ 1 by the shifted Stirling series (error below 1e-10)."""
-    x = n.cast("double")
-    shift = F.log(x) + F.log(x + 1) + F.log(x + 2) + F.log(x + 3) + F.log(x + 4) + F.log(x + 5) + F.log(x + 6)
-    y = x + 7
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
+
+    def series(x: Column) -> Column:
+        shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6))
+        y = x + 7
+        tail = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+        return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + tail - shift
+
+    return bind(n.cast("double"), series)
 
 
 def log_choose(n: Column, k: Column) -> Column:
@@ -73,18 +76,23 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def hypergeom_surprise(k: Column, big_k: Column, n: Column, population: Column) -> Column:
-    """-log10 P(X ≥ k) for X ~ Hypergeometric(population, big_k, n); 0 without support."""
-    total = log_choose(population, n)
-    weight = lambda i: log_choose(big_k, i) + log_choose(population - big_k, n - i)
-    terms = bind(
-        total,
-        lambda all_: F.transform(
-            F.sequence(k, F.greatest(k, F.least(big_k, n))),
-            lambda i: F.when(n - i <= population - big_k, F.exp(weight(i) - all_)).otherwise(F.lit(0.0)),
-        ),
-    )
-    tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
-    return F.when((k == 0) | (big_k == 0) | (population <= 0), 0.0).otherwise(-F.log10(F.greatest(tail, F.lit(1e-300))))
+    """-log10 P(X ≥ k) for X ~ Hypergeometric(population, big_k, n), at most 300; 0 without support.
+
+    The first probability is taken in log space; the later ones follow from it by their ratios.
+    """
+    start = F.greatest(k, n - (population - big_k))
+    top = F.least(big_k, n)
+    first = log_choose(big_k, start) + log_choose(population - big_k, n - start) - log_choose(population, n)
+    steps = F.when(top > start, F.sequence(start, F.greatest(start, top - 1))).otherwise(F.array().cast("array<bigint>"))
+    ratio = lambda i: (big_k - i) * (n - i) / ((i + 1) * (population - big_k - n + i + 1)).cast("double")
+
+    def add(acc: Column, i: Column) -> Column:
+        term = acc["term"] * ratio(i)
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    total = F.aggregate(steps, F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")), add)["total"]
+    surprise = -(first + F.log(total)) / math.log(10)
+    return F.when((k == 0) | (big_k == 0) | (population <= 0), 0.0).otherwise(F.least(F.lit(300.0), F.greatest(F.lit(0.0), surprise)))
 
 
 def coherence_sqrt(k: Column, degree: Column) -> Column:
