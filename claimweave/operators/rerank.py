@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.session import broadcast_if_small
+
 
 def oriented(edges: DataFrame) -> DataFrame:
     """Each undirected edge once, from its endpoint of lower degree (ties by name): ``x → y`` with its score.
@@ -23,7 +25,7 @@ def partner_support(detected: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``edges``: a < b, distinct, with the best score per pair. A pair found together counts for both ends.
     """
-    e = oriented(edges)
+    e = broadcast_if_small(oriented(edges), [edges])
     d = detected.select("sample_id", "species")
     wedge = d.join(e, F.col("species") == F.col("x")).select("sample_id", "x", "y", "score")
     found = wedge.join(d.withColumnRenamed("species", "y"), ["sample_id", "y"])

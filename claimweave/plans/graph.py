@@ -12,7 +12,7 @@ from claimweave.operators import rerank as RR
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import CATEGORY_CASE
 from claimweave.plans.sqltext import list_sql, values_sql
-from claimweave.plans.tables import CLAIMS, KNOWN_PAIRS, SAMPLES, claims, known_pairs, load, samples
+from claimweave.plans.tables import CLAIMS, KNOWN_PAIRS, SAMPLES, claims, known_pairs, load, samples, spread
 from claimweave.session import broadcast_if_small, stage
 
 
@@ -231,7 +231,7 @@ def coherence_inputs(spark, sf):
     h = hash_bucket(seeded_md5("bx", "a", "b"), 2)
     prim = pairs.withColumn("h", h).where("h % 3 = 0").select("a", "b", F.round(F.col("h") / 256.0, 4).alias("score"))
     deg = pairs.select(F.explode(F.array("a", "b")).alias("species")).groupBy("species").agg(F.count("*").alias("degree"))
-    return stage(samples(spark, sf), "samples"), pairs, prim, deg
+    return spread(stage(samples(spark, sf), "samples")), pairs, prim, deg
 
 
 def coherence(spark, sf):
