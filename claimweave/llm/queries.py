@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import lines, mixing, quality, sharding
+from claimweave.llm import leaks, lines, mixing, near_dups, quality, sharding, substrings
 from claimweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,12 +24,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_substrings", substrings.SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    d = substrings.without_repeats(read(spark, sf, "documents"), ["doc_id"])
+    return d.select(F.col("_c_doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
 @query("op2_host_quality", quality.SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     j = quality.judged(read(spark, sf, "documents"), carry=["doc_id"])
     return j.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+@query("op3_bag_minhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    c = near_dups.with_class(read(spark, sf, "documents").select("doc_id", "text"))
+    return c.select(F.col("_c_doc_id").alias("doc_id"), "class_id", "class_size")
+
+
 @query("op5_line_chunks", lines.SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     kept = lines.without_repeats(read(spark, sf, "documents").select("doc_id", "text"))
@@ -47,3 +59,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     m = mixing.mixed(read(spark, sf, "documents"), ["doc_id"])
     return m.select(F.col("_c_doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+@query("op10_leaks")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 4).alias("score"), "start", "end")
