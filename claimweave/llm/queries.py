@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import leaks, lines, mixing, near_dups, quality, sharding, substrings
+from claimweave.llm import html_text, leaks, lines, mixing, near_dups, quality, sharding, substrings, urls, warc
 from claimweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,13 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(F.col("_c_doc_id").alias("doc_id"), "class_id", "class_size")
 
 
+@query("op4_block_labeller", html_text.SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages")
+    t = html_text.extracted(pages, html_text.fit_labeller(pages), ["page_id", "url"])
+    return t.select(F.col("_c_page_id").alias("page_id"), F.col("_c_url").alias("url"), "text", "n_chars")
+
+
 @query("op5_line_chunks", lines.SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     kept = lines.without_repeats(read(spark, sf, "documents").select("doc_id", "text"))
@@ -55,6 +62,19 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op7_url_trees")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read(spark, sf, "pages").select("page_id", "url")
+    j = urls.judged(pages, urls.fit(urls.seed_labelled(pages)))
+    return j.select(F.col("_c_page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op8_zip_archives", warc.SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.read_back(warc.written(read(spark, sf, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_threshold_mix", mixing.SQL)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     m = mixing.mixed(read(spark, sf, "documents"), ["doc_id"])
