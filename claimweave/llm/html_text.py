@@ -145,7 +145,7 @@ def extracted(pages: DataFrame, model: BlockLabeller, carry: list[str], html: st
 SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
 b AS (SELECT page_id, url, unnest(regexp_split_to_array(regexp_replace(body, '</?b>', '', 'g'), '</?(p|h1|div)>')) AS x, generate_subscripts(regexp_split_to_array(regexp_replace(body, '</?b>', '', 'g'), '</?(p|h1|div)>'), 1) AS i FROM a),
-c AS (SELECT page_id, url, i, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<br>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '[ \t\n\r\f\v]+', ' ', 'g')) AS x FROM b),
+c AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<br>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS x FROM b),
 t AS (SELECT page_id, url, string_agg(x, chr(10) ORDER BY i) AS text FROM c WHERE x <> '' GROUP BY page_id, url)
 SELECT a.page_id, a.url, coalesce(t.text, '') AS text, length(coalesce(t.text, ''))::BIGINT AS n_chars FROM a LEFT JOIN t ON a.page_id = t.page_id
 """

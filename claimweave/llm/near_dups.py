@@ -144,7 +144,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, bands:
     once = stage(signed.groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-signatures")
     rows_ = once.select("digest", F.explode("bands").alias("band"))
     shared = rows_.groupBy("band").agg(F.min("digest").alias("center"), F.max("digest").alias("_top")).where("center <> _top").drop("_top")
-    members = stage(rows_.join(shared, "band"), "near-members")
+    members = stage(rows_.join(stage(shared, "near-buckets"), "band"), "near-members")
     wanted = members.select("digest").distinct()
     texts = stage(d.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi"), "near-texts")
 
@@ -178,9 +178,8 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, bands:
 
     # buckets that still hold several classes: those outside the center's class against all of another class
     at_center = state.where("digest = center").select("band", F.col("root").alias("root_c"))
-    mixed = state.join(at_center, "band")
-    outside = mixed.where("root <> root_c").select("band", F.col("digest").alias("x"), F.col("root").alias("root_x"))
-    held = state.join(outside.select("band").distinct(), "band", "left_semi").select("band", F.col("digest").alias("y"), F.col("root").alias("root_y"), "center")
+    outside = stage(state.join(at_center, "band").where("root <> root_c").select("band", F.col("digest").alias("x"), F.col("root").alias("root_x")), "near-outside")
+    held = state.join(stage(outside.select("band").distinct(), "near-open"), "band", "left_semi").select("band", F.col("digest").alias("y"), F.col("root").alias("root_y"), "center")
     rest = outside.join(held, "band").where("root_x <> root_y and y <> center").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
     third = stage(apart(rest, pairs.unionByName(second)), "near-pairs")
     found = stage(found.unionByName(links(third, texts, threshold)), "near-links")

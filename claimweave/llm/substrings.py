@@ -93,7 +93,6 @@ def _windows(window: int):
 
 def extended_seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` (ref, text) → ref, lo, hi, src, src_lo: windows lo…hi also start at src_lo… of src, which comes earlier."""
-    spark = docs.sparkSession
     seeds = docs.mapInArrow(_seeds(window, anchor), "anchor bigint, around bigint, ref binary, lo int, more int")
     place = F.struct("ref", "lo", "around")
     known = seeds.groupBy("anchor").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("around").alias("least"), F.max("around").alias("most"))
@@ -107,9 +106,10 @@ def extended_seeds(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     by_text = rest.groupBy("ref").agg(F.collect_set(F.struct("lo", "more")).alias("seeds"))
     texts = docs.join(by_text, "ref")
     windows = stage(texts.mapInArrow(_windows(window), "h bigint, h2 bigint, ref binary, lo int"), "repeat-windows")
-    first = windows.groupBy("h", "h2").agg(F.min(F.struct("ref", "lo")).alias("first"), F.max(F.struct("ref", "lo")).alias("last")).where("first <> last").drop("last")
+    first = windows.groupBy("h", "h2").agg(F.min(F.struct("ref", "lo")).alias("first"), F.max(F.struct("ref", "lo")).alias("last"))
+    # written, so that both sides of the join are plain exchanges, whose hot keys are split
+    first = stage(first.where("first <> last").drop("last"), "repeat-firsts")
     single = windows.join(first, ["h", "h2"]).where(F.struct("ref", "lo") != F.col("first")).select("ref", "lo", F.col("lo").alias("hi"), F.col("first.ref").alias("src"), F.col("first.lo").alias("src_lo"))
-    del spark
     return whole.unionByName(single)
 
 

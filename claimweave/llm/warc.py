@@ -187,7 +187,7 @@ def written(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     p = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("d", F.unhex(F.sha1(F.col("html").cast("binary"))))
-    last = p.groupBy("d").agg(F.max("page_id").alias("last"))
+    last = stage(p.groupBy("d").agg(F.max("page_id").alias("last")), "warc-last")
     rows = p.join(last, "d").select("page_id", "url", "html", "last")
     where = folder or stage_path(pages.sparkSession, "warc")
     return stage(rows.mapInArrow(_write(where, archive_bytes), "path string, n_records bigint"), "warc-list")
