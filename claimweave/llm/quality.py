@@ -46,9 +46,11 @@ def _covered(grams: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures (bigint) of the whole text; a null text has no words."""
     d = docs.withColumn("_text", whole_text(text)).withColumn("_words", words(F.col("_text")))
-    d = d.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    h = F.col("_hashes")
-    d = d.withColumn("_grams", F.transform(F.slice("_hashes", 1, F.greatest(F.size("_hashes") - 4, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4))))
+
+    def repeated(h: Column) -> Column:
+        five = F.transform(F.slice(h, 1, F.greatest(F.size(h) - 4, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), F.get(h, i + 4)))
+        return let(five, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(_covered(g)))
+
     lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     t = F.col("_text")
     return d.withColumns(
@@ -57,9 +59,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             "word_chars": F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)),
             "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]", ""))).cast("bigint"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("_grams")) == F.size("_grams"), F.lit(0)).otherwise(_covered(F.col("_grams"))).cast("bigint"),
+            "n_repeat_words": let(F.transform("_words", lambda w: F.xxhash64(w)), repeated).cast("bigint"),
         }
-    ).drop("_text", "_words", "_hashes", "_grams")
+    ).drop("_text", "_words")
 
 
 def base_failed(rules: Rules) -> Column:
