@@ -11,11 +11,10 @@ from claimweave.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b; any ordered type) → node, root (smallest node of its component), for nodes that have an edge.
 
-    Large star and small star in turn, minima aggregated before the shuffle; each round is written, and the rounds end
-    when a round has left the set of edges as it was, which is compared edge by edge.
+    Large star and small star in turn, minima aggregated before the shuffle. Each round is written; the rounds end when
+    every node but the roots has one edge, and that to a root.
     """
-    both = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state = stage(both, "components")
+    state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
     def large(e: DataFrame) -> DataFrame:
         near = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
@@ -28,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     while True:
-        new = stage(little(stage(large(state), "components")), "components")
-        if new.count() == state.count() and new.join(state, ["u", "v"], "left_anti").isEmpty():
+        state = stage(little(stage(large(state), "components")), "components")
+        by_node = state.groupBy("u").agg(F.min("v").alias("v"), F.max("v").alias("top"))
+        if by_node.where("v <> top").isEmpty() and state.join(state.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             break
-        state = new
-    top = new.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("root"))
-    return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(top)
+    top = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(top)

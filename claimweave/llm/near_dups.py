@@ -131,58 +131,43 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.mapInPandas(_verify(threshold), "a binary, b binary")
 
 
+def candidates(signed: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) to compare, from ``signed`` (digest, weight, bands): as many rows as texts have bands, at most three each.
+
+    A text is compared with the least and the greatest digest of each of its buckets, and with the least of those that
+    also share the next band, which parts buckets that only a common passage fills. Sizes that rule the threshold out
+    are left out.
+    """
+    n = F.size("bands")
+    each = F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.xxhash64(x, F.get("bands", (i + 1) % n)).alias("next")))
+    rows = signed.select("digest", "weight", F.inline(each))
+    own = F.struct("digest", "weight")
+    # what shares a bucket at all; a merge join at every size, whose hot buckets are split
+    full = stage(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-buckets")
+    held = stage(rows.join(full.hint("merge"), "band"), "near-members")
+    ends = stage(held.groupBy("band").agg(F.min(own).alias("low"), F.max(own).alias("high")), "near-ends")
+    members = held.join(ends.hint("merge"), "band")
+    closer = held.groupBy("next").agg(F.min(own).alias("low"), F.max("digest").alias("_top")).where("low.digest <> _top").drop("_top")
+    inside = held.select("next", "digest", "weight").join(stage(closer, "near-buckets").hint("merge"), "next")
+    met = members.select("digest", "weight", F.explode(F.array("low", "high")).alias("center")).unionByName(inside.select("digest", "weight", F.col("low").alias("center")))
+    ratio = F.least(F.col("weight"), F.col("center.weight")) >= threshold * F.greatest(F.col("weight"), F.col("center.weight"))
+    pair = met.where(ratio & (F.col("digest") != F.col("center.digest"))).select(F.greatest(F.col("digest"), F.col("center.digest")).alias("a"), F.least(F.col("digest"), F.col("center.digest")).alias("b"))
+    return pair.distinct()
+
+
 def classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct non-empty texts → digest, root: the smallest digest of the texts joined by links.
+    """Distinct texts that have a link → digest, root: the smallest digest of the texts joined by links.
 
-    Every bucket is compared with its smallest digest first, each text with the one that most of its bands name; then
-    the others that are still in another class; last, what is still apart within a bucket, pair by pair, with pairs left
-    out only where sizes rule the threshold out. So no link that shares a bucket is lost, and texts already joined are
-    not compared.
+    Copies of a text are one text. Work grows with the number of texts, also inside a group of near copies: links that
+    no comparison sees are bridged by the ones that do, since a bucket's members and its ends change from band to band.
     """
     d = docs.select(whole_text(text).alias("text")).withColumn("digest", text_digest(F.col("text"))).where(F.col("text") != "")
     signed = d.mapInArrow(_sign(bands, rows), "digest binary, weight bigint, bands array<bigint>")
     once = stage(signed.groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-signatures")
-    rows_ = once.select("digest", F.explode("bands").alias("band"))
-    shared = rows_.groupBy("band").agg(F.min("digest").alias("center"), F.max("digest").alias("_top")).where("center <> _top").drop("_top")
-    members = stage(rows_.join(stage(shared, "near-buckets"), "band"), "near-members")
-    wanted = members.select("digest").distinct()
+    pairs = stage(candidates(once, threshold), "near-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     texts = stage(d.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi"), "near-texts")
-
-    def joined(found: DataFrame) -> DataFrame:
-        c = stage(components(found), "near-classes")
-        return stage(members.join(c.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "near-members")
-
-    # the center that most bands name
-    votes = members.where("digest <> center").groupBy("digest", "center").agg(F.count("*").alias("n"))
-    first = votes.groupBy("digest").agg(F.max_by("center", F.struct("n", "center")).alias("center"))
-    pairs = stage(first.select(F.col("digest").alias("a"), F.col("center").alias("b")), "near-pairs")
     found = stage(links(pairs, texts, threshold), "near-links")
-    state = joined(found)
-
-    def roots(s: DataFrame, name: str) -> DataFrame:
-        return s.select(F.col("digest").alias(name), F.col("root").alias(f"root_{name}")).distinct()
-
-    sizes = once.select("digest", "weight")
-    ratio = F.least("weight_a", "weight_b") >= threshold * F.greatest("weight_a", "weight_b")
-
-    def apart(candidates: DataFrame, done: DataFrame) -> DataFrame:
-        c = candidates.join(sizes.select(F.col("digest").alias("a"), F.col("weight").alias("weight_a")), "a")
-        c = c.join(sizes.select(F.col("digest").alias("b"), F.col("weight").alias("weight_b")), "b").where(ratio)
-        return c.select("a", "b").join(done, ["a", "b"], "left_anti")
-
-    others = state.where("digest <> center").select(F.col("digest").alias("a"), F.col("center").alias("b"), "root").distinct()
-    others = others.join(roots(state, "b"), "b").where("root <> root_b").select("a", "b")
-    second = stage(apart(others, pairs), "near-pairs")
-    found = stage(found.unionByName(links(second, texts, threshold)), "near-links")
-    state = joined(found)
-
-    # buckets that still hold several classes: those outside the center's class against all of another class
-    at_center = state.where("digest = center").select("band", F.col("root").alias("root_c"))
-    outside = stage(state.join(at_center, "band").where("root <> root_c").select("band", F.col("digest").alias("x"), F.col("root").alias("root_x")), "near-outside")
-    held = state.join(stage(outside.select("band").distinct(), "near-open"), "band", "left_semi").select("band", F.col("digest").alias("y"), F.col("root").alias("root_y"), "center")
-    rest = outside.join(held, "band").where("root_x <> root_y and y <> center").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    third = stage(apart(rest, pairs.unionByName(second)), "near-pairs")
-    found = stage(found.unionByName(links(third, texts, threshold)), "near-links")
     return stage(components(found), "near-classes").select(F.col("node").alias("digest"), "root")
 
 
