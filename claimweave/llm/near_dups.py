@@ -166,7 +166,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, bands:
     once = stage(signed.groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-signatures")
     pairs = stage(candidates(once, threshold), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    texts = stage(d.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi"), "near-texts")
+    texts = stage(d.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest"), "near-texts")
     found = stage(links(pairs, texts, threshold), "near-links")
     return stage(components(found), "near-classes").select(F.col("node").alias("digest"), "root")
 
