@@ -96,6 +96,16 @@ class BlockLabeller:
             at += len(group)
         return out
 
+    def gradient(self, x: np.ndarray, turn: np.ndarray, real: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of the blocks, by weight."""
+        both, z, back, kf, kb, cols = self._forward(x, turn)
+        d = (_sigmoid(z) - y) * real / real.sum()
+        grad = {"Wo": np.tensordot(both, d[..., None], ((0, 1), (0, 1))), "bo": d.sum(keepdims=True).reshape(1)}
+        d_both = d[..., None] * self.w["Wo"][:, 0]
+        self._back(x, "f", kf, d_both[..., : self.h], grad)
+        self._back(back, "b", kb, d_both[..., self.h :][turn, cols], grad)
+        return grad
+
     def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 12, at_once: int = 32, rate: float = 0.01, seed: int = 9) -> BlockLabeller:
         rng = np.random.default_rng(seed)
         use = np.array([k for k in range(len(pages)) if len(pages[k])], int)
@@ -110,12 +120,7 @@ class BlockLabeller:
                 y = np.zeros(real.shape, np.float32)
                 for j, k in enumerate(group):
                     y[: len(labels[k]), j] = labels[k]
-                both, z, back, kf, kb, cols = self._forward(x, turn)
-                d = (_sigmoid(z) - y) * real / real.sum()
-                grad = {"Wo": np.tensordot(both, d[..., None], ((0, 1), (0, 1))), "bo": d.sum(keepdims=True).reshape(1)}
-                d_both = d[..., None] * self.w["Wo"][:, 0]
-                self._back(x, "f", kf, d_both[..., : self.h], grad)
-                self._back(back, "b", kb, d_both[..., self.h :][turn, cols], grad)
+                grad = self.gradient(x, turn, real, y)
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
                 step += 1
                 lr = rate * (1 if epoch < epochs * 2 // 3 else 0.2)
