@@ -97,37 +97,36 @@ def resolve(queries: DataFrame, names: DataFrame) -> DataFrame:
     return queries.join(hits, "query", "left")
 
 
-def kingdom_ancestors(concepts: DataFrame, rounds: int = 6) -> DataFrame:
-    """Nearest ancestor-or-self of kingdom rank per concept, by pointer doubling: ``2**rounds`` ≥ 40 levels.
+def kingdom_ancestors(concepts: DataFrame) -> DataFrame:
+    """Nearest ancestor-or-self of kingdom rank per concept, by pointer doubling; null where there is none.
 
     Settled rows leave the loop, so a root that is everyone's ancestor is never a join key; each round
-    is written to the shared folder, which also cuts the lineage.
+    is written to the shared folder, which also cuts the lineage. No path is longer than the table, so what is open
+    after as many doublings as that takes runs in a cycle.
     """
     top = F.col("rank").isin(V.KINGDOM_RANKS)
     start = concepts.select("id", F.when(top | F.col("parent").isNull(), F.col("id")).otherwise(F.col("parent")).alias("up"), (top | F.col("parent").isNull()).alias("done"))
     state = stage(start, "climb")
-    for _ in range(rounds):
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("not done").isEmpty():
+            break
         hop = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("done").alias("done2"))
         open_rows = state.where("not done").join(hop, "up", "left")
         moved = open_rows.select("id", F.coalesce("up2", "up").alias("up"), F.coalesce("done2", F.lit(True)).alias("done"))
         state = stage(state.where("done").unionByName(moved), "climb")
-    settled = state.where("done").select("id", F.col("up").alias("ancestor"))
+    settled = state.select("id", F.when(F.col("done"), F.col("up")).alias("ancestor"))
     kings = concepts.where(top).select(F.col("id").alias("ancestor"), F.col("pref").alias("kingdom"))
     return settled.join(kings, "ancestor", "left").select("id", "kingdom")
 
 
-def lineage(concepts: DataFrame, max_depth: int = 60) -> DataFrame:
-    """(id, ancestor, depth) for every ancestor; a level per round until no frontier is left or a cycle closes."""
+def lineage(concepts: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) for every ancestor, each once at its least depth; a level per round until none is new."""
     parents = concepts.where(F.col("parent").isNotNull()).select(F.col("id").alias("child"), "parent")
     frontier = stage(concepts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")), "lineage")
-    levels = [frontier]
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(parents, F.col("ancestor") == F.col("child")).where(F.col("parent") != F.col("id"))
-        frontier = stage(step.select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")), "lineage")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+    out, depth = frontier, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(parents, F.col("ancestor") == F.col("child")).select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"))
+        frontier = stage(step.join(out.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "lineage")
+        out = out.unionByName(frontier)
     return out

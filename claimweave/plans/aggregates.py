@@ -279,11 +279,10 @@ def label_variance_share(spark, sf):
 
 @query(
     "agg_15_cross_tabulation",
-    f"WITH {CLAIMS} SELECT interaction_type, count(*) FILTER (WHERE source_kingdom = 'Animalia') AS \"Animalia\", count(*) FILTER (WHERE source_kingdom = 'Plantae') AS \"Plantae\", count(*) FILTER (WHERE source_kingdom = 'Fungi' AND reads > 49) AS \"Fungi\" FROM claims GROUP BY 1",
+    f"WITH {CLAIMS} SELECT interaction_type, count(*) FILTER (WHERE source_kingdom = 'Animalia') AS \"Animalia\", count(*) FILTER (WHERE source_kingdom = 'Plantae') AS \"Plantae\", count(*) FILTER (WHERE source_kingdom = 'Fungi') AS \"Fungi\" FROM claims GROUP BY 1",
 )
 def cross_tabulation(spark, sf):
-    c = claims(spark, sf).where("source_kingdom <> 'Fungi' or reads > 49")
-    p = c.groupBy("interaction_type").pivot("source_kingdom", ["Animalia", "Plantae", "Fungi"]).agg(F.count(F.lit(1)))
+    p = claims(spark, sf).groupBy("interaction_type").pivot("source_kingdom", ["Animalia", "Plantae", "Fungi"]).agg(F.count(F.lit(1)))
     return p.na.fill(0)
 
 

@@ -113,19 +113,19 @@ def species_mentions(spark, sf):
 
 @query(
     "comp_01_corpus_build",
-    f"""WITH {CLAIMS}, {LEX}, b AS (SELECT claim_id, text, label, interaction_type, 'base' AS source, 0 AS sr FROM claims WHERE pos = 1 AND reads > 40),
+    f"""WITH {CLAIMS}, {LEX}, b AS (SELECT claim_id, text, label, interaction_type, 'base' AS source, 0 AS sr FROM claims WHERE pos = 1),
  h AS (SELECT claim_id, text, label, interaction_type, lex_strength FROM lex WHERE pos <> 1 AND pos <= 4 AND regexp_matches(trim(text), '[.!?)]$') AND NOT (label = 0 AND {FALSE_NEG_SQL})),
  hp AS (SELECT * FROM h WHERE label = 1 AND lex_strength > 0 QUALIFY row_number() OVER (PARTITION BY interaction_type ORDER BY md5('42|' || claim_id), claim_id) <= 300), hn AS (SELECT * FROM h WHERE label = 0 QUALIFY row_number() OVER (ORDER BY md5('42|' || claim_id), claim_id) <= 500),
- x AS (SELECT claim_id, text, label, interaction_type FROM claims WHERE pos >= 5 AND reads < 10 AND regexp_matches(trim(text), '[.!?)]$')),
+ x AS (SELECT claim_id, text, label, interaction_type FROM claims WHERE pos >= 5 AND regexp_matches(trim(text), '[.!?)]$')),
  u AS (SELECT * FROM b UNION ALL SELECT claim_id, text, label, interaction_type, 'harvest', 1 FROM hp UNION ALL SELECT claim_id, text, label, interaction_type, 'harvest', 1 FROM hn UNION ALL SELECT *, 'extra', 2 FROM x),
  k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY trim(lower(text)) ORDER BY sr, claim_id) = 1) SELECT claim_id, label, interaction_type, source, row_number() OVER (ORDER BY md5('42|' || claim_id), claim_id) AS position FROM k""",
 )
 def corpus_build(spark, sf):
-    c = claims(spark, sf).select("claim_id", "text", "label", "interaction_type", "pos", "reads")
+    c = claims(spark, sf).select("claim_id", "text", "label", "interaction_type", "pos")
     rows = lambda cond: c.where(cond).select("claim_id", "text", "label", "interaction_type")
     harvest = SourceSpec("harvest", signal_only=True, cap_per_type=300, negative_budget=500, complete_only=True, drop_false_negatives=True)
     out = build_corpus(
-        [(rows("pos = 1 and reads > 40"), SourceSpec("base")), (rows("pos > 1 and pos <= 4"), harvest), (rows("pos >= 5 and reads < 10"), SourceSpec("extra", complete_only=True))],
+        [(rows("pos = 1"), SourceSpec("base")), (rows("pos > 1 and pos <= 4"), harvest), (rows("pos >= 5"),SourceSpec("extra", complete_only=True))],
         "42",
     )
     return out.select("claim_id", "label", "interaction_type", "source", "position")

@@ -87,12 +87,12 @@ def membership(spark, sf):
 
 @query(
     "join_08_either_orientation",
-    """WITH t AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_orderkey) AS v FROM lineitem WHERE l_partkey < 300 OR l_quantity > 45 GROUP BY 1, 2), q AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)
+    """WITH t AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_orderkey) AS v FROM lineitem GROUP BY 1, 2), q AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)
  SELECT q.a, q.b, coalesce(f.v, r.v) AS v FROM q LEFT JOIN t f ON f.a = q.a AND f.b = q.b LEFT JOIN t r ON r.a = q.b AND r.b = q.a""",
 )
 def either_orientation(spark, sf):
-    line = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), "l_orderkey", "l_quantity")
-    t = line.where("a < 300 or l_quantity > 45").groupBy("a", "b").agg(F.min("l_orderkey").alias("v"))
+    line = load(spark, sf, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), "l_orderkey")
+    t = line.groupBy("a", "b").agg(F.min("l_orderkey").alias("v"))
     q = line.select(F.col("b").alias("a"), F.col("a").alias("b")).distinct()
     return J.lookup_either_way(q, t, "a", "b", ["v"])
 
@@ -133,15 +133,19 @@ def agent_lookup(spark, sf):
 
 @query(
     "join_11_article_sentences",
-    f"""WITH {SENTENCES}, i AS (SELECT l_orderkey % 1000 AS doc_id, l_partkey AS interaction_id, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2)
- SELECT interaction_id, doc_id, sent_id FROM i JOIN sentences USING (doc_id) WHERE length(sentence) BETWEEN 80 AND 250 AND length(sentence) % 50 = CAST(q AS BIGINT) % 50
+    f"""WITH {SENTENCES}, i AS (SELECT DISTINCT l_orderkey % (SELECT count(*) FROM documents) AS doc_id, l_partkey AS interaction_id FROM lineitem)
+ SELECT interaction_id, doc_id, sent_id FROM i JOIN sentences USING (doc_id) WHERE length(sentence) BETWEEN 80 AND 250
  QUALIFY row_number() OVER (PARTITION BY interaction_id ORDER BY doc_id, sent_id) <= 3""",
 )
 def article_sentences(spark, sf):
-    """First three fitting sentences per interaction from the articles it refers to."""
-    i = load(spark, sf, "lineitem").groupBy((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_partkey").alias("interaction_id")).agg(F.min("l_quantity").alias("q"))
-    s = sentences(spark, sf).where(F.length("sentence").between(80, 250)).select("doc_id", "sent_id", (F.length("sentence") % 50).cast("bigint").alias("k"))
-    j = i.withColumn("k", F.col("q").cast("bigint") % 50).join(s, ["doc_id", "k"])
+    """First three fitting sentences per interaction from the articles it refers to.
+
+    No more than an article's own first three can be among them, so articles are cut to those before the join.
+    """
+    n = load(spark, sf, "documents").agg(F.count("*")).scalar()
+    i = load(spark, sf, "lineitem").select((F.col("l_orderkey") % n).alias("doc_id"), F.col("l_partkey").alias("interaction_id")).distinct()
+    s = sentences(spark, sf).where(F.length("sentence").between(80, 250)).groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list("sent_id")), 1, 3).alias("s"))
+    j = i.join(s.select("doc_id", F.explode("s").alias("sent_id")), "doc_id")
     w = Window.partitionBy("interaction_id").orderBy("doc_id", "sent_id")
     return j.withColumn("rk", F.row_number().over(w)).where("rk <= 3").select("interaction_id", "doc_id", "sent_id")
 
@@ -307,7 +311,7 @@ CONCEPTS = """concepts AS (SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS
 @query(
     "join_18_kingdom_climb",
     f"""WITH RECURSIVE {CONCEPTS}, c AS (SELECT id, id AS anc, 0 AS d FROM concepts UNION ALL SELECT c.id, p.parent, d + 1 FROM c JOIN concepts p ON p.id = c.anc WHERE p.parent IS NOT NULL AND d < 40)
- SELECT c.id, k.pref AS kingdom FROM c JOIN concepts k ON k.id = c.anc WHERE k.rank = 'kingdom'""",
+ SELECT o.id, k.kingdom FROM concepts o LEFT JOIN (SELECT c.id, k.pref AS kingdom FROM c JOIN concepts k ON k.id = c.anc WHERE k.rank = 'kingdom') k ON k.id = o.id""",
 )
 def kingdom_climb(spark, sf):
     return TX.kingdom_ancestors(explode_ontology(taxonomy_dump(spark, sf))[0])

@@ -76,11 +76,11 @@ def corpus_reader(spark, sf):
 
 @query(
     "src_04_dialects",
-    "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'))) AS digest, lang FROM documents WHERE lang = 'de'",
+    "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'))) AS digest, lang FROM documents",
 )
 def dialects(spark, sf):
     path = stage_path(spark, "dialect")
-    d = load(spark, sf, "documents").where("lang = 'de'").select("doc_id", norm_space("text").alias("text"), "lang")
+    d = load(spark, sf, "documents").select("doc_id", norm_space("text").alias("text"), "lang")
     d.write.csv(path, sep=";", header=True, encoding="UTF-8", escape='"')
     df = R.read_dialect(spark, path, sep=";", encoding="UTF-8")
     return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("digest"), "lang")
@@ -240,10 +240,13 @@ def html_text(spark, sf):
   'Quantity ' || CAST(l_quantity AS BIGINT) || ' was reported ⟦B1⟧ in that year.' AS sentence FROM lineitem""",
 )
 def citation_passages(spark, sf):
-    """An article per order line whose one reference names its part by DOI, DOI in text, title, or author and year."""
+    """An article per order line whose second of three references names its part by DOI, DOI in text, title, or author and year.
+
+    The references around it are cited too, name no part, and have no DOI or an unknown one.
+    """
     p = F.col("l_partkey").cast("string")
     way = F.col("l_linenumber") % 4
-    doi = F.when(way == 0, F.concat(F.lit("<doi>10.5555/P"), p, F.lit("</doi>"))).otherwise(F.lit("<doi>none</doi>"))
+    doi = F.when(way == 0, F.concat(F.lit("<doi>10.5555/P"), p, F.lit("</doi>"))).otherwise(F.lit(""))
     mixed = (
         F.when(way == 1, F.concat(F.lit("Unknown. Some title. See 10.5555/p"), p, F.lit(".")))
         .when(way == 2, F.concat(F.lit("Someone. Catalogue entry "), p, F.lit(". Journal.")))
@@ -251,9 +254,10 @@ def citation_passages(spark, sf):
         .otherwise(F.lit("plain"))
     )
     xml = F.concat(
-        F.lit("<article><body><p>A first remark stands here. Quantity "), F.col("l_quantity").cast("bigint").cast("string"),
-        F.lit(' was reported <xref rid="B1">1</xref> in that year. Nothing else is said.</p></body><ref-list><ref id="B1">'),
-        doi, F.lit("<mixed>"), mixed, F.lit("</mixed></ref></ref-list></article>"),
+        F.lit('<article><body><p>A first remark stands here <xref rid="B0">0</xref>. Quantity '), F.col("l_quantity").cast("bigint").cast("string"),
+        F.lit(' was reported <xref rid="B1">1</xref> in that year. Nothing else is said <xref rid="B2">2</xref>.</p></body>'),
+        F.lit('<ref-list><ref id="B0"><mixed>plain</mixed></ref><ref id="B1">'),
+        doi, F.lit("<mixed>"), mixed, F.lit('</mixed></ref><ref id="B2"><doi>10.5555/none</doi></ref></ref-list></article>'),
     )
     articles = spread(load(spark, sf, "lineitem")).select(line_id().alias("doc_id"), xml.alias("xml"))
     k = F.col("p_partkey").cast("string")

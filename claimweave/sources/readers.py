@@ -184,12 +184,10 @@ def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataF
     holding the marker is returned. ``targets``: target_id, doi, title, surname, year.
     """
     doc_id = F.col("doc_id")
-    refs = articles.select(
-        doc_id,
-        F.posexplode(F.expr("xpath(xml, '//ref/@id')")).alias("i", "rid"),
-        F.expr("xpath(xml, '//ref/doi/text()')").alias("dois"),
-        F.expr("xpath(xml, '//ref/mixed/text()')").alias("mixed"),
-    ).select("doc_id", "rid", F.lower(F.get("dois", F.col("i"))).alias("ref_doi"), F.get("mixed", F.col("i")).alias("ref_text"))
+    # entry by entry, so that one without a part does not take it from the next
+    entries = articles.select(doc_id, F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<ref(?:\s[^>]*)?>.*?</ref>"), F.lit(0))).alias("entry"))
+    part = lambda path: F.expr(f"nullif(xpath_string(entry, '{path}'), '')")
+    refs = entries.select("doc_id", part("/ref/@id").alias("rid"), F.lower(part("/ref/doi")).alias("ref_doi"), part("/ref/mixed").alias("ref_text"))
     refs = refs.withColumn("text_doi", F.lower(F.regexp_replace(F.regexp_extract("ref_text", r"10\.\d{4,}/\S+", 0), r"[.,;)]+$", "")))
     refs = refs.withColumn("title_key", F.lower(F.regexp_extract("ref_text", r"\. ([^.]+)\. ", 1)))
     refs = refs.withColumn("author_year", F.concat_ws("|", F.lower(F.regexp_extract("ref_text", r"^(\p{L}+)", 1)), F.regexp_extract("ref_text", r"\b((?:19|20)\d\d)\b", 1)))
@@ -199,11 +197,9 @@ def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataF
         (3, "title_key", F.lower("title")),
         (4, "author_year", F.concat_ws("|", F.lower("surname"), F.col("year").cast("string"))),
     ]
-    hits = None
-    for rank, left, right in ways:
-        t = targets.select("target_id", right.alias("_k"))
-        h = refs.join(t, F.col(left) == F.col("_k")).select("doc_id", "rid", "target_id", F.lit(rank).alias("rank"))
-        hits = h if hits is None else hits.unionByName(h)
+    keys = lambda cols: F.inline(F.array(*[F.struct(F.lit(rank).alias("rank"), k.alias("key")) for (rank, _, _), k in zip(ways, cols, strict=True)]))
+    known = refs.select("doc_id", "rid", keys([F.col(left) for _, left, _ in ways])).where("key <> ''")
+    hits = known.join(targets.select("target_id", keys([right for _, _, right in ways])), ["rank", "key"])
     best = hits.groupBy("doc_id", "rid").agg(
         F.min_by("target_id", F.struct("rank", "target_id")).alias("target_id"), F.min("rank").alias("matched_by")
     )
