@@ -702,6 +702,7 @@ KINGDOM_RANKS = ["kingdom", "domain", "superkingdom"]
 
 # --- Fixed values: co-listed taxa -----------------------------------------------------------------------------
 LIST_SPAN_MAX = 80
+LIST_GAP = r"[\sA-Za-z0-9.,;&'()\-‐-―]"
 LIST_BREAKERS = (
     "of in on by with from to as that which for is are was were be been being has have had "
     "infect infects infected infecting parasit parasite preys prey predator transmit transmits host hosts "

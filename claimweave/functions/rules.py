@@ -101,17 +101,24 @@ def pathogen_modifier(passage: Column, s1: Column, s2: Column) -> Column:
 
 
 def co_listed(passage: Column, s1: Column, s2: Column) -> Column:
-    """Only list connectors stand between two neighbouring mentions, at most 80 characters apart."""
-    gap = rf"([\sA-Za-z0-9.,;&'()\-‐-―]{{1,{V.LIST_SPAN_MAX}}}?)"
+    """Only list connectors stand between some mention of each, at most 80 characters apart; every pair is tried."""
+    gap = rf"\A{V.LIST_GAP}{{1,{V.LIST_SPAN_MAX}}}\z"
 
     def listed(mid: Column) -> Column:
         tokens = F.transform(F.split(F.lower(mid), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;()&'\-]+|[.,;()&'\-]+$", ""))
         breaks = F.exists(tokens, lambda w: w.rlike("^(?:" + "|".join(V.LIST_BREAKERS) + ")"))
-        return mid.rlike(r"(?i)[,;]|\band\b|\bor\b") & ~breaks
+        return mid.rlike(gap) & mid.rlike(r"(?i)[,;]|\band\b|\bor\b") & ~breaks
+
+    def before_each(after: Column, y: Column) -> Column:
+        parts = F.split(after, quoted(y), -1)
+        upto = lambda i: F.aggregate(F.slice(parts, 1, i + 1), i * F.length(y), lambda n, p: n + F.length(p))
+        return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: F.substring(after, F.lit(1), upto(i)))
 
     def between(x: Column, y: Column) -> Column:
-        mids = F.regexp_extract_all(passage, F.concat(quoted(x), F.lit(gap), quoted(y)), F.lit(1))
-        return F.exists(mids, listed)
+        # a look-ahead takes what follows a mention, so that none hides another
+        room = (F.length(y) + V.LIST_SPAN_MAX + 1).cast("string")
+        ahead = F.concat(quoted(x), F.lit("(?=((?s:.{0,"), room, F.lit("})))"))
+        return F.exists(F.regexp_extract_all(passage, ahead, F.lit(1)), lambda after: F.exists(before_each(after, y), listed))
 
     def in_order(first: Column, second: Column) -> Column:
         return F.exists(first, lambda x: F.exists(second, lambda y: between(x, y)))
