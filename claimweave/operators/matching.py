@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 from claimweave.functions.text import bind
 
 
-def frequent_tokens(tokens: DataFrame, low: int, high: int, min_chars: int = 1) -> DataFrame:
-    """Dictionary of tokens whose support lies in [low, high]."""
-    n = tokens.where(F.length("token") >= min_chars).groupBy("token").agg(F.count("*").alias("n"))
-    return n.where(F.col("n").between(low, high)).select("token")
-
-
 def token_grams(text: Column, max_words: int) -> Column:
     """Array of (start, len, gram) for all runs of 1..max_words tokens of a text."""
     toks = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")

@@ -9,15 +9,13 @@ from claimweave.functions import evidence as E
 from claimweave.functions import fixed_values as V
 from claimweave.functions import relations as R
 from claimweave.functions import text as T
-from claimweave.operators import matching as MT
 from claimweave.operators.corpus import profile
 from claimweave.operators.ranking import grouped_median
-from claimweave.plans.filters import DICTIONARY, FALSE_NEG_SQL
+from claimweave.plans.filters import DICTIONARY, FALSE_NEG_SQL, dictionary
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import CATEGORY_CASE, LEX
 from claimweave.plans.sqltext import any_sql, any_stem_sql, list_sql, values_sql
 from claimweave.plans.tables import CLAIMS, SCORED, TOKENS, claims, load, scored, tokens
-from claimweave.session import stage
 
 LO_HI = "least(source_species, target_species) AS lo, greatest(source_species, target_species) AS hi"
 
@@ -321,9 +319,7 @@ def replicate_band(spark, sf):
  SELECT token, n_docs, n_hits, round(n_docs / CAST((SELECT count(*) FROM documents) AS DOUBLE), 6) AS share, n_docs * 100 > (SELECT count(*) FROM documents) AS common FROM d""",
 )
 def term_document_frequency(spark, sf):
-    t = stage(tokens(spark, sf).select("doc_id", "token"), "tokens")
-    names = MT.frequent_tokens(t, 5, 50, 6)
-    per = t.join(names, "token").groupBy("token", "doc_id").agg(F.count("*").alias("c"))
+    per = tokens(spark, sf).select("doc_id", "token").join(dictionary(spark, sf), "token").groupBy("token", "doc_id").agg(F.count("*").alias("c"))
     d = per.groupBy("token").agg(F.count("*").alias("n_docs"), F.sum("c").alias("n_hits"))
     total = load(spark, sf, "documents").agg(F.count("*")).scalar()
     return d.select("token", "n_docs", "n_hits", F.round(F.col("n_docs") / total, 6).alias("share"), (F.col("n_docs") * 100 > total).alias("common"))

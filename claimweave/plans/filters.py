@@ -10,11 +10,10 @@ from claimweave.functions import names as N
 from claimweave.functions import rules as RU
 from claimweave.functions import text as T
 from claimweave.operators.corpus import keep_first
-from claimweave.operators.matching import frequent_tokens
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import LEX
 from claimweave.plans.sqltext import any_sql, list_sql, norm_ascii_sql, q, words_sql
-from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, TOKENS, claims, load, scored, sentences, tokens
+from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, claims, load, scored, sentences
 from claimweave.session import broadcast_if_small
 
 REFS_SQL = """refs AS (SELECT o_orderkey AS ref_id, CASE WHEN o_orderkey % 3 = 0 THEN '10.1000/' || o_orderkey WHEN o_orderkey % 3 = 1 THEN '' END AS doi,
@@ -91,12 +90,20 @@ def complete_sentences(spark, sf):
     return claims(spark, sf).where(T.complete_sentence("text")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-DICTIONARY = """dictionary AS (SELECT token FROM tokens WHERE length(token) >= 6 GROUP BY token HAVING count(*) BETWEEN 5 AND 50)"""
+#: A one-word name has at least so many characters.
+NAME_CHARS = 6
+DICTIONARY = f"""dictionary AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM benchmark) WHERE length(token) >= {NAME_CHARS})"""
+
+
+def dictionary(spark, sf):
+    """One-word names: the words of the ``benchmark`` texts, however often documents use them."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")
+    return load(spark, sf, "benchmark").select(words).where(F.length("token") >= NAME_CHARS).distinct()
 
 
 @query(
     "flt_07_recall_prefilter",
-    f"""WITH {SENTENCES}, {TOKENS}, {DICTIONARY}, h AS (SELECT DISTINCT doc_id, sent_id FROM
+    f"""WITH {SENTENCES}, {DICTIONARY}, h AS (SELECT DISTINCT doc_id, sent_id FROM
    (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
  SELECT s.doc_id, s.sent_id, {any_sql("lower(sentence)", V.STRONG_TERMS + V.WEAK_TERMS)} AS by_term, h.doc_id IS NOT NULL AS by_name
  FROM sentences s LEFT JOIN h ON h.doc_id = s.doc_id AND h.sent_id = s.sent_id WHERE {any_sql("lower(sentence)", V.STRONG_TERMS + V.WEAK_TERMS)} OR h.doc_id IS NOT NULL""",
@@ -104,7 +111,7 @@ DICTIONARY = """dictionary AS (SELECT token FROM tokens WHERE length(token) >= 6
 def recall_prefilter(spark, sf):
     """Interaction term by one alternation scan; name by a join of the sentence tokens with the dictionary."""
     s = sentences(spark, sf).select("doc_id", "sent_id", "sentence")
-    names = frequent_tokens(tokens(spark, sf), 5, 50, 6)
+    names = dictionary(spark, sf)
     low = F.lower("sentence")
     words = s.select("doc_id", "sent_id", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
     hits = words.join(names, "token").groupBy("doc_id", "sent_id").agg(F.lit(True).alias("by_name"))

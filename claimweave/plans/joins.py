@@ -6,16 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
-from claimweave.functions.text import good_sentence
 from claimweave.operators import joins as J
 from claimweave.operators import leakage as L
 from claimweave.operators import matching as MT
 from claimweave.operators import taxonomy as TX
-from claimweave.plans.filters import DICTIONARY, GOOD_SQL
+from claimweave.plans.filters import DICTIONARY, NAME_CHARS, dictionary
 from claimweave.plans.registry import query
 from claimweave.plans.sources import taxonomy_dump
 from claimweave.plans.sqltext import norm_ascii_sql
-from claimweave.plans.tables import CLAIMS, SENTENCES, TOKENS, claims, load, sentences, tokens
+from claimweave.plans.tables import CLAIMS, SENTENCES, TOKENS, claims, load, sentences
 from claimweave.session import broadcast_if_small
 from claimweave.sources.readers import explode_ontology
 
@@ -150,17 +149,15 @@ def article_sentences(spark, sf):
     return j.withColumn("rk", F.row_number().over(w)).where("rk <= 3").select("interaction_id", "doc_id", "sent_id")
 
 
-BIGRAMS = """bigrams AS (SELECT name FROM (SELECT a.token || ' ' || b.token AS name FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1) GROUP BY name HAVING count(*) BETWEEN 5 AND 50),
+BIGRAMS = """bigrams AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (
+ SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark))),
 names AS (SELECT token AS name FROM dictionary UNION SELECT name FROM bigrams)"""
 
 
 def dictionary_names(spark, sf):
-    """Words and two-word names of the documents with support 5–50."""
-    t = tokens(spark, sf)
-    one = MT.frequent_tokens(t, 5, 50, 6).select(F.col("token").alias("name"))
-    nxt = t.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("token").alias("t2"))
-    two = t.join(nxt, ["doc_id", "pos"]).select(F.concat_ws(" ", "token", "t2").alias("token"))
-    return one.union(MT.frequent_tokens(two, 5, 50).select(F.col("token").alias("name"))).distinct()
+    """Words and two-word names of the ``benchmark`` texts."""
+    grams = load(spark, sf, "benchmark").select(F.inline(MT.token_grams(F.col("text"), 2)))
+    return grams.where((F.col("len") == 2) | (F.length("gram") >= NAME_CHARS)).select(F.col("gram").alias("name")).distinct()
 
 
 @query(
@@ -182,12 +179,12 @@ def longest_match(spark, sf):
 
 @query(
     "str_19_terms_found",
-    f"""WITH {SENTENCES}, {TOKENS}, {DICTIONARY}, t AS (SELECT DISTINCT doc_id, sent_id, token FROM (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
+    f"""WITH {SENTENCES}, {DICTIONARY}, t AS (SELECT DISTINCT doc_id, sent_id, token FROM (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
  SELECT doc_id, sent_id, string_agg(token, ',' ORDER BY token) AS terms FROM t GROUP BY ALL""",
 )
 def terms_found(spark, sf):
     s = sentences(spark, sf).select("doc_id", "sent_id", "sentence")
-    names = MT.frequent_tokens(tokens(spark, sf), 5, 50, 6).select(F.col("token").alias("name"))
+    names = dictionary(spark, sf).select(F.col("token").alias("name"))
     hits = MT.dictionary_hits(s, ["doc_id", "sent_id"], "sentence", names, 1)
     return hits.groupBy("doc_id", "sent_id").agg(F.array_join(F.array_sort(F.collect_set("gram")), ",").alias("terms"))
 
@@ -229,15 +226,15 @@ def overlapping(spark, sf):
     return J.overlapping_spans(a, b, ["row_id"])
 
 
-MENTIONS = f"""{SENTENCES}, {TOKENS}, {DICTIONARY}, mentions AS (SELECT doc_id, sent_id, min(i) AS pos, w[i] AS name, CASE WHEN length(w[i]) % 2 = 0 THEN 'HOST' ELSE 'PATHOGEN' END AS type FROM (
- SELECT doc_id, sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, sent_id, list_filter(string_split_regex(lower(sentence), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM sentences WHERE {GOOD_SQL}))
+MENTIONS = f"""{SENTENCES}, {DICTIONARY}, mentions AS MATERIALIZED (SELECT doc_id, sent_id, min(i) AS pos, w[i] AS name, CASE WHEN length(w[i]) % 2 = 0 THEN 'HOST' ELSE 'PATHOGEN' END AS type FROM (
+ SELECT doc_id, sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, sent_id, list_filter(string_split_regex(lower(sentence), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM sentences))
  WHERE w[i] IN (SELECT token FROM dictionary) GROUP BY doc_id, sent_id, w[i])"""
 
 
 def mentions(spark, sf):
-    """First mention of each dictionary name per good sentence (40–600 characters)."""
-    s = sentences(spark, sf).where(good_sentence("sentence")).select("doc_id", "sent_id", "sentence")
-    names = MT.frequent_tokens(tokens(spark, sf), 5, 50, 6).select(F.col("token").alias("name"))
+    """First mention of each dictionary name per sentence, of whatever length."""
+    s = sentences(spark, sf).select("doc_id", "sent_id", "sentence")
+    names = dictionary(spark, sf).select(F.col("token").alias("name"))
     hits = MT.dictionary_hits(s, ["doc_id", "sent_id"], "sentence", names, 1)
     first = hits.groupBy("doc_id", "sent_id", F.col("gram").alias("name")).agg(F.min("start").alias("pos"))
     return first.withColumn("type", F.when(F.length("name") % 2 == 0, "HOST").otherwise("PATHOGEN"))
@@ -248,8 +245,10 @@ def mentions(spark, sf):
     f"WITH {MENTIONS} SELECT a.doc_id, a.sent_id, a.name AS first, b.name AS second FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND a.sent_id = b.sent_id AND a.pos < b.pos WHERE a.type <> b.type",
 )
 def typed_pairs(spark, sf):
-    m = mentions(spark, sf).groupBy("doc_id", "sent_id").agg(F.collect_list(F.struct("pos", "name", "type")).alias("m"))
-    return m.select("doc_id", "sent_id", F.inline(J.typed_pairs(F.col("m"), [("PATHOGEN", "HOST")]))).select("doc_id", "sent_id", "first", "second")
+    """Ordered pairs of a pathogen and a host of one sentence, by a join on the sentence and the other type."""
+    m = mentions(spark, sf)
+    b = m.select("doc_id", "sent_id", F.col("name").alias("second"), F.col("pos").alias("pos_2"), F.when(F.col("type") == "HOST", "PATHOGEN").otherwise("HOST").alias("type"))
+    return m.join(b, ["doc_id", "sent_id", "type"]).where("pos < pos_2").select("doc_id", "sent_id", F.col("name").alias("first"), "second")
 
 
 def name_table(spark, sf):
