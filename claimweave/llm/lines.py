@@ -55,7 +55,8 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     d = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns], whole_text(text).alias("_text")).withColumn("_ref", doc_ref(F.col(f"_c_{doc_id}"), F.col("_text")))
     drops = stage(repeated_chunks(d.select(F.col("_ref").alias("ref"), F.col("_text").alias("text")), mean_lines), "line-drops")
-    j = d.join(drops.withColumnRenamed("ref", "_ref"), "_ref", "left")
+    # a merge join at every size
+    j = d.join(drops.withColumnRenamed("ref", "_ref").hint("merge"), "_ref", "left")
     kept = let(_chunks(F.col("_text"), mean_lines), lambda c: F.filter(c, lambda x, i: ~F.array_contains("drop", i)))
     j = j.withColumn("_kept", F.when(F.col("drop").isNotNull(), kept))
     n_lines = F.size(F.split("_text", "\n", -1)).cast("bigint")
