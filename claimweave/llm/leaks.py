@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment of words.
 
-Words are compared in lower case and without punctuation. The rarer half of a test item's grams, by their counts in all
-documents, are its seeds. Where a seed occurs, the text around it is aligned with the item (Smith-Waterman over words),
+Words are compared in lower case and without punctuation. Of a test item's grams that documents hold, the rarer half, by
+their counts in all documents, are its seeds. Where a seed occurs, the text around it is aligned with the item (Smith-Waterman over words),
 so that copies with words changed, put in or left out are found and scored.
 """
 
@@ -46,13 +46,17 @@ class Items:
         self.distinct = np.unique(self.gram)
 
     def seeds(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(gram, item) of the rarer half of each item's grams; all that are as rare as the last of them."""
+        """(gram, item) of the rarer half of each item's grams that occur; all that are as rare as the last of them.
+
+        Grams of no document are not ranked: they find nothing, and where a copy has many words changed they are most.
+        """
         n = np.array([counts.get(int(g), 0) for g in np.searchsorted(self.distinct, self.gram)], np.int64)
         keep = np.zeros(len(n), bool)
         order = np.argsort(self.owner, kind="stable")
         cuts = np.searchsorted(self.owner[order], np.arange(len(self.ids) + 1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:b]
+            own = own[n[own] > 0]
             if len(own):
                 keep[own] = n[own] <= np.sort(n[own])[(len(own) - 1) // 2]
         at = np.flatnonzero(keep)

@@ -190,6 +190,18 @@ def test_leaks(spark, odd):
     assert leaks.leaks(table(spark, docs), items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("nth", [4, 5])
+def test_leaks_of_copies_with_every_nth_word_changed(spark, odd, nth):
+    """Most grams of such a copy are changed and occur nowhere; the corpus holds the item in no other form."""
+    texts = {k: prose(n, 700 + n) for k, n in enumerate((30, 40, 60))}
+    changed = {k: " ".join(f"other{j}" if j % nth == nth - 1 else x for j, x in enumerate(t.split())) for k, t in texts.items()}
+    docs = [*odd, *[(50 + k, f"{prose(50, 71 + k)} {t} {prose(50, 81 + k)}", "s") for k, t in changed.items()]]
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    got = leaks.leaks(table(spark, docs), items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(50, 0), (51, 1), (52, 2)]
+    assert leaks.clean_documents(table(spark, docs), items).count() == len(odd)
+
+
 def test_url_model_on_held_out_hosts(spark):
     r = random.Random(4)
     bad = [(f"http://{r.choice(['casino', 'bets'])}-{r.choice('abc')}{k}.win-{k % 7}.com/x?{'&'.join(f'p{i}={r.random()}' for i in range(6))}", 1) for k in range(300)]
