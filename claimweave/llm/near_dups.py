@@ -25,6 +25,8 @@ from claimweave.llm.tokens import U, mix, tokenized
 SHINGLE = 5
 #: 42 bands of 6 registers miss a pair of similarity 0.8 with a chance of 3 in a million.
 BANDS, ROWS = 42, 6
+#: Texts and shingles of a bucket's part; two parts meet in a block.
+PART_TEXTS, PART_ELEMENTS = 4096, 2_000_000
 _STEP, _LEVEL = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _UNIT = 1.0 / (1 << 53)
 
@@ -131,20 +133,24 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.mapInPandas(_verify(threshold), "a binary, b binary")
 
 
-def candidates(signed: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) to compare, from ``signed`` (digest, weight, bands): as many rows as texts have bands, at most three each.
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """(digest, weight, band, next) of ``signed`` (digest, weight, bands): a row for each band that another text shares."""
+    n = F.size("bands")
+    each = F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.xxhash64(x, F.get("bands", (i + 1) % n)).alias("next")))
+    rows = signed.select("digest", "weight", F.inline(each))
+    # what shares a bucket at all; a merge join at every size, whose hot buckets are split
+    full = stage(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-buckets")
+    return stage(rows.join(full.hint("merge"), "band"), "near-members")
+
+
+def candidates(held: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) to compare first, from bucket members: as many rows as texts have bands, at most three each.
 
     A text is compared with the least and the greatest digest of each of its buckets, and with the least of those that
     also share the next band, which parts buckets that only a common passage fills. Sizes that rule the threshold out
     are left out.
     """
-    n = F.size("bands")
-    each = F.transform("bands", lambda x, i: F.struct(x.alias("band"), F.xxhash64(x, F.get("bands", (i + 1) % n)).alias("next")))
-    rows = signed.select("digest", "weight", F.inline(each))
     own = F.struct("digest", "weight")
-    # what shares a bucket at all; a merge join at every size, whose hot buckets are split
-    full = stage(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "near-buckets")
-    held = stage(rows.join(full.hint("merge"), "band"), "near-members")
     ends = stage(held.groupBy("band").agg(F.min(own).alias("low"), F.max(own).alias("high")), "near-ends")
     members = held.join(ends.hint("merge"), "band")
     closer = held.groupBy("next").agg(F.min(own).alias("low"), F.max("digest").alias("_top")).where("low.digest <> _top").drop("_top")
@@ -155,20 +161,123 @@ def candidates(signed: DataFrame, threshold: float) -> DataFrame:
     return pair.distinct()
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The multiset as a set: the k-th occurrence of a shingle is an element of its own."""
+    for batch in batches:
+        for w in tokenized(batch.column("text")):
+            text, key, count = _shingles(w)
+            nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            elements = mix(np.repeat(key, count) + nth.astype(U) * _STEP)
+            ends = np.searchsorted(np.repeat(text, count), np.arange(len(w.rows) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(w.rows)), pa.ListArray.from_arrays(ends, pa.array(elements.view(np.int64)))], names=["digest", "elements"])
+
+
+def _spanning(cls: np.ndarray, part: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Links between the classes of a block, as many as join what they join; of two parts, only pairs across them."""
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    element = np.concatenate(sets)
+    order = np.argsort(element, kind="stable")
+    element, of = element[order], of[order]
+    names, cls = np.unique(cls, return_inverse=True)
+    split = part.min() != part.max()
+    # the largest class meets the others from their side
+    most = np.bincount(cls).argmax()
+    done = np.zeros(len(sets), bool)
+    out = []
+    for x in np.flatnonzero(cls != most).tolist():
+        done[x] = True
+        fit = ~done & (cls != cls[x]) & (np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x]))
+        if split:
+            fit &= part != part[x]
+        if not fit.any():
+            continue
+        lo, hi = np.searchsorted(element, sets[x], "left"), np.searchsorted(element, sets[x], "right")
+        n = hi - lo
+        both = np.bincount(of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(sets))
+        for y in np.flatnonzero(fit & (both / np.maximum(size + size[x] - both, 1) >= threshold)).tolist():
+            if cls[x] != cls[y]:
+                out.append((x, y))
+                cls[cls == cls[y]] = cls[x]
+    return out
+
+
+def _apart(threshold: float):
+    def block(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cls, part = t["cls"].to_numpy(), t["part"].to_numpy()
+        if len(cls) < 2 or cls.min() == cls.max():
+            return
+        lists = t["elements"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        if found := _spanning(cls, part, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], threshold):
+            digest = t["digest"].combine_chunks()
+            yield pa.RecordBatch.from_arrays([digest.take(pa.array([f[k] for f in found])).cast(pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of a block that goes on in the next batch
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("band", "low", "high")])
+            cuts = [0, *(np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (key := tuple(keys[:, a])) != last and kept:
+                    yield from block(pa.Table.from_batches(kept))
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+                last = key
+        if kept:
+            yield from block(pa.Table.from_batches(kept))
+
+    return run
+
+
+def links_between(held: DataFrame, cls: DataFrame, d: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) that join the classes ``cls`` (node, root) found so far wherever two of them share a bucket.
+
+    Every pair of a bucket whose texts lie in different classes is compared. A large bucket is dealt into parts, and
+    each two parts meet in a block of bounded size; the pairs are formed inside the block, no row is made for them.
+    None if no bucket holds two classes.
+    """
+    known = held.select("band", "digest", "weight").join(cls.select(F.col("node").alias("digest"), "root"), "digest", "left")
+    known = stage(known.select("band", "digest", "weight", F.xxhash64(F.coalesce("root", "digest")).alias("cls")), "near-members")
+    parts = F.ceil(F.greatest(F.count("*") / PART_TEXTS, F.sum("weight") / PART_ELEMENTS)).cast("int")
+    opened = stage(known.groupBy("band").agg(F.min("cls").alias("_c"), F.max("cls").alias("_d"), parts.alias("parts")).where("_c <> _d").select("band", "parts"), "near-buckets")
+    if opened.isEmpty():
+        return None
+    part = F.pmod(F.xxhash64("digest", F.lit(7)), F.col("parts")).cast("int")
+    mine = stage(known.join(opened.hint("merge"), "band").select("band", "digest", "cls", "parts", part.alias("part")), "near-open")
+    texts = d.groupBy("digest").agg(F.first("text").alias("text")).join(mine.select("digest").distinct(), "digest").select("digest", "text")
+    sets = stage(texts.mapInArrow(_elements, "digest binary, elements array<bigint>"), "near-elements")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    # with more than one part, a part meets itself in a block with no other
+    dealt = mine.withColumn("other", other).select("band", "digest", "cls", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    key = ["band", "low", "high"]
+    blocks = dealt.join(sets.hint("merge"), "digest").repartition(*key).sortWithinPartitions(*key)
+    return stage(blocks.select(*key, "digest", "cls", "part", "elements").mapInArrow(_apart(threshold), "a binary, b binary"), "near-links")
+
+
 def classes(docs: DataFrame, text: str = "text", threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Distinct texts that have a link → digest, root: the smallest digest of the texts joined by links.
 
-    Copies of a text are one text. Work grows with the number of texts, also inside a group of near copies: links that
-    no comparison sees are bridged by the ones that do, since a bucket's members and its ends change from band to band.
+    Copies of a text are one text. A first pass compares a few pairs a text, which joins most near copies; then every
+    pair that shares a bucket and still lies in two classes is compared, so that no such link is lost.
     """
     d = docs.select(whole_text(text).alias("text")).withColumn("digest", text_digest(F.col("text"))).where(F.col("text") != "")
     signed = d.mapInArrow(_sign(bands, rows), "digest binary, weight bigint, bands array<bigint>")
     once = stage(signed.groupBy("digest").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "near-signatures")
-    pairs = stage(candidates(once, threshold), "near-pairs")
+    held = bucket_members(once)
+    pairs = stage(candidates(held, threshold), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     texts = stage(d.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest"), "near-texts")
     found = stage(links(pairs, texts, threshold), "near-links")
-    return stage(components(found), "near-classes").select(F.col("node").alias("digest"), "root")
+    cls = stage(components(found), "near-classes")
+    more = links_between(held, cls, d, threshold)
+    if more is not None and not more.isEmpty():
+        cls = stage(components(found.unionByName(more)), "near-classes")
+    return cls.select(F.col("node").alias("digest"), "root")
 
 
 def with_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw) -> DataFrame:

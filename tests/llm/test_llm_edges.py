@@ -112,6 +112,28 @@ def test_chains_of_links_stay_one_class(spark):
     assert all(c == d // 100 * 100 for d, c in got.items())
 
 
+@pytest.mark.parametrize("part", [4096, 40])
+def test_versions_of_a_template_equal_all_pairs(spark, monkeypatch, part):
+    """Most versions are just under the threshold to each other, so few links stand for others of their class."""
+    monkeypatch.setattr(near_dups, "PART_TEXTS", part)
+    r = random.Random(11)
+    base, rows = prose(254, 31).split(), []
+    for k in range(300):
+        w = list(base)
+        for j in r.sample(range(2, 252), 4):
+            w[j] = f"v{k}at{j}"
+        rows.append((k, " ".join(w), "s"))
+    bags = [near_dups._bag(t) for _, t, _ in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if near_dups.similarity(bags[a], bags[b]) >= 0.8 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    got = {x._c_doc_id: x.class_id for x in near_dups.with_class(table(spark, rows)).collect()}
+    assert len(set(root)) < len(rows) - 10 and got == dict(enumerate(root))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 2**63, 60, dtype=np.uint64)
