@@ -20,3 +20,19 @@ def hash_bucket(digest: Column, n_hex: int = 4) -> Column:
 def unit_draw(digest: Column) -> Column:
     """Uniform draw in [0, 1) with 16 bits."""
     return hash_bucket(digest, 4) / F.lit(65536.0)
+
+
+def permuted(place: Column, size: Column, *seed: Column | str | int, rounds: int = 48) -> Column:
+    """Bijection of 0 … ``size`` - 1, keyed by ``seed``: where ``place`` goes. No sort, no window, any size.
+
+    In each round a place and its mirror about a drawn number swap or stay together, as a bit drawn for the pair says;
+    so every round is a bijection whatever the size.
+    """
+    key = F.xxhash64(*[F.lit(s) if not isinstance(s, Column) else s for s in seed])
+
+    def step(x: Column, k: Column) -> Column:
+        mirror = F.pmod(F.pmod(F.xxhash64(key, k, F.lit(0)), size) - x, size)
+        swap = F.xxhash64(key, k, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1
+        return F.when(swap, mirror).otherwise(x)
+
+    return F.when(size > 1, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place.cast("bigint"), step)).otherwise(place.cast("bigint"))
