@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.session import stage as _stage
+from claimweave.session import stage_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -34,10 +34,46 @@ def shuffles_removed(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
+#: Lists that take the folders written while they are open.
+_open: list[list[str]] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back; the shuffle files that made it are removed."""
-    with shuffles_removed(df.sparkSession):
-        return _stage(df, name)
+    spark = df.sparkSession
+    path = stage_path(spark, name)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
+    for paths in _open:
+        paths.append(path)
+    return spark.read.parquet(path)
+
+
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """While open, the folders that ``stage`` writes are listed, in order."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open.pop(next(k for k, p in enumerate(_open) if p is paths))
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Remove written stages that nothing reads any more."""
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()``; of the stages written meanwhile, those that its result does not read are removed."""
+    with made() as paths:
+        out = build()
+    files = out.inputFiles()
+    removed(spark, [p for p in paths if not any(p.rpartition("/")[2] in f for f in files)])
+    return out
 
 
 def small(staged: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

@@ -11,19 +11,20 @@ from claimweave.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b; any ordered type) → node, root (smallest node of its component), for nodes that have an edge.
 
-    Large star and small star in turn, minima aggregated before the shuffle. Each round is written; the rounds end when
-    every node but the roots has one edge, and that to a root.
+    Large star and small star in turn, minima aggregated before the shuffle and written before they are joined, so that
+    the edges of a hub are dealt to several tasks. Each round is written; the rounds end when every node but the roots
+    has one edge, and that to a root.
     """
     state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
 
     def large(e: DataFrame) -> DataFrame:
         near = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = stage(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-low")
+        return near.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
     def little(e: DataFrame) -> DataFrame:
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = stage(e.groupBy("u").agg(F.min("v").alias("m")), "components-low")
+        moved = e.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
     while True:

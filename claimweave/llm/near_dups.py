@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import text_digest, stage, whole_text
+from claimweave.llm.common import stage, text_digest, tidy, whole_text
 from claimweave.llm.components import components
 from claimweave.llm.tokens import U, mix, tokenized
 
@@ -299,9 +299,13 @@ def with_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw) -> DataFrame:
-    """The kept row of every class, with the columns of ``docs``."""
-    marked = with_class(docs, text, doc_id, **kw).where("_leads").withColumn("_row", F.monotonically_increasing_id())
-    same_id = F.col(f"_c_{doc_id}").eqNullSafe(F.col("class_id"))
-    led = stage(marked.where(same_id), "near-kept")
-    lead = led.groupBy("_ident").agg(F.min("_row").alias("_row"))
-    return led.join(lead, ["_ident", "_row"], "left_semi").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+    """The kept row of every class, with the columns of ``docs``; what was written on the way is removed."""
+
+    def build() -> DataFrame:
+        marked = with_class(docs, text, doc_id, **kw).where("_leads").withColumn("_row", F.monotonically_increasing_id())
+        same_id = F.col(f"_c_{doc_id}").eqNullSafe(F.col("class_id"))
+        led = stage(marked.where(same_id), "near-kept")
+        lead = led.groupBy("_ident").agg(F.min("_row").alias("_row"))
+        return led.join(lead, ["_ident", "_row"], "left_semi").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+
+    return tidy(docs.sparkSession, build)

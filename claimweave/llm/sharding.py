@@ -8,10 +8,11 @@ and every shard is permuted again.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small, stage, whole_text
+from claimweave.functions.hashing import permuted
+from claimweave.llm.common import stage, whole_text
 
 #: numpy draws hypergeometric counts from at most this many rows.
 DRAW_LIMIT = 10**9 - 1
@@ -70,29 +71,32 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> list[
 def shuffled(docs: DataFrame, n_shards: int = 16, seed: int = 7) -> DataFrame:
     """``docs`` with ``shard`` (int) and ``slot`` (bigint, gapless from 0 in each shard); sizes differ by one at most.
 
-    The input is written first, with its partition, so that lost tasks are repeated on the same rows. Values play no
-    part: nulls, repeated rows and hot keys are spread like all others. Columns named shard or slot are replaced.
+    The input is written first, with each row's partition and place in it, so that lost tasks are repeated on the same
+    rows. A row's new place in its partition, its shard and its slot follow from these two numbers and the matrix;
+    whole rows move once, to files of one shard. Values play no part: nulls, repeated rows and hot keys are spread like
+    all others. Columns named shard or slot are replaced, all others stay as they are; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    d = docs.drop("shard", "slot")
+    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    d = docs.select(*[F.col(c).alias(f"_c_{c}") for c in kept])
     d = stage(d.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "shard-rows")
     counts = sorted((r["_part"], r["n"]) for r in d.groupBy("_part").agg(F.count("*").alias("n")).collect())  # one row per partition
     total = sum(n for _, n in counts)
     sizes = [total // n_shards + (k < total % n_shards) for k in range(n_shards)]
     matrix = communication_matrix([n for _, n in counts], sizes, seed)
-    lines = spark.createDataFrame([(p, np.cumsum(line).tolist()) for (p, _), line in zip(counts, matrix, strict=True)], "_part int, _bounds array<bigint>")
-    local = Window.partitionBy("_part").orderBy(F.xxhash64(F.lit(seed), "_row"), "_row")
+    before = np.cumsum([[0] * n_shards, *matrix], axis=0)[:-1] if counts else []
+    rows = [(p, n, np.cumsum(line).tolist(), (o - np.cumsum(line) + line).tolist()) for (p, n), line, o in zip(counts, np.array(matrix), before, strict=True)]
+    lines = spark.createDataFrame(rows, "_part int, _n bigint, _bounds array<bigint>, _shift array<bigint>")
+    dealt = d.join(F.broadcast(lines) if len(counts) <= 10_000 else lines, "_part")
+    # the row number's lower 33 bits count within its partition
+    local = permuted(F.col("_row").bitwiseAND(F.lit(2**33 - 1)), F.col("_n"), F.lit(seed), F.col("_part"))
+    dealt = dealt.withColumn("_local", local).withColumn("shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_local"))))
+    held = F.get(F.array(*[F.lit(n).cast("bigint") for n in sizes]), F.col("shard"))
+    slot = permuted(F.col("_local") + F.get("_shift", F.col("shard")), held, F.lit(seed), F.lit("shard"), F.col("shard"))
+    # a shard's rows go to several tasks by ranges of slots, whatever its size
     groups = max(LEAST_GROUPS, -(-total // (n_shards * ROWS_PER_GROUP)))
-    lines = F.broadcast(lines) if len(counts) <= 10_000 else lines
-    dealt = d.withColumn("_r", F.row_number().over(local) - 1).join(lines, "_part").withColumn("shard", F.size(F.filter("_bounds", lambda b: b <= F.col("_r")))).drop("_bounds", "_r", "_part")
-    again = F.xxhash64(F.lit(seed + 1), "_row")
-    dealt = dealt.withColumns({"_h": again, "_g": F.pmod(F.shiftright(again, 20), F.lit(groups))})
-    held = dealt.groupBy("shard", "_g").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    shift = small(stage(held.select("shard", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o")), "shard-offsets"))
-    inside = Window.partitionBy("shard", "_g").orderBy("_h", "_row")
-    placed = dealt.withColumn("_k", F.row_number().over(inside) - 1).join(shift, ["shard", "_g"])
-    return placed.withColumn("slot", (F.col("_k") + F.col("_o")).cast("bigint")).drop("_k", "_o", "_g", "_h", "_row")
+    placed = dealt.withColumn("slot", slot).withColumn("_g", F.floor(F.col("slot") * groups / held))
+    return placed.repartition("shard", "_g").select(*[F.col(f"_c_{c}").alias(c) for c in kept], "shard", "slot")
 
 
 def row_size(text: str) -> Column:
