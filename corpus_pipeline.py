@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from claimweave.llm import leaks, mixing, near_dups, quality, sharding
-from claimweave.llm.common import read, stage
+from claimweave.llm.common import made, read, removed, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read back."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read back; a stage's input and scratch files go once it is written."""
+    docs, old = read(spark, sf_dir, "documents"), []
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with made() as paths:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        removed(spark, [*old, *paths[:-1]])
+        old = paths[-1:]
     return docs
