@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import html_text, leaks, lines, mixing, near_dups, quality, sharding, substrings, urls, warc
+from claimweave.llm import html_text, leaks, lines, mixing, near_dups, phrases, quality, sharding, substrings, urls, warc
 from claimweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     found = leaks.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", F.round("score", 4).alias("score"), "start", "end")
+
+
+@query("op13_stripes", phrases.SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf, "documents").select("text", "lang"))

@@ -118,3 +118,12 @@ def _words(rows: np.ndarray, data: np.ndarray, offsets: np.ndarray, separators:
     ends = np.flatnonzero(~gap & (after | text_start[1:])) + 1
     hashes = mix(_sums(_BYTE[data], starts, ends, _WORD_BASE) + (ends - starts).astype(U)) if size else np.zeros(0, U)
     return Words(rows, np.searchsorted(starts, offsets), starts, ends, data, hashes)
+
+
+def word_keys(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each of some words (large binary), alike in every task."""
+    n = len(words)
+    at = np.frombuffer(words.buffers()[1], np.int64, n + 1, words.offset * 8) if n else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    return mix(_sums(_BYTE[data], at[:-1], at[1:], _WORD_BASE) + np.diff(at).astype(U))
