@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import html_text, leaks, lines, mixing, near_dups, phrases, quality, sharding, substrings, urls, warc
+from claimweave.llm import alignment, html_text, leaks, lines, mixing, near_dups, phrases, quality, sharding, substrings, urls, vectors, warc
 from claimweave.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,17 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("score", 4).alias("score"), "start", "end")
 
 
+@query("op11_pivots", vectors.SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    v = vectors.linked(read(spark, sf, "embeddings"), ["vec_id"])
+    return v.select(F.col("_c_vec_id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("op12_lockstep")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.counted(read(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query("op13_stripes", phrases.SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(read(spark, sf, "documents").select("text", "lang"))
