@@ -2,8 +2,9 @@
 
 Both token sequences of a text cover the same bytes. Offsets at which a token of each ends cut the text into groups;
 the tokens of a group are linked, each of the one side with each of the other. All texts of a batch are merged in
-lockstep: one vector holds every text's place in both sequences, a step advances all of them by one token, and texts
-that are done leave the vector.
+lockstep: one vector holds every place in both sequences, a step advances all of them by one token, and what is done
+leaves the vector. Texts enter it in stretches, cut before spaces where both tokenizers must end a token; a stretch that
+the batch holds many times enters once.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from claimweave.llm.common import small, stage
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text merged at once, of a lane (a longer text takes several where words are apart), and encoded at once.
-CHUNK_CHARS, LANE_CHARS, ENCODE_CHARS = 6_000_000, 1_500, 200_000
+#: Bytes of text merged at once, of a lane of stretches, and characters encoded at once.
+CHUNK_BYTES, LANE_BYTES, ENCODE_CHARS = 3_000_000, 1_500, 200_000
 #: Links of a group up to which they are written one by one; equal tokens of a longer group are counted first.
 LINKS_LISTED = 64
 #: Pairs of token ids, the most frequent ones, that are sent to the tasks; the others are joined by a shuffle.
@@ -96,21 +97,20 @@ def longest_run(text: str) -> int:
     return max(map(len, text.split(" ")), default=0) if len(text) > PLAIN_RUN else len(text)
 
 
-def segments(text: str, size: int = LANE_CHARS) -> list[str]:
-    """``text`` cut before single spaces between two ASCII letters, about ``size`` characters apart.
+def stretches(data: np.ndarray) -> np.ndarray:
+    """Where UTF-8 ``data`` may be cut: before a single space between two characters that are not white space.
 
-    Neither tokenizer has a token over such a place, and what stands on one side does not change the other.
+    Neither tokenizer has a token over such a place, and what stands on one side does not change the other. Characters
+    are taken as such if they are printable ASCII, or of two bytes beyond U+00BF; others leave their place uncut.
     """
-    out, at = [], 0
-    while len(text) - at > size:
-        cut = text.find(" ", at + size)
-        while cut >= 0 and not (text[cut - 1 : cut + 2].isascii() and text[cut - 1].isalpha() and text[cut + 1 : cut + 2].isalpha()):
-            cut = text.find(" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    at = np.flatnonzero(data[1:-1] == 0x20) + 1
+    before, after = data[at - 1], data[at + 1]
+    lead = data[np.maximum(at - 2, 0)]
+    left = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF))
+    right = ((after > 0x20) & (after < 0x7F)) | ((after >= 0xC3) & (after <= 0xDF))
+    return at[left & right]
 
 
 @lru_cache(2)
@@ -119,7 +119,7 @@ def tokenizers(folder: str) -> tuple[ByteBpe, PieceBpe]:
 
 
 def encoded(lanes: list[str], a: ByteBpe, b: PieceBpe) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Ids of each lane (a text or a segment, with a space in front) by both tokenizers."""
+    """Ids of each lane (a text or a stretch of one, with a space in front) by both tokenizers."""
     out: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     at = 0
     while at < len(lanes):
@@ -173,6 +173,17 @@ def _digits(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, count
 
 
+def summed(of: np.ndarray, key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` summed by (of, key), in order."""
+    names, code = np.unique(key, return_inverse=True)
+    both = of * max(len(names), 1) + code
+    order = np.argsort(both)
+    both = both[order]
+    new = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+    at = order[new]
+    return of[at], key[at], np.add.reduceat(n[order], new) if len(new) else n
+
+
 class Aligner:
     def __init__(self, a: ByteBpe, b: PieceBpe):
         self.a, self.b = a, b
@@ -210,50 +221,93 @@ class Aligner:
             found.append((np.full(len(key), g), key, (n[:, None] * m[None, :]).ravel()))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def batch(self, texts: list[str]) -> dict[str, np.ndarray | list[str]]:
-        """Of each text: n_a, n_b, n_groups, n_links and groups_sha256; ``pairs`` and ``links`` of all, cut at ``ends``."""
-        lanes: list[str] = []
-        of: list[int] = []
-        for k, t in enumerate(texts):
-            for s in (segments(" " + t) if self.b.apart else [" " + t]) if t else []:
-                lanes.append(s)
-                of.append(k)
-        text = np.array(of, np.int64)
-        both = encoded(lanes, self.a, self.b)
-        want = [s.encode() for s in lanes]
-        good = np.ones(len(texts), bool)
-        for side, ids in zip((self.a, self.b), both, strict=True):
-            raw = b"".join([side.bytes_of[i] for i in np.concatenate([*ids, np.zeros(0, np.int64)]).tolist()])
-            at = 0
-            for k, i, w in zip(of, ids, want, strict=True):
-                n = int(side.lengths[i].sum())
-                if raw[at : at + n] != w:
-                    good[k] = False
-                at += n
-        kept = np.flatnonzero(good[text]) if len(text) else np.zeros(0, np.int64)
-        text = text[kept]
-        flat, first, ends = [], [], []
-        for side, ids in zip((self.a, self.b), both, strict=True):
-            mine = [ids[k] for k in kept.tolist()]
+    def merged(self, units: pa.Array) -> dict[str, np.ndarray | list[bytes]]:
+        """Of each stretch (large binary): whether both sides spell it, n_a, n_b, n_groups, its groups as bytes; ``pairs`` and ``links`` cut at ``ends``.
+
+        Stretches between which a text may be cut stand behind each other in lanes; the vector holds a place a lane.
+        """
+        size = len(units)
+        stop = np.frombuffer(units.buffers()[1], np.int64, size + 1, units.offset * 8) if size else np.zeros(1, np.int64)
+        data = np.frombuffer(units.buffers()[2], np.uint8)[stop[0] : stop[-1]] if stop[-1] > stop[0] else np.zeros(0, np.uint8)
+        stop = stop - stop[0]
+        # a stretch goes on in the lane of the one before it if a text may be cut between the two
+        apart = np.isin(stop[:-1], stretches(data)) & self.b.apart
+        lane_first = [0] if size else []
+        ends = stop.tolist()
+        for k in range(1, size):
+            if not apart[k] or ends[k] - ends[lane_first[-1]] >= LANE_BYTES:
+                lane_first.append(k)
+        bounds = [ends[k] for k in lane_first] + [ends[-1]]
+        raw = data.tobytes()
+        good = np.ones(size, bool)
+        todo = [(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        lanes, ids = [], ([], [])
+        while todo:
+            texts = [raw[x:y].decode() for x, y in todo]
+            again = []
+            for (x, y), i, j in zip(todo, *encoded(texts, self.a, self.b), strict=True):
+                if all(b"".join([side.bytes_of[t] for t in got.tolist()]) == raw[x:y] for side, got in ((self.a, i), (self.b, j))):
+                    lanes.append((x, y))
+                    ids[0].append(i)
+                    ids[1].append(j)
+                else:  # which of its stretches is it?
+                    lo, hi = np.searchsorted(stop, [x, y]).tolist()
+                    if hi - lo == 1:
+                        good[lo] = False
+                    else:
+                        again += [(ends[k], ends[k + 1]) for k in range(lo, hi)]
+            todo = again
+        order = sorted(range(len(lanes)), key=lambda k: lanes[k])
+        flat, first, place = [], [], []
+        for side, of in zip((self.a, self.b), ids, strict=True):
+            mine = [of[k] for k in order]
             flat.append(np.concatenate([*mine, np.zeros(0, np.int64)]))
             first.append(np.append(0, np.cumsum([len(i) for i in mine])).astype(np.int64))
             through = np.cumsum(side.lengths[flat[-1]])
-            ends.append(through - np.repeat(np.append(0, through)[first[-1][:-1]], np.diff(first[-1])))
-        a_cut, b_cut = lockstep(ends[0], first[0], ends[1], first[1])
-        size = len(texts)
-        per_text = lambda lane, of_lane: np.bincount(lane, weights=of_lane, minlength=size).astype(np.int64)
-        text_of_group = text[np.searchsorted(first[0], a_cut, "left") - 1] if len(a_cut) else text[:0]
+            start = np.array([lanes[k][0] for k in order], np.int64)
+            place.append(through + np.repeat(start - np.append(0, through)[first[-1][:-1]], np.diff(first[-1])))
+        a_cut, b_cut = lockstep(place[0], first[0], place[1], first[1])
+        unit = [np.searchsorted(stop, p, "left") - 1 for p in place]  # of each token
+        of_group = unit[0][a_cut - 1]
         spelled, stops = self.spelled(*flat, a_cut, b_cut) if len(a_cut) else (b"", np.zeros(0, np.int64))
-        stops = np.append(0, stops)[np.searchsorted(text_of_group, np.arange(size + 1))].tolist()
+        stops = np.append(0, stops)[np.searchsorted(of_group, np.arange(size + 1))].tolist()
         group, key, n = self.links(*flat, a_cut, b_cut)
-        order = np.lexsort((key, t := text_of_group[group]))
-        t, key, n = t[order], key[order], n[order]
-        new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1]))[: len(t)])
-        held = np.bincount(t[new], minlength=size)
+        of, key, n = summed(of_group[group], key, n)
+        count = lambda x: np.bincount(x, minlength=size)
         return {
-            "n_a": per_text(text, np.diff(first[0])), "n_b": per_text(text, np.diff(first[1])), "n_groups": np.bincount(text_of_group, minlength=size), "n_links": per_text(t, n),
-            "groups_sha256": [hashlib.sha256(spelled[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(stops[:-1], stops[1:], strict=True)],
-            "pairs": key[new], "links": np.add.reduceat(n, new) if len(new) else n, "ends": np.append(0, np.cumsum(held)),
+            "good": good, "n_a": count(unit[0]), "n_b": count(unit[1]), "n_groups": count(of_group), "spelled": [spelled[x:y] for x, y in zip(stops[:-1], stops[1:], strict=True)],
+            "pairs": key, "links": n, "ends": np.append(0, np.cumsum(count(of))),
+        }
+
+    def batch(self, texts: list[bytes]) -> dict[str, np.ndarray | list[str]]:
+        """Of each UTF-8 text: n_a, n_b, n_groups, n_links and groups_sha256; ``pairs`` and ``links`` of all, cut at ``ends``."""
+        size = len(texts)
+        data = np.frombuffer(b"".join([b" " + t if t else b"" for t in texts]), np.uint8)
+        starts = np.append(0, np.cumsum([len(t) + 1 if t else 0 for t in texts])).astype(np.int64)
+        apart = stretches(data) if self.b.apart else np.zeros(0, np.int64)
+        at = np.unique(np.concatenate([apart, starts]))
+        at = at[at < len(data)]
+        text = np.searchsorted(starts, at, "right") - 1  # of each stretch; empty texts have none
+        cells = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        unit = cells.indices.to_numpy().astype(np.int64)
+        u = self.merged(cells.dictionary)
+        good = np.ones(size, bool)
+        good[text[~u["good"][unit]]] = False
+        on = good[text]
+        text, unit = text[on], unit[on]
+        cuts, names = np.searchsorted(text, np.arange(size + 1)).tolist(), unit.tolist()
+        groups = [hashlib.sha256(b"".join([u["spelled"][k] for k in names[a:b]])[:-1]).hexdigest() if b > a else "" for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # each text's distinct stretches, and how often it holds them
+        kinds = max(len(cells.dictionary), 1)
+        both, times = np.unique(text * kinds + unit, return_counts=True)
+        text, unit = both // kinds, both % kinds
+        lo = u["ends"][unit]
+        many = u["ends"][unit + 1] - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        t, key, n = summed(np.repeat(text, many), u["pairs"][at], u["links"][at] * np.repeat(times, many))
+        total = lambda of, x: np.bincount(of, weights=x, minlength=size).astype(np.int64)
+        return {c: total(text, u[c][unit] * times) for c in ("n_a", "n_b", "n_groups")} | {
+            "n_links": total(t, n), "groups_sha256": groups, "pairs": key, "links": n, "ends": np.append(0, np.cumsum(np.bincount(t, minlength=size))),
         }
 
 
@@ -263,7 +317,7 @@ _ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigi
 def _align(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Aligner(*tokenizers(folder))
-        kept: list[tuple[int | None, str]] = []
+        kept: list[tuple[int | None, bytes]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -273,10 +327,10 @@ def _align(folder: str):
             return pa.RecordBatch.from_arrays([pa.array([i for i, _ in kept], pa.int64()), *heads, pa.array(r["groups_sha256"], pa.string()), *lists], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "links"])
 
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                kept.append((i, t.as_py() or ""))
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+                kept.append((i, t.as_py() or b""))
                 size += len(kept[-1][1])
-                if size >= CHUNK_CHARS:
+                if size >= CHUNK_BYTES:
                     yield flush()
                     kept, size = [], 0
         if kept:
