@@ -1,14 +1,16 @@
 """Phrase collocations by stripes.
 
 A stripe belongs to a prefix of words and counts the words that follow it. Tasks build stripes of the texts they read,
-the stripes of a prefix are merged element by element, and the merged stripes hold all that scoring needs: extensions
-are phrases with their counts, a stripe's total is its prefix's count, and its largest element says whether an
-extension subsumes the prefix.
+and the stripes of a prefix are merged element by element. The merged stripes hold all that scoring needs: an element is
+an extension with its count, which is the total of the longer prefix it makes, and the largest elements say which
+extensions subsume their parts. The stripe of the empty prefix counts the words. Stripes of longer prefixes follow level
+by level; as no phrase is more frequent than its parts, elements whose parts fell short are not counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +19,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import small, stage, whole_text
-from claimweave.llm.tokens import word_keys
+from claimweave.llm.tokens import U, mix, word_keys
 
-#: Words from which windows start at once in a task; bytes of text gathered for it.
-CHUNK_WORDS, CHUNK_BYTES = 2_000_000, 12_000_000
+#: Words from which phrases start at once in a task; bytes of text gathered for it.
+CHUNK_WORDS, CHUNK_BYTES = 700_000, 4_000_000
 #: Stripe elements merged at once.
-MERGE_ELEMENTS = 2_000_000
+MERGE_ELEMENTS = 400_000
 #: A prefix as frequent as this, and as this share of all words, has its stripe cut into parts by the following word.
 PART_OCCURRENCES, PART_SHARE = 1_000_000, 65_536
-_PARTIAL = "lang string, words int, prefix binary, part int, next array<binary>, n array<bigint>"
-_MERGED = "lang string, words int, prefix binary, part int, total bigint, next array<binary>, n array<bigint>"
+#: Bits, by a hash, of the phrases of one level that are frequent enough. When many share a bit, more is counted than
+#: need be, and the counts decide all the same.
+BITS = 1 << 25
+_PARTIAL = "lang string, prefix binary, part int, next binary, n array<int>"
+_MERGED = "lang string, prefix binary, part int, total bigint, next array<binary>, n array<bigint>"
+_STEP = U(0x9E3779B97F4A7C15)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -108,132 +114,154 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.lang(np.arange(len(c.word))).cast(pa.string()), c.word.cast(pa.binary()), pa.array(n)], names=["lang", "word", "n"])
 
 
-def _stripes(max_words: int, heavy: dict[str, tuple[list[bytes], list[int]]]):
-    """Stripes of the prefixes of 1 … max_words - 1 words. The empty next word stands for the end of the piece."""
+def _chain(of_words: list[np.ndarray]) -> np.ndarray:
+    """Hash of phrases from their words' hashes, word by word."""
+    h = of_words[0]
+    for w in of_words[1:]:
+        h = mix(h * _STEP + w)
+    return h
+
+
+def _places(h: np.ndarray) -> np.ndarray:
+    return (h >> U(20)) % U(BITS)
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of phrases (lang, phrase): 64 bits at a time, those that are set."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        parts = pc.split_pattern(batch.column("phrase"), b" ")
+        size = pc.list_value_length(parts).to_numpy()
+        flat = word_keys(pc.list_flatten(parts).cast(pa.large_binary()))
+        first = np.append(0, np.cumsum(size)[:-1])
+        lang = word_keys(batch.column("lang").cast(pa.large_binary()))
+        h = np.zeros(len(size), U)
+        for k in np.unique(size).tolist():
+            at = np.flatnonzero(size == k)
+            h[at] = _chain([lang[at], *(flat[first[at] + j] for j in range(k))])
+        place = np.unique(_places(h))
+        word, new = np.unique(place >> U(6), return_index=True)
+        bits = np.bitwise_or.reduceat(U(1) << (place & U(63)), new)
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+
+def frequent_bits(phrases: DataFrame) -> np.ndarray:
+    """Bits of (lang, phrase: binary): at most BITS of them come to the driver, whatever the size of the table."""
+    set_bits = phrases.select("lang", "phrase").mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, U)
+    out[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy().view(U)
+    return out
+
+
+def _stripes(words: int, bits: np.ndarray, heavy: dict[str, tuple[list[bytes], list[int]]]):
+    """Stripes of the prefixes of so many words, of elements both of whose longest parts have their bit."""
 
     def parts_of(c: Chunk) -> np.ndarray:
         parts = np.ones(len(c.word), np.int64)
-        for lang, (words, n) in heavy.items():
+        for lang, (names, n) in heavy.items():
             code = c.langs.index(pa.scalar(lang, c.langs.type)).as_py()
             if code >= 0:
-                at = pc.index_in(c.word, value_set=pa.array(words, pa.large_binary())).to_numpy(zero_copy_only=False)
+                at = pc.index_in(c.word, value_set=pa.array(names, pa.large_binary())).to_numpy(zero_copy_only=False)
                 mine = (c.lang_code == code) & ~np.isnan(at)
                 parts[mine] = np.array(n)[at[mine].astype(np.int64)]
         return parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            parts = parts_of(c)
-            keys = word_keys(c.word) if parts.max(initial=1) > 1 else None
+            parts, keys = parts_of(c), word_keys(c.word)
+            lang = word_keys(c.langs.cast(pa.large_binary()))[c.lang_code] if len(c.word) else keys
             for at in range(0, len(c.ids), CHUNK_WORDS):
-                yield from _levels(c, at, min(at + CHUNK_WORDS, len(c.ids)), max_words, parts, keys)
+                places = np.arange(at, min(at + CHUNK_WORDS, len(c.ids)))
+                for j in range(words):
+                    places = places[c.goes_on[places + j]]
+                ids = [c.ids[places + j] for j in range(words + 1)]
+                for some in (slice(0, words), slice(1, words + 1)):
+                    h = _places(_chain([lang[ids[0]], *(keys[i] for i in ids[some])]))
+                    on = (bits[(h >> U(6)).astype(np.int64)] >> (h & U(63)) & U(1)).astype(bool)
+                    ids = [i[on] for i in ids]
+                if len(ids[0]):
+                    yield from _elements(c, ids, parts, keys)
 
     return run
 
 
-def _levels(c: Chunk, at: int, to: int, max_words: int, parts: np.ndarray, keys: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    kinds = len(c.word) + 1
-    places = np.arange(at, to)
-    code = c.ids[at:to]  # of the prefix that starts at each place
-    prefixes = [np.arange(len(c.word))]  # ids of each distinct prefix's words, word by word
-    for words in range(1, max_words):
-        last = places + words - 1
-        on = c.goes_on[last]
-        if words > 1:
-            # only one-word prefixes need their total from the stripe
-            places, code, last = places[on], code[on], last[on]
-            on = np.ones(len(places), bool)
-        after = np.zeros(len(places), np.int64)
-        after[on] = c.ids[last[on] + 1] + 1
-        key, inverse, n = np.unique(code * kinds + after, return_inverse=True, return_counts=True)
-        prefix, after = key // kinds, key % kinds
-        if not len(key):
-            return
-        held = parts[prefixes[0][prefix]]
-        for w in prefixes[1:]:
-            held = np.minimum(held, parts[w[prefix]])
-        split = held > 1
-        for some in (~split, split):
-            if some.any():
-                pick = np.flatnonzero(some)
-                part = np.zeros(len(pick), np.int64)
-                if some is split:
-                    part = np.where(after[pick] > 0, (keys[after[pick] - 1] % held[pick].astype(np.uint64)).astype(np.int64), 0)
-                    order = np.lexsort((part, prefix[pick]))
-                    pick, part = pick[order], part[order]
-                yield _rows(c, words, prefixes, prefix[pick], part, after[pick], n[pick])
-        # longer prefixes: what goes on
-        if words + 1 < max_words:
-            real = np.flatnonzero(after > 0)
-            to_new = np.full(len(key), -1)
-            to_new[real] = np.arange(len(real))
-            prefixes = [*[w[prefix[real]] for w in prefixes], after[real] - 1]
-            code = to_new[inverse]
-            places, code = places[code >= 0], code[code >= 0]
-
-
-def _rows(c: Chunk, words: int, prefixes: list[np.ndarray], prefix: np.ndarray, part: np.ndarray, after: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _elements(c: Chunk, ids: list[np.ndarray], parts: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted and grouped into stripes; those of split prefixes by part."""
+    kinds = len(c.word)
+    prefix, names = ids[0], [np.arange(kinds)]  # names: the words of each distinct prefix
+    for w in ids[1:-1]:
+        both, prefix = np.unique(prefix * kinds + w, return_inverse=True)
+        names = [*(x[both // kinds] for x in names), both % kinds]
+    key, n = np.unique(prefix * kinds + ids[-1], return_counts=True)
+    prefix, after = key // kinds, key % kinds
+    held = parts[names[0][prefix]]
+    for w in names[1:]:
+        held = np.minimum(held, parts[w[prefix]])
+    split = held > 1
+    for some in (~split, split):
+        pick = np.flatnonzero(some)
+        part = np.zeros(len(pick), np.int64)
+        if some is split:
+            part = (keys[after[pick]] % held[pick].astype(U)).astype(np.int64)
+            order = np.lexsort((part, prefix[pick]))
+            pick, part = pick[order], part[order]
+        if len(pick):
+            yield _rows(c, names, prefix[pick], part, after[pick], n[pick])
+
+
+def _rows(c: Chunk, names: list[np.ndarray], prefix: np.ndarray, part: np.ndarray, after: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     new = np.ones(len(prefix), bool)
     new[1:] = (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])
     first = np.flatnonzero(new)
-    ids = [w[prefix[first]] for w in prefixes]
-    names = [c.word.take(pa.array(w)) for w in ids]
-    joined = names[0] if len(names) == 1 else pc.binary_join_element_wise(*names, pa.scalar(b" ", pa.large_binary()))
-    nexts = c.word.take(pa.array(np.maximum(after - 1, 0)))
-    if (after == 0).any():
-        nexts = pc.if_else(pa.array(after == 0), pa.scalar(b"", pa.large_binary()), nexts)
+    ids = [w[prefix[first]] for w in names]
+    words = [c.word.take(pa.array(w)) for w in ids]
+    joined = words[0] if len(words) == 1 else pc.binary_join_element_wise(*words, pa.scalar(b" ", pa.large_binary()))
     ends = np.append(first, len(prefix)).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [c.lang(ids[0]).cast(pa.string()), pa.array(np.full(len(first), words, np.int32)), joined.cast(pa.binary()), pa.array(part[first].astype(np.int32)), pa.ListArray.from_arrays(ends, nexts.cast(pa.binary())), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int64)))],
-        names=["lang", "words", "prefix", "part", "next", "n"],
-    )
+    nexts = pc.binary_join(pa.ListArray.from_arrays(ends, c.word.take(pa.array(after)).cast(pa.binary())), b" ")
+    return pa.RecordBatch.from_arrays([c.lang(ids[0]).cast(pa.string()), joined.cast(pa.binary()), pa.array(part[first].astype(np.int32)), nexts, pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], names=["lang", "prefix", "part", "next", "n"])
 
 
 def _merge(least: int):
-    """Sorted partial stripes → whole ones: elements summed, those from ``least`` on kept, with the total over all."""
+    """Sorted partial stripes → whole ones: elements summed, those from ``least`` on kept, with the total of all."""
 
     def groups(t: pa.Table) -> np.ndarray:
         new = np.ones(t.num_rows, bool)
         same = np.ones(t.num_rows - 1, bool)
-        for name in ("lang", "words", "prefix", "part"):
+        for name in ("lang", "prefix", "part"):
             a = t[name].combine_chunks()
             same &= pc.equal(a.slice(0, len(a) - 1), a.slice(1)).to_numpy(zero_copy_only=False)
         new[1:] = ~same
         return new
 
-    def flat(t: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-        n = t["n"].combine_chunks()
-        return pc.list_value_length(n).to_numpy(), pc.list_flatten(t["next"]).combine_chunks(), pc.list_flatten(n).to_numpy()
-
     def summed(t: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """(first row of each group, group of each element, next word, count)"""
         new = groups(t)
-        size, nexts, n = flat(t)
-        coded = pc.dictionary_encode(nexts)
+        n = t["n"].combine_chunks()
+        coded = pc.dictionary_encode(pc.list_flatten(t["next"]).combine_chunks())
         kinds = len(coded.dictionary)
-        group = np.repeat(np.cumsum(new) - 1, size)
+        group = np.repeat(np.cumsum(new) - 1, pc.list_value_length(n).to_numpy())
         key, inverse = np.unique(group * kinds + coded.indices.to_numpy(), return_inverse=True)
         total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse, n)
+        np.add.at(total, inverse, pc.list_flatten(n).to_numpy())
         return np.flatnonzero(new), key // kinds, coded.dictionary.take(pa.array(key % kinds)), total
 
     def whole(t: pa.Table) -> pa.RecordBatch:
         first, group, nexts, n = summed(t)
-        totals = np.bincount(group, weights=n, minlength=len(first)).astype(np.int64) if n.sum() < 2**53 else np.array([n[group == g].sum() for g in range(len(first))])
-        named = pc.greater(pc.binary_length(nexts), 0).to_numpy(zero_copy_only=False)
-        pick = np.flatnonzero((n >= least) & named)
-        words = t["words"].combine_chunks().to_numpy()[first]
+        totals = np.zeros(len(first), np.int64)
+        np.add.at(totals, group, n)
+        pick = np.flatnonzero(n >= least)
         held = np.bincount(group[pick], minlength=len(first))
-        keep = np.flatnonzero((held > 0) | (words == 1))
+        keep = np.flatnonzero(held)
         ends = np.append(0, np.cumsum(held[keep])).astype(np.int32)
-        head = [t[c].combine_chunks().take(pa.array(first[keep])) for c in ("lang", "words", "prefix", "part")]
-        return pa.RecordBatch.from_arrays([*head, pa.array(totals[keep]), pa.ListArray.from_arrays(ends, nexts.take(pa.array(pick))), pa.ListArray.from_arrays(ends, pa.array(n[pick]))], names=["lang", "words", "prefix", "part", "total", "next", "n"])
+        head = [t[c].combine_chunks().take(pa.array(first[keep])) for c in ("lang", "prefix", "part")]
+        return pa.RecordBatch.from_arrays([*head, pa.array(totals[keep]), pa.ListArray.from_arrays(ends, nexts.take(pa.array(pick))), pa.ListArray.from_arrays(ends, pa.array(n[pick]))], names=["lang", "prefix", "part", "total", "next", "n"])
 
     def partial(t: pa.Table) -> pa.Table:
         """One group's rows merged into one."""
         _, _, nexts, n = summed(t)
         ends = np.array([0, len(n)], np.int32)
-        return pa.table({**{c: t[c].slice(0, 1) for c in ("lang", "words", "prefix", "part")}, "next": pa.ListArray.from_arrays(ends, nexts), "n": pa.ListArray.from_arrays(ends, pa.array(n))}).cast(t.schema)
+        return pa.table({**{c: t[c].slice(0, 1) for c in ("lang", "prefix", "part")}, "next": pa.ListArray.from_arrays(ends, nexts), "n": pa.ListArray.from_arrays(ends, pa.array(n))}).cast(t.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.Table] = []
@@ -241,7 +269,8 @@ def _merge(least: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kept.append(pa.Table.from_batches([batch]))
+            columns = {c: batch.column(c) for c in ("lang", "prefix", "part")} | {"next": pc.split_pattern(batch.column("next"), b" "), "n": batch.column("n").cast(pa.list_(pa.int64()))}
+            kept.append(pa.table(columns))
             size += pc.sum(pc.list_value_length(batch.column("n"))).as_py() or 0
             if size < MERGE_ELEMENTS:
                 continue
@@ -257,25 +286,35 @@ def _merge(least: int):
     return run
 
 
-def stripes(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, least: int = 10) -> DataFrame:
-    """Merged stripes (lang, words, prefix, part, total, next, n): elements of ``least`` or more; one-word prefixes with
-    their total all, longer ones where an element is left. Prefixes and words are UTF-8 bytes.
-
-    A stripe is a group of bounded size: that of a prefix met more often than PART_OCCURRENCES, and than one in
-    PART_SHARE words, is cut into parts by a hash of the next word. At most PART_SHARE words are so frequent; they are
-    found in a first pass and sent to the tasks.
-    """
-    d = docs.select(whole_text(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
-    words = stage(d.mapInArrow(_word_counts, "lang string, word binary, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
+def _heavy(words: DataFrame) -> dict[str, tuple[list[bytes], list[int]]]:
+    """Words so frequent that their stripes are cut, and into how many parts; at most PART_SHARE words."""
     limit = max(PART_OCCURRENCES, (words.agg(F.sum("n")).first()[0] or 0) // PART_SHARE)
     heavy: dict[str, tuple[list[bytes], list[int]]] = {}
     for r in words.where(F.col("n") > limit).collect():
         listed = heavy.setdefault(r.lang, ([], []))
-        listed[0].append(bytes(r.word))
+        listed[0].append(bytes(r.phrase))
         listed[1].append(-(-r.n // limit))
-    key = ["lang", "words", "prefix", "part"]
-    partial = d.mapInArrow(_stripes(max_words, heavy), _PARTIAL)
-    return partial.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge(least), _MERGED)
+    return heavy
+
+
+def levels(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, least: int = 10) -> list[DataFrame]:
+    """(lang, phrase: UTF-8 bytes, n) of all words, then of the phrases of 2 … max_words words met ``least`` times or more.
+
+    Each level is read from merged stripes: (lang, prefix, part, total, next, n). A stripe is a group of bounded size:
+    that of a prefix met more often than PART_OCCURRENCES, and than one in PART_SHARE words, is cut into parts by a hash
+    of the next word.
+    """
+    d = docs.select(whole_text(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"))
+    out = [stage(d.mapInArrow(_word_counts, "lang string, word binary, n bigint").groupBy("lang", F.col("word").alias("phrase")).agg(F.sum("n").alias("n")), "phrase-words")]
+    heavy = _heavy(out[0])
+    key = ["lang", "prefix", "part"]
+    for words in range(1, max_words):
+        bits = frequent_bits(out[-1].where(F.col("n") >= least))
+        partial = d.mapInArrow(_stripes(words, bits, heavy), _PARTIAL)
+        merged = stage(partial.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge(least), _MERGED), "phrase-stripes")
+        each = merged.select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("e"))
+        out.append(each.select("lang", F.concat("prefix", F.lit(b" "), "e.next").alias("phrase"), F.col("e.n").alias("n")))
+    return out
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = 2, max_words: int = 3, least: int = 10, subsumed: int = 50, top: int = 2000) -> DataFrame:
@@ -287,13 +326,11 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_wo
     A null text has no words, a null language is ``und``; ties go by a, then by the phrase's bytes; repeated rows count
     each; an empty table gives no rows.
     """
-    s = stage(stripes(docs, text, lang, max_words, least), "phrase-stripes")
-    ones = s.where("words = 1").groupBy("lang", F.col("prefix").cast("string").alias("phrase")).agg(F.sum("total").alias("f"))
-    named = s.select("lang", "words", F.col("prefix").cast("string").alias("prefix"), F.explode(F.arrays_zip("next", "n")).alias("e"))
-    longer = named.select("lang", F.concat_ws(" ", "prefix", F.col("e.next").cast("string")).alias("phrase"), F.col("e.n").alias("f"), (F.col("words") + 1).alias("words"))
-    longer = stage(longer, "phrase-counts")
-    size = stage(ones.groupBy("lang").agg(F.sum("f").alias("n")), "phrase-langs")
-    freq = stage(longer.select("lang", "phrase", "f").unionByName(ones.where(F.col("f") >= least)), "phrase-counts")
+    found = levels(docs, text, lang, max_words, least)
+    size = stage(found[0].groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
+    named = [x.where(F.col("n") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("n").alias("f"), F.lit(k).alias("words")) for k, x in enumerate(found, 1)]
+    freq = stage(reduce(DataFrame.unionByName, named), "phrase-counts")
+    longer = freq.where("words > 1")
 
     w = F.split("phrase", " ")
     run = lambda start, length: F.array_join(F.slice(w, start, length), " ")
