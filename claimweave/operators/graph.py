@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as V
+from claimweave.operators.containment import related
 from claimweave.session import stage
 
 
@@ -28,17 +29,14 @@ def infer_relations(raw: DataFrame, terms: DataFrame) -> DataFrame:
 
     ``raw``: id, name_1, type_1, kingdom_1, name_2, type_2, kingdom_2, interaction_type.
     ``terms``: term (lower case), predicate, directed, ro_id. Order: type pair → reversed type pair → term,
-    exact → term, partial (longest known term, then alphabetical) → symmetric set → fallback with a flag.
+    exact → term, partial (longest known term that holds the key or stands in it, then alphabetical) → symmetric set →
+    fallback with a flag.
     """
     types = type_relations(raw.sparkSession)
     exact = terms.select(F.col("term").alias("key"), F.struct("predicate", "directed", "ro_id").alias("t_exact"))
     wanted = raw.select(F.lower(F.trim("interaction_type")).alias("key")).distinct()
-    words = lambda c: F.explode(F.split(c, " ")).alias("word")
-    near = (
-        wanted.select("key", words("key")).join(terms.select("*", words("term")), "word")
-        .where(F.col("key").contains(F.col("term")) | F.col("term").contains(F.col("key")))
-        .groupBy("key").agg(F.min_by(F.struct("predicate", "directed", "ro_id"), F.struct(-F.length("term"), "term")).alias("t_near"))
-    )
+    pairs = related(wanted, terms.select("term")).join(terms, "term")
+    near = pairs.groupBy("key").agg(F.min_by(F.struct("predicate", "directed", "ro_id"), F.struct(-F.length("term"), "term")).alias("t_near"))
     j = raw.withColumn("key", F.lower(F.trim("interaction_type"))).join(F.broadcast(types), ["type_1", "type_2"], "left")
     j = j.join(exact, "key", "left").join(near, "key", "left")
     by_type, t = F.col("pred").isNotNull(), F.coalesce("t_exact", "t_near")
@@ -74,33 +72,30 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
     """Connected component (smallest node id in it) of every node, by alternating large-star and small-star.
 
     Minima are aggregated with map-side combine and joined back, so a hub's neighbours are never collected;
-    every round is written to the shared folder and the loop stops when the edge set no longer changes.
+    every round is written to the shared folder and the loop stops when the edges are stars.
     """
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         # e(u, v): u with neighbour v. Small star looks at smaller neighbours only.
         near = e.where("v < u") if small else e
-        low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # minima are written before the join, so that a hub's edges are dealt to several tasks
+        low = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components-low")
         j = near.join(low, "u")
         moved = j.where("v <> m" if small else "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         if small:
             moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
-    def print_of(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
-
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     state = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "components")
-    seen = print_of(state)
     for _ in range(max_rounds):
         large = stage(star(both(state), small=False), "components")
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         state = stage(star(down, small=True), "components")
-        now = print_of(state)
-        if now == seen:
+        # done when every node but the roots has one edge, and that leads to a root
+        by_node = state.groupBy("u").agg(F.count("*").alias("n"))
+        if by_node.where("n > 1").isEmpty() and state.join(by_node.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError("components did not converge")
     roots = state.groupBy("u").agg(F.min("v").alias("component"))

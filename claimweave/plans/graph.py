@@ -53,13 +53,19 @@ TERMS = [
 ETYPE1 = ["PATHOGEN", "HOST", "VECTOR", "ORGANISM", "ORGANISM", "DISEASE", "ORGANISM"]
 ETYPE2 = ["HOST", "VECTOR", "PATHOGEN", "ORGANISM", "HOST", "PATHOGEN", "ORGANISM"]
 RAW_EDGES = f"""raw AS (SELECT claim_id AS id, source_species AS name_1, ([{list_sql(ETYPE1)}])[pos] AS type_1, source_kingdom AS kingdom_1, target_species AS name_2, ([{list_sql(ETYPE2)}])[pos] AS type_2, target_kingdom AS kingdom_2,
-  CASE WHEN reads % 9 = 0 THEN 'strange tie' WHEN reads % 9 = 1 THEN 'symbioticWith' WHEN reads % 9 = 2 THEN '' ELSE regexp_replace(verb, '^is an? ', '') END AS interaction_type FROM claims)"""
+  CASE WHEN reads % 9 = 0 THEN 'strange tie' WHEN reads % 9 = 1 THEN 'symbioticWith' WHEN reads % 9 = 2 THEN ''
+   WHEN reads % 9 = 3 THEN substr(regexp_replace(verb, '^is an? ', ''), 1, length(regexp_replace(verb, '^is an? ', '')) - 1) WHEN reads % 9 = 4 THEN 'hyper' || regexp_replace(verb, '^is an? ', '') || 'ward' ELSE regexp_replace(verb, '^is an? ', '') END AS interaction_type FROM claims)"""
 
 
 def raw_edges(spark, sf):
     pick = lambda vals: F.element_at(F.array(*[F.lit(v) for v in vals]), F.col("pos").cast("int"))
     r = F.col("reads") % 9
-    term = F.when(r == 0, "strange tie").when(r == 1, "symbioticWith").when(r == 2, "").otherwise(F.regexp_replace("verb", "^is an? ", ""))
+    form = F.regexp_replace("verb", "^is an? ", "")
+    # cut short and lengthened forms: known terms inside them, and they inside known terms, away from word bounds
+    term = (
+        F.when(r == 0, "strange tie").when(r == 1, "symbioticWith").when(r == 2, "")
+        .when(r == 3, F.substr(form, F.lit(1), F.length(form) - 1)).when(r == 4, F.concat(F.lit("hyper"), form, F.lit("ward"))).otherwise(form)
+    )
     return claims(spark, sf).select(
         F.col("claim_id").alias("id"), F.col("source_species").alias("name_1"), pick(ETYPE1).alias("type_1"), F.col("source_kingdom").alias("kingdom_1"),
         F.col("target_species").alias("name_2"), pick(ETYPE2).alias("type_2"), F.col("target_kingdom").alias("kingdom_2"), term.alias("interaction_type"),
@@ -114,10 +120,12 @@ def domain_rules(spark):
 def violations(c, rules):
     """First matching rule per interaction type, then the list of what it finds wrong.
 
-    Rules are matched against the distinct types only; the few (type, rule) pairs are joined back.
+    ``rules`` is a table of rules written by hand, read once; they are matched against the distinct types only, and the
+    few (type, rule) pairs are joined back.
     """
+    patterns = rules.select("seq", "pattern").orderBy("seq").collect()
     types = c.select("interaction_type").distinct()
-    parts = types.select("interaction_type", F.explode(F.array(*[F.struct(F.lit(i).alias("seq"), F.lower("interaction_type").rlike(r[1]).alias("hit")) for i, r in enumerate(RULES)])).alias("m"))
+    parts = types.select("interaction_type", F.explode(F.array(*[F.struct(F.lit(r.seq).alias("seq"), F.lower("interaction_type").rlike(r.pattern).alias("hit")) for r in patterns])).alias("m"))
     first = parts.where("m.hit").groupBy("interaction_type").agg(F.min("m.seq").alias("seq"))
     j = c.join(broadcast_if_small(first.join(rules, "seq"), [rules]), "interaction_type", "left")
     inside = lambda k: F.exists("required", lambda t: F.contains(F.lower(k), F.lower(t)))

@@ -10,6 +10,7 @@ from claimweave.functions import maths as M
 from claimweave.functions import names as N
 from claimweave.functions import relations as R
 from claimweave.functions import text as T
+from claimweave.operators.containment import related
 from claimweave.plans.registry import query
 from claimweave.plans.sqltext import (
     any_sql, any_stem_sql, case_sql, count_sql, first_sql, list_sql, norm_ascii_sql, q, stems_sql, words_sql,
@@ -89,22 +90,19 @@ def name_variants(spark, sf):
 @query(
     "str_04_term_variants",
     f"""WITH {CLAIMS}, t AS (SELECT DISTINCT interaction_type, lower(regexp_replace(interaction_type, '([a-z])([A-Z])', '\\1 \\2', 'g')) AS term FROM claims),
- v AS (SELECT DISTINCT lower(verb) AS form FROM claims)
+ b AS (SELECT DISTINCT lower(verb) AS form FROM claims), v AS (SELECT form FROM b UNION SELECT substr(form, 1, length(form) - 1) FROM b UNION SELECT 'hyper' || form || 'ward' FROM b)
  SELECT interaction_type, term, form FROM t JOIN v ON contains(form, term) OR contains(term, form)
  UNION SELECT interaction_type, term, term FROM t UNION SELECT interaction_type, term, lower(interaction_type) FROM t
  UNION SELECT interaction_type, term, replace(term, ' ', '-') FROM t WHERE contains(term, ' ')""",
 )
 def term_variants(spark, sf):
-    """Vocabulary tables are distinct type codes and verb phrases: fixed by the data model, a few rows."""
+    """Type codes and verb phrases, the phrases also cut short and lengthened, by what holds what."""
     c = claims(spark, sf)
     types = c.select("interaction_type", R.spaced("interaction_type").alias("term")).distinct()
-    forms = c.select(F.explode(F.split(F.lower("verb"), " ")).alias("word"), F.lower("verb").alias("form")).distinct()
-    keyed = types.withColumn("word", F.explode(F.split("term", " ")))
-    near = (
-        keyed.join(forms, "word")
-        .where(F.col("form").contains(F.col("term")) | F.col("term").contains(F.col("form")))
-        .select("interaction_type", "term", "form")
-    )
+    verb = F.lower("verb")
+    made = F.explode(F.array(verb, F.substr(verb, F.lit(1), F.length(verb) - 1), F.concat(F.lit("hyper"), verb, F.lit("ward"))))
+    forms = c.select("verb").distinct().select(made.alias("form")).distinct()
+    near = related(forms, types.select("term")).join(types, "term").select("interaction_type", "term", "form")
     own = types.select(
         "interaction_type",
         "term",
