@@ -9,29 +9,53 @@ from claimweave.functions.text import norm_ascii, shingles, words
 from claimweave.session import broadcast_if_small, stage
 
 
-def collapse_copies(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """One row per distinct text form: smallest id and number of copies.
+def digest(text: Column) -> Column:
+    """16 bytes that stand for a text as a key."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-    Map-side combined, so a text copied into a third of all rows costs one row afterwards.
+
+def collapse_copies(df: DataFrame, id_col: str, text: Column, name: str = "form") -> DataFrame:
+    """One row per distinct text form: its ``key`` (digest), smallest id, number of copies and the form itself.
+
+    Keyed by digest and map-side combined, so a text copied into a third of all rows costs one row afterwards.
     """
-    return df.groupBy(text.alias("form")).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"))
+    return df.groupBy(digest(text).alias("key")).agg(F.min(id_col).alias(id_col), F.count("*").alias("copies"), F.first(text).alias(name))
 
 
 def max_jaccard(test: DataFrame, train: DataFrame, test_id: str, train_id: str, text: str, k: int = 5) -> DataFrame:
     """Largest k-word shingle Jaccard of each test row with any training row (0 without a shared shingle).
 
-    Copies are collapsed on both sides; the join runs on the shingle, and only (test, train) pairs that
-    share one are counted.
+    A training row counts by the test shingles it holds and by how many shingles it has in all; of rows that hold the
+    same ones only the one with the fewest can be the best, so boilerplate that all rows share leaves few rows. A test
+    row is first compared with the rows of its rarest shingle. Its best value so far says how many shingles a better
+    row must share, hence that it holds one of so many of the rarest; only those are looked up again.
     """
-    t = collapse_copies(test, test_id, norm_ascii(text))
-    d = collapse_copies(train, train_id, norm_ascii(text))
-    ts = t.select(test_id, F.col("form").alias("t_form"), shingles("form", k).alias("s")).select(test_id, "t_form", F.size("s").alias("nt"), F.explode("s").alias("g"))
-    ds = d.select(train_id, shingles("form", k).alias("s")).select(train_id, F.size("s").alias("nd"), F.explode("s").alias("g"))
-    overlap = ts.join(ds, "g").groupBy(test_id, "t_form", train_id).agg(F.count("*").alias("ov"), F.max("nt").alias("nt"), F.max("nd").alias("nd"))
-    scored = overlap.withColumn("j", F.col("ov") / (F.col("nt") + F.col("nd") - F.col("ov")))
-    best = scored.groupBy("t_form").agg(F.max("j").alias("max_jaccard"))
-    all_rows = test.select(test_id, norm_ascii(text).alias("t_form"))
-    return all_rows.join(best, "t_form", "left").select(test_id, F.round(F.coalesce("max_jaccard", F.lit(0.0)), 6).alias("max_jaccard"))
+    t = collapse_copies(test, test_id, norm_ascii(text)).select("key", F.posexplode(shingles("form", k)).alias("at", "gram"))
+    named = stage(t.select("gram").distinct().withColumn("g", F.monotonically_increasing_id()), "test-grams")
+    t = stage(t.join(named, "gram").groupBy("key").agg(F.count("*").cast("int").alias("nt"), F.collect_list("g").alias("s")), "test-shingles")
+    d = train.select(train_id, shingles(norm_ascii(text), k).alias("s")).withColumn("_row", F.monotonically_increasing_id())
+    hits = d.select("_row", F.size("s").alias("nd"), F.explode("s").alias("gram")).join(broadcast_if_small(named), "gram").select("_row", "nd", "g")
+    held = hits.groupBy("_row", "nd").agg(F.array_sort(F.collect_list("g")).alias("held"))
+    kinds = stage(held.groupBy("held").agg(F.min("nd").alias("nd")).withColumn("kind", F.monotonically_increasing_id()), "train-kinds")
+    index = stage(kinds.select("kind", F.explode("held").alias("g")), "train-index")
+    freq = index.groupBy("g").agg(F.count("*").alias("n"))
+    ranked = t.select("key", F.explode("s").alias("g")).join(freq, "g").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("by_rarity"))
+    ranked = stage(ranked.join(t, "key"), "test-ranked")
+
+    def best(rows: DataFrame) -> DataFrame:
+        """``rows`` (key, nt, s, probes) → key, j over the training kinds that hold a probe."""
+        met = rows.select("key", F.explode("probes").alias("g")).join(index, "g").select("key", "kind").distinct()
+        pairs = met.join(rows.select("key", "nt", "s"), "key").join(kinds, "kind")
+        both = F.size(F.array_intersect("s", "held"))
+        return pairs.groupBy("key").agg(F.max(both / (F.col("nt") + F.col("nd") - both)).alias("j"))
+
+    first = stage(best(ranked.withColumn("probes", F.slice(F.col("by_rarity.g"), 1, 1))), "first-jaccard")
+    # to beat j, at least floor(j * nt) + 1 shingles are shared, those that no row holds never
+    more = ranked.join(first, "key").withColumn("n", F.size("by_rarity") - F.floor(F.col("j") * F.col("nt") - 1e-9).cast("int"))
+    again = best(more.where("n > 1").withColumn("probes", F.slice(F.col("by_rarity.g"), 2, F.col("n") - 1)))
+    top = first.unionByName(again).groupBy("key").agg(F.max("j").alias("max_jaccard"))
+    rows = test.select(test_id, digest(norm_ascii(text)).alias("key")).join(top, "key", "left")
+    return rows.select(test_id, F.round(F.coalesce("max_jaccard", F.lit(0.0)), 6).alias("max_jaccard"))
 
 
 def word_char_grams(word: Column, low: int = 3, high: int = 5) -> Column:
@@ -46,51 +70,60 @@ def word_char_grams(word: Column, low: int = 3, high: int = 5) -> Column:
     return F.concat(*[cut(n) for n in range(low, high + 1)])
 
 
-def gram_counts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, gram, tf): words are counted per document first and each distinct word is cut into grams once."""
-    w = docs.select(id_col, F.explode(words(F.lower(text))).alias("w")).groupBy(id_col, "w").agg(F.count("*").alias("n"))
+def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, tf): words are counted per text first and each distinct word is cut into grams once."""
+    w = docs.select(key, F.explode(words(F.lower(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
     vocabulary = w.select("w").distinct().select("w", F.explode(word_char_grams(F.col("w"))).alias("gram"))
     per_word = vocabulary.groupBy("w", "gram").agg(F.count("*").alias("m"))
-    return w.join(per_word, "w").groupBy(id_col, "gram").agg(F.sum(F.col("n") * F.col("m")).alias("tf"))
+    return w.join(per_word, "w").groupBy(key, "gram").agg(F.sum(F.col("n") * F.col("m")).alias("tf"))
+
+
+def text_grams(text: Column | str) -> Column:
+    """Distinct grams of a text's distinct words, found inside the row."""
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(F.lower(text))), lambda w: word_char_grams(w))))
 
 
 def near_duplicates(test: DataFrame, train: DataFrame, test_id: str, train_id: str, text: str, threshold: float = 0.85) -> DataFrame:
     """Best training match of each test row with TF-IDF cosine above ``threshold``.
 
-    Exact candidate selection: of a unit test vector keep its rarest grams until the rest has a norm
-    below the threshold; a document without any of those grams cannot reach it and is dropped before
-    scoring. The test vectors are broadcast while small, so a document is scored where its grams are
-    and only (test, document) sums are shuffled. Gram tables are written once to the shared folder: they feed several joins.
+    Of the training side two passes make small tables only: how many texts hold each gram, and which texts hold enough
+    of a test row's probes. Probes are the rarest grams of a unit test vector, taken until the rest weighs little; by
+    Cauchy and Schwarz a cosine is at most the norm of the part of the test vector that both can share, so a text whose
+    probes fall short of it is out, exactly. Vectors are built for the texts left, and dots for the pairs left.
     """
-    t = collapse_copies(test, test_id, F.col(text)).withColumnRenamed("form", text)
-    d = collapse_copies(train, train_id, F.col(text)).withColumnRenamed("form", text)
-    tg, dg = stage(gram_counts(t, test_id, text), "test-grams"), stage(gram_counts(d, train_id, text), "train-grams")
-    df_t = tg.join(t.select(test_id, "copies"), test_id).groupBy("gram").agg(F.sum("copies").alias("c"))
-    df_d = dg.join(d.select(train_id, "copies"), train_id).groupBy("gram").agg(F.sum("copies").alias("c"))
+    t = stage(collapse_copies(test, test_id, F.col(text), "_text"), "test-texts")
+    tg = stage(gram_counts(t, "key", "_text"), "test-grams")
+    df_t = tg.join(t.select("key", "copies"), "key").groupBy("gram").agg(F.sum("copies").alias("c"))
+    df_d = train.select(F.explode(text_grams(text)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
     df = df_t.unionByName(df_d).groupBy("gram").agg(F.sum("c").alias("df"))
     total = test.agg(F.count("*")).scalar() + train.agg(F.count("*")).scalar()
-    idf = df.select("gram", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf"))
-    idf = stage(idf, "gram-idf")
-    tw, dw = (x.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf")) for x in (tg, dg))
-    tn = tw.groupBy(test_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    dn = dw.groupBy(train_id).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    tu = tw.join(tn, test_id).select(test_id, "gram", "df", (F.col("w") / F.col("t_norm")).alias("wt"))
-    packed = tu.groupBy(test_id).agg(F.array_sort(F.collect_list(F.struct("df", "gram", "wt"))).alias("v"))
-    need = 1 - threshold * threshold
-    keep = F.aggregate(
-        "v", F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<string>").alias("grams")),
-        lambda a, x: F.when(a["mass"] > need + 1e-9, a).otherwise(
-            F.struct((a["mass"] + x["wt"] * x["wt"]).alias("mass"), F.concat(a["grams"], F.array(x["gram"])).alias("grams"))
-        ),
-    )
-    probes = packed.select(test_id, F.explode(keep["grams"]).alias("gram"))
-    reachable = dg.join(probes.select("gram").distinct(), "gram", "left_semi").select(train_id).distinct()
-    dot = (
-        dw.join(reachable, train_id, "left_semi").select(train_id, "gram", F.col("w").alias("wd"))
-        .join(broadcast_if_small(stage(tu.select(test_id, "gram", "wt"), "test-vectors")), "gram")
-        .groupBy(test_id, train_id).agg(F.sum(F.col("wt") * F.col("wd")).alias("dot"))
-    )
-    sims = dot.join(dn, train_id).withColumn("similarity", F.round(F.col("dot") / F.col("d_norm"), 4)).where(F.col("similarity") > threshold)
-    best = sims.groupBy(test_id).agg(F.min_by(F.struct(train_id, "similarity"), F.struct(-F.col("similarity"), train_id)).alias("b"))
-    heads = best.select(test_id, "b.*").join(t.select(test_id, text), test_id).drop(test_id)
-    return test.select(test_id, text).join(heads, text).select(test_id, train_id, "similarity")
+    idf = stage(df.select("gram", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")), "gram-idf")
+    tw = tg.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    tn = tw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    tu = stage(tw.join(tn, "key").select(F.col("key").alias("t_key"), "gram", "df", (F.col("w") / F.col("t_norm")).alias("wt")), "test-vectors")
+
+    # of the squared norm 1, the rest that is no probe weighs at most half of what a match needs
+    need = threshold * threshold
+    packed = tu.groupBy("t_key").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "wt"))).alias("v"))
+    none = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<struct<gram:string,mass:double>>").alias("grams"))
+    take = lambda a, x: F.struct((a["mass"] + x["wt"] * x["wt"]).alias("mass"), F.concat(a["grams"], F.array(F.struct(x["gram"].alias("gram"), (x["wt"] * x["wt"]).alias("mass")))).alias("grams"))
+    probes = packed.withColumn("p", F.aggregate("v", none, lambda a, x: F.when(a["mass"] > 1 - need / 2, a).otherwise(take(a, x))))
+    probes = stage(probes.select("t_key", (1 - F.col("p.mass")).alias("rest"), F.explode("p.grams").alias("g")).select("t_key", "rest", "g.gram", "g.mass"), "test-probes")
+    d = train.select(digest(F.col(text)).alias("key"), train_id, F.col(text).alias("_text"))
+    seen = d.select("key", F.explode(text_grams("_text")).alias("gram"))
+    # copies of a text meet the same probes: the mass of one copy, whichever
+    met = seen.join(broadcast_if_small(probes), "gram").groupBy("key", "t_key", "gram").agg(F.max("mass").alias("mass"), F.max("rest").alias("rest"))
+    pairs = stage(met.groupBy("key", "t_key").agg(F.sum("mass").alias("mass"), F.max("rest").alias("rest")).where(F.col("mass") + F.col("rest") > need - 1e-6).select("key", "t_key"), "near-pairs")
+
+    left = broadcast_if_small(stage(pairs.select("key").distinct(), "near-keys"))
+    once = d.join(left, "key", "left_semi").groupBy("key").agg(F.min(train_id).alias(train_id), F.first("_text").alias("_text"))
+    once = stage(once, "near-texts")
+    dw = gram_counts(once, "key", "_text").join(idf, "gram").select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    dw = stage(dw, "near-vectors")
+    dn = dw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
+    dot = pairs.join(dw, "key").join(tu.select("t_key", "gram", "wt"), ["t_key", "gram"]).groupBy("key", "t_key").agg(F.sum(F.col("wt") * F.col("w")).alias("dot"))
+    sims = dot.join(dn, "key").withColumn("similarity", F.round(F.col("dot") / F.col("d_norm"), 4)).where(F.col("similarity") > threshold)
+    sims = sims.join(once.select("key", train_id), "key")
+    best = sims.groupBy("t_key").agg(F.min_by(F.struct(train_id, "similarity"), F.struct(-F.col("similarity"), train_id)).alias("b"))
+    rows = test.select(test_id, digest(F.col(text)).alias("t_key"))
+    return rows.join(best.select("t_key", "b.*"), "t_key").select(test_id, train_id, "similarity")
