@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def unit_draw(digest: Column) -> Column:
     return hash_bucket(digest, 4) / F.lit(65536.0)
 
 
+def fine_draw(digest: Column) -> Column:
+    """Uniform draw in (0, 1) with 48 bits."""
+    return (hash_bucket(digest, 12) + F.lit(0.5)) / F.lit(281474976710656.0)
+
+
 def permuted(place: Column, size: Column, *seed: Column | str | int, rounds: int = 48) -> Column:
     """Bijection of 0 … ``size`` - 1, keyed by ``seed``: where ``place`` goes. No sort, no window, any size.
 
@@ -29,10 +36,42 @@ def permuted(place: Column, size: Column, *seed: Column | str | int, rounds: int
     so every round is a bijection whatever the size.
     """
     key = F.xxhash64(*[F.lit(s) if not isinstance(s, Column) else s for s in seed])
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def walk(k: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            mirror = F.pmod(F.pmod(F.xxhash64(k, i), size) - x, size)
+            return once(mirror, lambda m: F.when(F.xxhash64(k, i, F.greatest(x, m)).bitwiseAND(F.lit(1)) == 1, m).otherwise(x))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place.cast("bigint"), step)
+
+    return F.when(size > 1, once(key, walk)).otherwise(place.cast("bigint"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Scrambled 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def permuted_often(place: Column, size: Column, key: Column, reps: int, rounds: int = 32) -> Column:
+    """Places of ``place`` under ``reps`` bijections of 0 … ``size`` - 1, as an array; a bigint ``key`` names the group.
+
+    The bijections of ``permuted``, for many replicates of a row at once, over Arrow batches.
+    """
+    step = np.uint64(0x9E3779B97F4A7C15)
 
-    def step(x: Column, k: Column) -> Column:
-        mirror = F.pmod(F.pmod(F.xxhash64(key, k, F.lit(0)), size) - x, size)
-        swap = F.xxhash64(key, k, F.greatest(x, mirror)).bitwiseAND(F.lit(1)) == 1
-        return F.when(swap, mirror).otherwise(x)
+    @F.pandas_udf("array<bigint>")
+    def draw(places: pd.Series, sizes: pd.Series, keys: pd.Series) -> pd.Series:
+        n = sizes.to_numpy(np.int64)[:, None].astype(np.uint64)
+        x = np.repeat(places.to_numpy(np.int64)[:, None], reps, axis=1).astype(np.uint64)
+        k = _mixed(keys.to_numpy(np.int64).astype(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * step)
+        for i in range(1, rounds + 1):
+            own = _mixed(k + np.uint64(i * int(step) % 2**64))
+            mirror = (own % n + n - x) % n
+            swap = _mixed(own ^ (np.maximum(x, mirror) + np.uint64(1)) * step) & np.uint64(1)
+            x = np.where(swap == 1, mirror, x)
+        return pd.Series(list(x.astype(np.int64)))
 
-    return F.when(size > 1, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), place.cast("bigint"), step)).otherwise(place.cast("bigint"))
+    return draw(place, size, key)

@@ -106,3 +106,46 @@ def year_of(c: Column | str) -> Column:
 
 def f1_of(tp: Column, fp: Column, fn: Column) -> Column:
     return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
+
+
+def _polynomial(x: Column, coefficients: list[float]) -> Column:
+    """Value at ``x``, by an array of coefficients, so that ``x`` is written once."""
+    return F.aggregate(F.array(*[F.lit(c) for c in coefficients]), F.lit(0.0), lambda s, c: s * x + c)
+
+
+# Coefficients of the rational approximation of the normal quantile (relative error below 1.2e-9), and the
+# probability at which its tail form takes over.
+NORMAL_CENTRE_TOP = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+NORMAL_CENTRE_BOTTOM = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+NORMAL_TAIL_TOP = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+NORMAL_TAIL_BOTTOM = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+NORMAL_TAIL = 0.02425
+
+
+def normal_quantile(u: Column) -> Column:
+    """Standard normal quantile of a probability inside (0, 1)."""
+    tail = lambda p: bind(F.sqrt(-2 * F.log(p)), lambda x: _polynomial(x, NORMAL_TAIL_TOP) / _polynomial(x, NORMAL_TAIL_BOTTOM))
+    centre = lambda q: bind(q * q, lambda r: _polynomial(r, NORMAL_CENTRE_TOP) * q / _polynomial(r, NORMAL_CENTRE_BOTTOM))
+    return bind(u, lambda p: F.when(p < NORMAL_TAIL, tail(p)).when(p > 1 - NORMAL_TAIL, -tail(1 - p)).otherwise(bind(p - 0.5, centre)))
+
+
+#: Means up to this one are inverted by summing probabilities, larger ones by the expansion of the quantile.
+POISSON_SUMMED = 256
+
+
+def poisson_quantile(mean: Column, u: Column) -> Column:
+    """Poisson count at probability ``u``: as many as n items drawn n times with replacement have copies in all.
+
+    Up to POISSON_SUMMED the distribution function is summed. Beyond, the quantile follows from the normal one with its
+    corrections for skewness and curvature, whose error there is far below one count.
+    """
+
+    def near(p: Column) -> Column:
+        longest = F.least(F.lit(2 * POISSON_SUMMED), (mean + 20 * F.sqrt(mean) + 40).cast("int"))
+        first = F.struct(F.lit(0).cast("bigint").alias("k"), F.exp(-mean).alias("p"), F.exp(-mean).alias("c"))
+        more = lambda s: F.struct((s["k"] + 1).alias("k"), (s["p"] * mean / (s["k"] + 1)).alias("p"), (s["c"] + s["p"] * mean / (s["k"] + 1)).alias("c"))
+        return F.aggregate(F.sequence(F.lit(1), longest), first, lambda s, _: F.when(s["c"] > p, s).otherwise(more(s)))["k"]
+
+    root = F.sqrt(mean)
+    far = bind(normal_quantile(u), lambda z: F.floor(mean + root * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * root) + 0.5))
+    return F.when(mean <= 0, F.lit(0)).when(mean <= POISSON_SUMMED, bind(u, near)).otherwise(F.greatest(far, F.lit(0))).cast("bigint")

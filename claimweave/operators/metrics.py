@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.functions.hashing import hash_bucket, seeded_md5
-from claimweave.functions.maths import f1_of
+from claimweave.functions.hashing import fine_draw, hash_bucket, seeded_md5
+from claimweave.functions.maths import f1_of, poisson_quantile
 from claimweave.operators.ranking import running_totals
 from claimweave.session import stage
 
@@ -127,34 +127,54 @@ def mcnemar(counts: DataFrame) -> DataFrame:
     return counts.mapInPandas(tests, schema)
 
 
-# Cumulative Poisson(1) probabilities: the weight of a resampled unit is the number of limits its draw reaches.
-POISSON_LIMITS = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406, 0.999917, 0.999990]
+def bootstrap_cells(df: DataFrame, by: list[str], unit: Column | None, pred: Column, reps: int, seed: str, label: str = "label") -> DataFrame:
+    """F1 per replicate of a bootstrap over items, or over whole ``unit``s (clusters) where given.
 
-
-def poisson_weight(draw: Column) -> Column:
-    """Poisson(1) count from a uniform draw (inverse distribution function)."""
-    out = F.lit(0)
-    for limit in POISSON_LIMITS:
-        out = out + (draw >= limit).cast("int")
-    return out
+    Items of one outcome are alike for the statistic, and the sum of n independent Poisson(1) weights is one Poisson(n)
+    draw; so a replicate draws a count for each of the four outcomes, and its cost does not grow with the items.
+    Clusters draw a weight each. Replicates with one class only are dropped.
+    """
+    y = F.col(label) == 1
+    outcome = {"tp": y & pred, "fp": ~y & pred, "fn": y & ~pred, "tn": ~y & ~pred}
+    every = F.sequence(F.lit(1), F.lit(reps))
+    if unit is None:
+        name = F.when(outcome["tp"], "tp").when(outcome["fp"], "fp").when(outcome["fn"], "fn").otherwise("tn")
+        cells = df.groupBy(*by, name.alias("_u")).agg(F.count("*").alias("_n")).withColumn("rep", F.explode(every))
+        drawn = cells.withColumn("_w", poisson_quantile(F.col("_n").cast("double"), fine_draw(seeded_md5(seed, *by, "_u", "rep"))))
+        sums = [F.sum(F.when(F.col("_u") == c, F.col("_w")).otherwise(0)).alias(c) for c in outcome]
+    else:
+        cells = df.withColumn("_u", unit).groupBy(*by, "_u").agg(*[F.count_if(v).alias(c) for c, v in outcome.items()]).withColumn("rep", F.explode(every))
+        drawn = cells.withColumn("_w", poisson_quantile(F.lit(1.0), fine_draw(seeded_md5(seed, "_u", "rep"))))
+        sums = [F.sum(F.col(c) * F.col("_w")).alias(c) for c in outcome]
+    kept = drawn.groupBy(*by, "rep").agg(*sums).where((F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0))
+    return kept.select(*by, "rep", f1_of(F.col("tp").cast("double"), F.col("fp"), F.col("fn")).alias("f1"))
 
 
-def bootstrap_cells(df: DataFrame, by: list[str], unit: Column, pred: Column, reps: int, seed: str, label: str = "label") -> DataFrame:
-    """F1 per replicate of a Poisson bootstrap over resampling units (items' hash groups, or clusters).
+def paired_bootstrap(df: DataFrame, by: list[str], pred_a: Column, pred_b: Column, reps: int, seed: str, label: str = "label") -> DataFrame:
+    """F1 of two models and their difference per replicate, both on the same resampled items.
 
-    Items collapse to four counts per unit before anything is replicated, so the cost of ``reps``
-    replicates does not grow with the data once units are fixed in number.
+    As ``bootstrap_cells``, over the eight joint outcomes of label and both predictions.
     """
-    y = F.col(label) == 1
-    cells = df.withColumn("_u", unit).groupBy(*by, "_u").agg(
-        F.count_if(y & pred).alias("tp"), F.count_if(~y & pred).alias("fp"), F.count_if(y & ~pred).alias("fn")
-    )
-    rep = cells.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    draw = hash_bucket(seeded_md5(seed, F.col("_u"), F.col("rep")), 4) / F.lit(65536.0)
-    w = rep.withColumn("_w", poisson_weight(draw))
-    s = w.groupBy(*by, "rep").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in ("tp", "fp", "fn")])
-    kept = s.where(F.col("tp") + F.col("fn") > 0)
-    return kept.select(*by, "rep", f1_of(F.col("tp").cast("double"), F.col("fp"), F.col("fn")).alias("f1"))
+    cell = F.concat(F.col(label).cast("string"), pred_a.cast("int").cast("string"), pred_b.cast("int").cast("string"))
+    cells = df.groupBy(*by, cell.alias("_u")).agg(F.count("*").alias("_n")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    drawn = cells.withColumn("_w", poisson_quantile(F.col("_n").cast("double"), fine_draw(seeded_md5(seed, *by, "_u", "rep"))))
+    total = lambda *names: F.sum(F.when(F.col("_u").isin(*names), F.col("_w")).otherwise(0)).cast("double")
+    s = drawn.groupBy(*by, "rep").agg(
+        total("110", "111").alias("tp_a"), total("010", "011").alias("fp_a"), total("100", "101").alias("fn_a"),
+        total("101", "111").alias("tp_b"), total("001", "011").alias("fp_b"), total("100", "110").alias("fn_b"), total("000", "001", "010", "011").alias("neg"),
+    )
+    kept = s.where((F.col("tp_a") + F.col("fn_a") > 0) & (F.col("neg") > 0))
+    f1 = lambda m: f1_of(F.col(f"tp_{m}"), F.col(f"fp_{m}"), F.col(f"fn_{m}"))
+    return kept.select(*by, "rep", f1("a").alias("f1_a"), f1("b").alias("f1_b")).withColumn("delta", F.col("f1_a") - F.col("f1_b"))
+
+
+def delta_interval(reps: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """Mean, percentile interval and share of positive values of ``delta``."""
+    g = reps.groupBy(*by) if by else reps.groupBy()
+    return g.agg(
+        F.count("*").alias("n_reps"), F.round(F.avg("delta"), 6).alias("delta_mean"), F.round(F.percentile("delta", alpha / 2), 6).alias("lo"),
+        F.round(F.percentile("delta", 1 - alpha / 2), 6).alias("hi"), F.round(F.avg((F.col("delta") > 0).cast("double")), 6).alias("share_positive"),
+    )
 
 
 def percentile_interval(reps: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:

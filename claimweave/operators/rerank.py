@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.session import broadcast_if_small
+from claimweave.functions.hashing import permuted_often
+from claimweave.session import broadcast_if_small, stage
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -59,3 +60,37 @@ def ranking_metrics(ranked: DataFrame, member: Column, k: int, rank: str, tag: s
         F.round(F.try_divide(F.count_if(member & (r <= k)), n), 6).alias(f"recall_{tag}"),
         F.round(F.avg(F.when(member, r)), 6).alias(f"mean_rank_{tag}"),
     ]
+
+
+def separation(member: Column, rank: str) -> Column:
+    """Mean rank of the others minus that of the members, as an aggregate; null where either is missing."""
+    r = F.col(rank)
+    return F.avg(F.when(~member, r)) - F.avg(F.when(member, r))
+
+
+def permutation_test(ranked: DataFrame, member: Column, beta: float, reps: int, seed: str) -> DataFrame:
+    """One row: the mean change of separation by re-ranking, that of ``reps`` permutations of coherence, and p.
+
+    ``ranked`` has sample_id, reads, coherence, original_rank (dense from 1 in its sample) and new_rank. In every
+    replicate a keyed bijection of the ranks hands each row's coherence to another row of its sample, so all rows are
+    permuted without a sort; the new order and its separation follow. Samples without members or without others
+    have no separation and are left out. p = (replicates at or above the observed + 1) / (replicates + 1).
+    """
+    r = ranked.select("sample_id", "reads", "coherence", (F.col("original_rank") - 1).cast("bigint").alias("place"), "new_rank", member.alias("member"))
+    r = stage(r, "ranked")
+    m = F.col("member")
+    per = r.withColumn("rank", F.col("place") + 1).groupBy("sample_id").agg(F.count("*").alias("n"), separation(m, "rank").alias("before"), separation(m, "new_rank").alias("after")).where("before is not null")
+    per = stage(per, "separations")
+    observed = per.agg(F.avg(F.col("after") - F.col("before"))).scalar()
+    base = r.join(per.select("sample_id", "n", "before"), "sample_id")
+    lists = permuted_often(F.col("place"), F.col("n"), F.xxhash64(F.lit(seed), "sample_id"), reps)
+    moved = base.select("sample_id", F.col("coherence").alias("given"), F.posexplode(lists).alias("rep", "place"))
+    again = moved.join(base.select("sample_id", "place", "reads", "member", "before"), ["sample_id", "place"])
+    final = F.round(F.col("reads") * (1 + beta * F.col("given")), 4)
+    w = Window.partitionBy("sample_id", "rep").orderBy(F.desc(final), "place")
+    stat = again.withColumn("rank", F.row_number().over(w)).groupBy("rep", "sample_id").agg((separation(m, "rank") - F.first("before")).alias("d"))
+    null = stat.groupBy("rep").agg(F.avg("d").alias("d")).withColumn("observed", observed)
+    return null.agg(
+        F.round(F.max("observed"), 6).alias("observed"), F.round(F.avg("d"), 6).alias("null_mean"), F.count("*").alias("n_reps"),
+        F.round((F.count_if(F.col("d") >= F.col("observed") - 1e-9) + 1) / (F.count("*") + 1), 6).alias("p_value"),
+    )

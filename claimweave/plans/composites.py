@@ -15,7 +15,7 @@ from claimweave.operators import taxonomy as TX
 from claimweave.operators.build import SourceSpec, build_corpus
 from claimweave.operators.corpus import keep_first
 from claimweave.operators.ranking import top_n
-from claimweave.plans.evaluation import boot_sql
+from claimweave.plans.evaluation import DELTA, boot_sql, paired_sql
 from claimweave.plans.filters import FALSE_NEG_SQL, GOOD_SQL
 from claimweave.plans.joins import NEAR_SQL
 from claimweave.plans.registry import query
@@ -236,18 +236,22 @@ def contamination_report(spark, sf):
 
 @query(
     "comp_07_stratified_report",
-    f"""WITH {SCORED}, d AS (SELECT doc_id, round(max(score), 3) AS score, max(label) AS label, least(count(*), 3) AS stratum FROM scored GROUP BY doc_id), h AS (SELECT *, score >= 0.5 AS hit FROM d),
+    f"""WITH {SCORED}, d AS (SELECT doc_id, round(max(score), 3) AS score, round(max(score_b), 3) AS score_b, max(label) AS label, least(count(*), 3) AS stratum FROM scored GROUP BY doc_id), h AS (SELECT *, score >= 0.5 AS hit, score >= 0.5 AS hit_a, score_b >= 0.5 AS hit_b FROM d),
  g AS (SELECT stratum, score, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM d GROUP BY ALL), c AS (SELECT *, sum(pos) OVER (PARTITION BY stratum ORDER BY score DESC) AS cp, sum(neg) OVER (PARTITION BY stratum ORDER BY score DESC) AS cn FROM g),
- ap AS (SELECT stratum, CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(pos * cp / CAST(cp + cn AS DOUBLE)) / sum(pos), 6) AS ap FROM c GROUP BY stratum), {boot_sql("('0x' || substr(md5(concat_ws('|', 'str', doc_id)), 1, 6))::BIGINT % 128", "stratum", "s7", 100)},
- b AS (SELECT stratum, round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi FROM f GROUP BY stratum) SELECT CAST(stratum AS BIGINT) AS stratum, n_pos, ap, lo, hi FROM ap JOIN b USING (stratum)""",
+ ap AS (SELECT stratum, CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(pos * cp / CAST(cp + cn AS DOUBLE)) / sum(pos), 6) AS ap FROM c GROUP BY stratum), {boot_sql("stratum", "s7", 100)}, {paired_sql("h", "stratum", "p7", 100)},
+ b AS (SELECT stratum, round(quantile_cont(f1, 0.025), 6) AS f1_lo, round(quantile_cont(f1, 0.975), 6) AS f1_hi FROM f GROUP BY stratum), e AS (SELECT stratum, {DELTA} FROM df GROUP BY stratum)
+ SELECT CAST(stratum AS BIGINT) AS stratum, n_pos, ap, f1_lo, f1_hi, delta_mean, lo, hi, share_positive FROM ap JOIN b USING (stratum) JOIN e USING (stratum)""",
 )
 def stratified_report(spark, sf):
-    """Candidates pooled to documents, strata by candidate count, average precision and F1 interval per stratum."""
-    d = scored(spark, sf).groupBy("doc_id").agg(F.round(F.max("score"), 3).alias("score"), F.max("label").alias("label"), F.least(F.count("*"), F.lit(3)).cast("bigint").alias("stratum"))
+    """Candidates pooled to documents, strata by candidate count: average precision, F1 interval, and the paired interval
+    of the difference between two models, per stratum."""
+    d = scored(spark, sf).groupBy("doc_id").agg(F.round(F.max("score"), 3).alias("score"), F.round(F.max("score_b"), 3).alias("score_b"), F.max("label").alias("label"), F.least(F.count("*"), F.lit(3)).cast("bigint").alias("stratum"))
     d = stage(d, "strata")
     ap = ME.auc_ap(d, ["stratum"]).select("stratum", "n_pos", "ap")
-    reps = ME.bootstrap_cells(d, ["stratum"], ME.hash_unit(["doc_id"], 128, "str"), F.col("score") >= 0.5, 100, "s7")
-    return ap.join(ME.percentile_interval(reps, ["stratum"], "f1").select("stratum", "lo", "hi"), "stratum")
+    reps = ME.bootstrap_cells(d, ["stratum"], None, F.col("score") >= 0.5, 100, "s7")
+    own = ME.percentile_interval(reps, ["stratum"], "f1").select("stratum", F.col("lo").alias("f1_lo"), F.col("hi").alias("f1_hi"))
+    pair = ME.delta_interval(ME.paired_bootstrap(d, ["stratum"], F.col("score") >= 0.5, F.col("score_b") >= 0.5, 100, "p7"), ["stratum"]).drop("n_reps")
+    return ap.join(own, "stratum").join(pair, "stratum")
 
 
 @query(

@@ -85,36 +85,82 @@ def mcnemar(spark, sf):
     return t.select("source", "n01", "n10", F.round("chi2", 6).alias("chi2"), F.round("p_chi2", 9).alias("p_chi2"), F.round("p_exact", 9).alias("p_exact"))
 
 
-_DRAW = "('0x' || substr(md5(concat_ws('|', '{seed}', _u, rep)), 1, 4))::BIGINT / CAST(65536 AS DOUBLE)"
-_WEIGHT = "(" + " + ".join(f"CAST(draw >= {x} AS INTEGER)" for x in ME.POISSON_LIMITS) + ")"
+def _polynomial_sql(x: str, coefficients: list[float]) -> str:
+    out = f"({coefficients[0]}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + ({c}::DOUBLE))"
+    return out
+
+
+def poisson_sql(cells: str, key: str, seed: str, reps: int, columns: str, mean: str = "n", tag: str = "") -> str:
+    """CTE ``w{tag}``: ``columns`` of the table ``cells``, rep and weight, drawn by the md5 of seed, ``key`` and rep."""
+    z = (
+        f"CASE WHEN u < {M.NORMAL_TAIL} THEN {_polynomial_sql('lo', M.NORMAL_TAIL_TOP)} / {_polynomial_sql('lo', M.NORMAL_TAIL_BOTTOM)} WHEN u > 1 - {M.NORMAL_TAIL} THEN -{_polynomial_sql('hi', M.NORMAL_TAIL_TOP)} / {_polynomial_sql('hi', M.NORMAL_TAIL_BOTTOM)}"
+        f" ELSE {_polynomial_sql('(q * q)', M.NORMAL_CENTRE_TOP)} * q / {_polynomial_sql('(q * q)', M.NORMAL_CENTRE_BOTTOM)} END"
+    )
+    return f"""r{tag} AS (SELECT *, unnest(range(1, {reps} + 1)) AS rep FROM {cells}), u{tag} AS (SELECT *, {mean} AS mean, (('0x' || substr(md5(concat_ws('|', '{seed}', {key}, rep)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM r{tag}),
+ t{tag} AS (SELECT m, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY m ORDER BY k) AS c FROM (SELECT DISTINCT mean::DOUBLE AS m FROM u{tag} WHERE mean <= {M.POISSON_SUMMED}), range(0, {2 * M.POISSON_SUMMED}) x(k)),
+ near{tag} AS (SELECT {key}, rep, count(k) AS weight FROM u{tag} LEFT JOIN t{tag} ON m = mean AND c <= u WHERE mean <= {M.POISSON_SUMMED} GROUP BY ALL),
+ z{tag} AS (SELECT *, {z} AS z FROM (SELECT *, u - 0.5 AS q, sqrt(-2 * ln(u)) AS lo, sqrt(-2 * ln(1 - u)) AS hi FROM u{tag})),
+ w{tag} AS (SELECT {columns}, rep, coalesce(weight, greatest(floor(mean + sqrt(mean) * z + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(mean)) + 0.5), 0))::BIGINT AS weight FROM z{tag} LEFT JOIN near{tag} USING ({key}, rep))"""
+
+
+OUTCOME = "CASE WHEN label = 1 THEN CASE WHEN hit THEN 'tp' ELSE 'fn' END ELSE CASE WHEN hit THEN 'fp' ELSE 'tn' END END"
+
+
+def boot_sql(by: str, seed: str, reps: int) -> str:
+    """CTE ``f``: F1 per replicate of the item bootstrap over the table ``h`` (``by``, label, hit)."""
+    sums = ", ".join(f"coalesce(sum(weight) FILTER (WHERE _u = '{c}'), 0) AS {c}" for c in ("tp", "fp", "fn", "tn"))
+    return f"""cells AS (SELECT {by}, {OUTCOME} AS _u, count(*) AS n FROM h GROUP BY ALL), {poisson_sql("cells", f"{by}, _u", seed, reps, f"{by}, _u")},
+ s AS (SELECT {by}, rep, {sums} FROM w GROUP BY ALL), f AS (SELECT {by}, rep, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1 FROM s WHERE tp + fn > 0 AND fp + tn > 0)"""
+
 
+def paired_sql(table: str, by: str | None, seed: str, reps: int) -> str:
+    """CTE ``df``: F1 of both models and delta per replicate over ``table`` (``by``, label, hit_a, hit_b)."""
+    lead = f"{by}, " if by else ""
+    total = lambda *names: f"coalesce(sum(weight) FILTER (WHERE _u IN ({', '.join(repr(x) for x in names)})), 0)"
+    f1 = lambda tp, fp, fn: f"coalesce(2 * {tp} / nullif(CAST(2 * {tp} + {fp} + {fn} AS DOUBLE), 0), 0)"
+    return f"""pcells AS (SELECT {lead}label::VARCHAR || hit_a::INTEGER::VARCHAR || hit_b::INTEGER::VARCHAR AS _u, count(*) AS n FROM {table} GROUP BY ALL), {poisson_sql("pcells", f"{lead}_u", seed, reps, f"{lead}_u", tag="_p")},
+ ps AS (SELECT {lead}rep, {total("110", "111")} AS ta, {total("010", "011")} AS fa, {total("100", "101")} AS na, {total("101", "111")} AS tb, {total("001", "011")} AS fb, {total("100", "110")} AS nb, {total("000", "001", "010", "011")} AS neg FROM w_p GROUP BY ALL),
+ df AS (SELECT {lead}rep, {f1("ta", "fa", "na")} - {f1("tb", "fb", "nb")} AS delta FROM ps WHERE ta + na > 0 AND neg > 0)"""
 
-def boot_sql(unit: str, by: str, seed: str, reps: int) -> str:
-    return f"""cells AS (SELECT {by}, {unit} AS _u, count(*) FILTER (WHERE label = 1 AND hit) AS tp, count(*) FILTER (WHERE label = 0 AND hit) AS fp, count(*) FILTER (WHERE label = 1 AND NOT hit) AS fn FROM h GROUP BY ALL),
- rep AS (SELECT *, unnest(range(1, {reps} + 1)) AS rep FROM cells), w AS (SELECT *, {_DRAW.format(seed=seed)} AS draw FROM rep), s AS (SELECT {by}, rep, sum(tp * {_WEIGHT}) AS tp, sum(fp * {_WEIGHT}) AS fp, sum(fn * {_WEIGHT}) AS fn FROM w GROUP BY ALL),
- f AS (SELECT {by}, rep, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1 FROM s WHERE tp + fn > 0)"""
+
+DELTA = "round(avg(delta), 6) AS delta_mean, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi, round(avg(CASE WHEN delta > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS share_positive"
 
 
 @query(
     "agg_27_bootstrap_interval",
-    f"""WITH {SCORED}, h AS (SELECT *, score >= 0.5 AS hit FROM scored), {boot_sql("('0x' || substr(md5(concat_ws('|', 'unit', item_id)), 1, 6))::BIGINT % 256", "arm", "boot", 200)}
+    f"""WITH {SCORED}, h AS (SELECT *, score >= 0.5 AS hit FROM scored), {boot_sql("arm", "boot", 200)}
  SELECT arm, count(*) AS n_reps, round(quantile_cont(f1, 0.025), 6) AS lo, round(quantile_cont(f1, 0.975), 6) AS hi FROM f GROUP BY arm""",
 )
 def bootstrap_interval(spark, sf):
-    reps = ME.bootstrap_cells(scored(spark, sf), ["arm"], ME.hash_unit(["item_id"], 256, "unit"), F.col("score") >= 0.5, 200, "boot")
+    """Items are resampled: one count per outcome and replicate stands for all items of the outcome."""
+    reps = ME.bootstrap_cells(scored(spark, sf), ["arm"], None, F.col("score") >= 0.5, 200, "boot")
     return ME.percentile_interval(reps, ["arm"], "f1")
 
 
+@query(
+    "agg_27_paired_item_bootstrap",
+    f"""WITH {SCORED}, h AS (SELECT *, score >= 0.5 AS hit_a, score_b >= 0.5 AS hit_b FROM scored), {paired_sql("h", "source", "pair", 200)} SELECT source, count(*) AS n_reps, {DELTA} FROM df GROUP BY source""",
+)
+def paired_item_bootstrap(spark, sf):
+    """Two models on the same resampled items, per source."""
+    reps = ME.paired_bootstrap(scored(spark, sf), ["source"], F.col("score") >= 0.5, F.col("score_b") >= 0.5, 200, "pair")
+    return ME.delta_interval(reps, ["source"])
+
+
 @query(
     "agg_27_paired_cluster_bootstrap",
-    f"""WITH {SCORED}, h AS (SELECT *, score >= 0.5 AS hit FROM scored), {boot_sql("source", "arm", "cluster", 200)}, d AS (SELECT rep, max(CASE WHEN arm = 'F' THEN f1 END) - max(CASE WHEN arm = 'O' THEN f1 END) AS delta FROM f GROUP BY rep)
- SELECT count(*) AS n_reps, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi FROM d WHERE delta IS NOT NULL""",
+    f"""WITH {SCORED}, h AS (SELECT *, score >= 0.5 AS hit FROM scored), cells AS (SELECT arm, source AS _u, count(*) FILTER (WHERE label = 1 AND hit) AS tp, count(*) FILTER (WHERE label = 0 AND hit) AS fp, count(*) FILTER (WHERE label = 1 AND NOT hit) AS fn, count(*) FILTER (WHERE label = 0 AND NOT hit) AS tn FROM h GROUP BY ALL),
+ units AS (SELECT DISTINCT _u, 1 AS n FROM cells), {poisson_sql("units", "_u", "cluster", 200, "_u")},
+ s AS (SELECT arm, rep, sum(tp * weight) AS tp, sum(fp * weight) AS fp, sum(fn * weight) AS fn, sum(tn * weight) AS tn FROM cells JOIN w USING (_u) GROUP BY ALL), f AS (SELECT arm, rep, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1 FROM s WHERE tp + fn > 0 AND fp + tn > 0),
+ d AS (SELECT rep, max(CASE WHEN arm = 'F' THEN f1 END) - max(CASE WHEN arm = 'O' THEN f1 END) AS delta FROM f GROUP BY rep) SELECT count(*) AS n_reps, {DELTA} FROM d WHERE delta IS NOT NULL""",
 )
 def paired_cluster_bootstrap(spark, sf):
     """Whole sources are resampled; both arms share the draws, so the difference is paired."""
     reps = ME.bootstrap_cells(scored(spark, sf), ["arm"], F.col("source"), F.col("score") >= 0.5, 200, "cluster")
     d = reps.groupBy("rep").agg((F.max(F.when(F.col("arm") == "F", F.col("f1"))) - F.max(F.when(F.col("arm") == "O", F.col("f1")))).alias("delta"))
-    return ME.percentile_interval(d.where(F.col("delta").isNotNull()), [], "delta")
+    return ME.delta_interval(d.where(F.col("delta").isNotNull()), [])
 
 
 @query(

@@ -315,14 +315,23 @@ def _metrics_sql(r: str, tag: str) -> str:
 
 @query(
     "win_12_ranking_metrics",
-    f"""WITH {RERANKED}, l AS (SELECT *, species LIKE 'red%' OR species LIKE 'hot%' AS t FROM reranked) SELECT sample_id, {_metrics_sql("original_rank", "before")}, {_metrics_sql("new_rank", "after")}, count(*) FILTER (WHERE NOT t AND new_rank <= 10) AS fp_at_k FROM l GROUP BY sample_id""",
+    f"""WITH {RERANKED}, l AS (SELECT *, species LIKE 'red%' OR species LIKE 'hot%' AS t FROM reranked) SELECT sample_id, {_metrics_sql("original_rank", "before")}, {_metrics_sql("new_rank", "after")}, count(*) FILTER (WHERE NOT t AND new_rank <= 10) AS fp_at_k,
+ round(avg(CASE WHEN NOT t THEN original_rank END) - avg(CASE WHEN t THEN original_rank END), 6) AS sep_before, round(avg(CASE WHEN NOT t THEN new_rank END) - avg(CASE WHEN t THEN new_rank END), 6) AS sep_after FROM l GROUP BY sample_id""",
 )
 def ranking_metrics(spark, sf):
     t = F.col("species").startswith("red") | F.col("species").startswith("hot")
     r = reranked(spark, sf)
     return r.groupBy("sample_id").agg(
-        *RR.ranking_metrics(r, t, 10, "original_rank", "before"), *RR.ranking_metrics(r, t, 10, "new_rank", "after"), F.count_if(~t & (F.col("new_rank") <= 10)).alias("fp_at_k")
-    )
+        *RR.ranking_metrics(r, t, 10, "original_rank", "before"), *RR.ranking_metrics(r, t, 10, "new_rank", "after"), F.count_if(~t & (F.col("new_rank") <= 10)).alias("fp_at_k"),
+        *[F.round(RR.separation(t, r), 6).alias(f"sep_{tag}") for r, tag in (("original_rank", "before"), ("new_rank", "after"))],
+    )
+
+
+@query("smp_21_permutation_test")
+def permutation_test(spark, sf):
+    """Coherence shuffled inside each sample, 100 times over all rows; p of the gain in separation."""
+    t = F.col("species").startswith("red") | F.col("species").startswith("hot")
+    return RR.permutation_test(reranked(spark, sf), t, 1.0, 100, "perm")
 
 
 @query(

@@ -313,29 +313,3 @@ def pattern_negatives(spark, sf):
     rows = out.unionByName(own)
     ok = (F.lower("first") != F.lower("second")) & ~F.lower("second").isin(V.AUTHOR_STOPWORDS) & (F.length("second") >= 4)
     return rows.where(ok).distinct()
-
-
-@query(
-    "smp_21_permutation_test",
-    f"""WITH {SCORED}, g AS (SELECT source, doc_id % 50 AS grp, label, round(avg(score), 6) AS s, count(*) AS n FROM scored GROUP BY ALL), o AS (SELECT sum(CASE WHEN label = 1 THEN s END) - sum(CASE WHEN label = 0 THEN s END) AS obs FROM g),
- r AS (SELECT *, unnest(range(1, 101)) AS rep FROM g), a AS (SELECT rep, source, label, s, row_number() OVER (PARTITION BY rep, source ORDER BY md5(concat_ws('|', 'perm', rep, grp, label)), grp, label) AS k, row_number() OVER (PARTITION BY rep, source ORDER BY grp, label) AS i FROM r),
- p AS (SELECT x.rep, sum(CASE WHEN x.label = 1 THEN y.s ELSE -y.s END) AS stat FROM a x JOIN a y ON x.rep = y.rep AND x.source = y.source AND x.i = y.k GROUP BY x.rep)
- SELECT round(max(obs), 6) AS observed, count(*) AS n_reps, round((count(*) FILTER (WHERE stat >= obs - 1e-9) + 1) / CAST(count(*) + 1 AS DOUBLE), 6) AS p_value FROM p, o""",
-)
-def permutation_test(spark, sf):
-    """Scores shuffled inside each source (by a seeded order per replicate), the statistic recomputed, p = (≥ obs + 1)/(n + 1)."""
-    g = scored(spark, sf).groupBy("source", (F.col("doc_id") % 50).alias("grp"), "label").agg(F.round(F.avg("score"), 6).alias("s"))
-    sign = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
-    obs = g.agg(F.sum(sign * F.col("s"))).scalar()
-    r = g.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    w = Window.partitionBy("rep", "source")
-    a = r.withColumns({"i": F.row_number().over(w.orderBy("grp", "label")), "k": F.row_number().over(w.orderBy(seeded_md5("perm", "rep", "grp", "label"), "grp", "label"))})
-    b = a.select("rep", "source", F.col("k").alias("i"), F.col("s").alias("s2"))
-    stat = a.join(b, ["rep", "source", "i"]).groupBy("rep").agg(F.sum(sign * F.col("s2")).alias("stat"))
-    stat = stat.withColumn("obs", obs)
-    return stat.agg(
-        F.round(F.max("obs"), 6).alias("observed"), F.count("*").alias("n_reps"),
-        F.round((F.count_if(F.col("stat") >= F.col("obs") - 1e-9) + 1) / (F.count("*") + 1), 6).alias("p_value"),
-    )
-
-
