@@ -122,34 +122,38 @@ def _chain(of_words: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _places(h: np.ndarray) -> np.ndarray:
-    return (h >> U(20)) % U(BITS)
+def _places(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> U(20)) % U(bits)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(n_bits: int):
     """Of phrases (lang, phrase): 64 bits at a time, those that are set."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = pc.split_pattern(batch.column("phrase"), b" ")
-        size = pc.list_value_length(parts).to_numpy()
-        flat = word_keys(pc.list_flatten(parts).cast(pa.large_binary()))
-        first = np.append(0, np.cumsum(size)[:-1])
-        lang = word_keys(batch.column("lang").cast(pa.large_binary()))
-        h = np.zeros(len(size), U)
-        for k in np.unique(size).tolist():
-            at = np.flatnonzero(size == k)
-            h[at] = _chain([lang[at], *(flat[first[at] + j] for j in range(k))])
-        place = np.unique(_places(h))
-        word, new = np.unique(place >> U(6), return_index=True)
-        bits = np.bitwise_or.reduceat(U(1) << (place & U(63)), new)
-        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
-
-
-def frequent_bits(phrases: DataFrame) -> np.ndarray:
-    """Bits of (lang, phrase: binary): at most BITS of them come to the driver, whatever the size of the table."""
-    set_bits = phrases.select("lang", "phrase").mapInArrow(_bits, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, U)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parts = pc.split_pattern(batch.column("phrase"), b" ")
+            size = pc.list_value_length(parts).to_numpy()
+            flat = word_keys(pc.list_flatten(parts).cast(pa.large_binary()))
+            first = np.append(0, np.cumsum(size)[:-1])
+            lang = word_keys(batch.column("lang").cast(pa.large_binary()))
+            h = np.zeros(len(size), U)
+            for k in np.unique(size).tolist():
+                at = np.flatnonzero(size == k)
+                h[at] = _chain([lang[at], *(flat[first[at] + j] for j in range(k))])
+            place = np.unique(_places(h, n_bits))
+            word, new = np.unique(place >> U(6), return_index=True)
+            bits = np.bitwise_or.reduceat(U(1) << (place & U(63)), new)
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    return run
+
+
+def frequent_bits(phrases: DataFrame, n_bits: int = BITS) -> np.ndarray:
+    """Bits of (lang, phrase: binary): at most ``n_bits`` (a multiple of 64) come to the driver, whatever the size of the table."""
+    set_bits = phrases.select("lang", "phrase").mapInArrow(_bits(n_bits), "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(n_bits // 64, U)
     out[set_bits["at"].to_numpy()] = set_bits["bits"].to_numpy().view(U)
     return out
 
@@ -177,7 +181,7 @@ def _stripes(words: int, bits: np.ndarray, heavy: dict[str, tuple[list[bytes], l
                     places = places[c.goes_on[places + j]]
                 ids = [c.ids[places + j] for j in range(words + 1)]
                 for some in (slice(0, words), slice(1, words + 1)):
-                    h = _places(_chain([lang[ids[0]], *(keys[i] for i in ids[some])]))
+                    h = _places(_chain([lang[ids[0]], *(keys[i] for i in ids[some])]), 64 * len(bits))
                     on = (bits[(h >> U(6)).astype(np.int64)] >> (h & U(63)) & U(1)).astype(bool)
                     ids = [i[on] for i in ids]
                 if len(ids[0]):
@@ -297,7 +301,7 @@ def _heavy(words: DataFrame) -> dict[str, tuple[list[bytes], list[int]]]:
     return heavy
 
 
-def levels(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, least: int = 10) -> list[DataFrame]:
+def levels(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 3, least: int = 10, n_bits: int = BITS) -> list[DataFrame]:
     """(lang, phrase: UTF-8 bytes, n) of all words, then of the phrases of 2 … max_words words met ``least`` times or more.
 
     Each level is read from merged stripes: (lang, prefix, part, total, next, n). A stripe is a group of bounded size:
@@ -309,7 +313,7 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: i
     heavy = _heavy(out[0])
     key = ["lang", "prefix", "part"]
     for words in range(1, max_words):
-        bits = frequent_bits(out[-1].where(F.col("n") >= least))
+        bits = frequent_bits(out[-1].where(F.col("n") >= least), n_bits)
         partial = d.mapInArrow(_stripes(words, bits, heavy), _PARTIAL)
         merged = stage(partial.repartition(*key).sortWithinPartitions(*key).mapInArrow(_merge(least), _MERGED), "phrase-stripes")
         each = merged.select("lang", "prefix", F.explode(F.arrays_zip("next", "n")).alias("e"))
@@ -317,7 +321,7 @@ def levels(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: i
     return out
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = 2, max_words: int = 3, least: int = 10, subsumed: int = 50, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = 2, max_words: int = 3, least: int = 10, subsumed: int = 50, top: int = 2000, n_bits: int = BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases of min_words to max_words words.
 
     a, l and r are the counts of the phrase and of its parts at the lowest-scoring cut (ties: the shortest first part),
@@ -326,7 +330,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_wo
     A null text has no words, a null language is ``und``; ties go by a, then by the phrase's bytes; repeated rows count
     each; an empty table gives no rows.
     """
-    found = levels(docs, text, lang, max_words, least)
+    found = levels(docs, text, lang, max_words, least, n_bits)
     size = stage(found[0].groupBy("lang").agg(F.sum("n").alias("n")), "phrase-langs")
     named = [x.where(F.col("n") >= least).select("lang", F.col("phrase").cast("string").alias("phrase"), F.col("n").alias("f"), F.lit(k).alias("words")) for k, x in enumerate(found, 1)]
     freq = stage(reduce(DataFrame.unionByName, named), "phrase-counts")

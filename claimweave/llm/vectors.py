@@ -19,8 +19,10 @@ from claimweave.llm.components import components
 
 #: Nearest pivots that describe a vector, those under which it is listed, and how many two candidates must share.
 NEAREST, LISTED, SHARED = 16, 6, 4
-#: Pivots by the number of vectors: PIVOTS_PER_ROOT times its square root, inside these bounds.
-PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 2.0, 32, 4096
+#: Pivots by the number of vectors: PIVOTS_PER_ROOT times its square root, inside these bounds. They are chosen among
+#: DRAWN times as many vectors, none within a cosine of APART of an earlier one: a dense group has one pivot, not a share
+#: of all pivots in an order that chance decides.
+PIVOTS_PER_ROOT, LEAST_PIVOTS, MOST_PIVOTS, DRAWN, APART = 2.0, 32, 4096, 4, 0.8
 #: Vectors of a list's part; two parts meet in a block.
 PART = 1024
 _INDEX = "digest binary, label string, dim int, copies bigint, embedding array<double>, pivots array<int>"
@@ -63,7 +65,7 @@ def _describe(pivots: dict[int, np.ndarray], nearest: int):
 
 
 def fit_pivots(once: DataFrame, per_root: float = PIVOTS_PER_ROOT, least: int = LEAST_PIVOTS, most: int = MOST_PIVOTS) -> dict[int, np.ndarray]:
-    """Pivots by vector length: vectors drawn by a hash of their digest, at most ``most`` in all.
+    """Pivots by vector length, at most ``most`` each, from DRAWN times as many vectors drawn by a hash of their digest.
 
     ``once`` is a written table of distinct vectors. The draw is cut by a threshold first, so no task sends more than
     its share.
@@ -71,12 +73,25 @@ def fit_pivots(once: DataFrame, per_root: float = PIVOTS_PER_ROOT, least: int =
     n = once.count()
     m = int(min(most, max(least, per_root * n**0.5)))
     place = F.pmod(F.xxhash64("digest", F.lit(11)), F.lit(1 << 40))
-    share = min(1.0, 2.0 * m / max(n, 1) + 16.0 / max(n, 1))
-    drawn = once.where(place < int(share * (1 << 40))).select("dim", "embedding", place.alias("place"), "digest").orderBy("place", "digest").limit(m).collect()
-    out: dict[int, list] = {}
+    share = min(1.0, (2.0 * DRAWN * m + 16.0) / max(n, 1))
+    drawn = once.where(place < int(share * (1 << 40))).select("dim", "embedding", place.alias("place"), "digest").orderBy("place", "digest").limit(DRAWN * m).collect()
+    rows: dict[int, list] = {}
     for r in drawn:
-        out.setdefault(r.dim, []).append(r.embedding)
-    return {dim: unit(np.array(rows, np.float64)) for dim, rows in out.items()}
+        rows.setdefault(r.dim, []).append(r.embedding)
+    return {dim: spread_out(unit(np.array(x, np.float64)), m) for dim, x in rows.items()}
+
+
+def spread_out(x: np.ndarray, m: int, apart: float = APART) -> np.ndarray:
+    """The first ``m`` unit rows none of which lies within a cosine of ``apart`` of an earlier one."""
+    free = np.ones(len(x), bool)
+    chosen: list[int] = []
+    for k in range(len(x)):
+        if free[k]:
+            chosen.append(k)
+            if len(chosen) == m:
+                break
+            free &= x @ x[k] < apart
+    return x[chosen]
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
