@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from claimweave.functions import fixed_values as V
 
 PROTECTED_DOT = "<DOT>"
+#: What stands between tokens: anything but letters, marks and digits of any script.
+TOKEN_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def bind(value: Column, fn) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import bind
+from claimweave.functions.text import TOKEN_SPLIT, bind
 
 
 def token_grams(text: Column, max_words: int) -> Column:
-    """Array of (start, len, gram) for all runs of 1..max_words tokens of a text."""
-    toks = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Array of (start, len, gram) for all runs of 1..max_words tokens of a text; tokens hold letters of any script."""
+    toks = F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda w: w != "")
 
     none = F.array().cast("array<struct<start:int,len:int,gram:string>>")
 
@@ -37,27 +40,35 @@ def dictionary_hits(docs: DataFrame, id_cols: list[str], text: str, names: DataF
     return grams.join(names.select(F.col("name").alias("gram")).distinct(), "gram").select(*id_cols, "start", "len", "gram")
 
 
-def longest_spans(spans: Column) -> Column:
-    """Left-to-right fold over (start, len, gram) spans sorted by start: a span that overlaps the last kept
-    one replaces it only when longer."""
-    ordered = F.array_sort(spans)
+def _fold():
+    """Longest match over rows sorted by text, start, len, gram: only the span kept last is carried, also to the next batch."""
 
-    def step(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
-        overlaps = s["start"] < last["start"] + last["len"]
-        head = F.slice(kept, 1, F.size(kept) - 1)
-        return (
-            F.when(F.size(kept) == 0, F.array(s))
-            .when(~overlaps, F.concat(kept, F.array(s)))
-            .when(s["len"] > last["len"], F.concat(head, F.array(s)))
-            .otherwise(kept)
-        )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None  # (ids, start, len, gram)
+        columns = None
+        for f in frames:
+            columns = f.columns
+            done = []
+            for row in zip(*(f[c].tolist() for c in columns), strict=True):
+                now = (row[:-3], *row[-3:])
+                if last is None or now[0] != last[0] or now[1] >= last[1] + last[2]:
+                    if last is not None:
+                        done.append((*last[0], *last[1:]))
+                    last = now
+                elif now[2] > last[2]:
+                    last = now
+            yield pd.DataFrame(done, columns=columns).astype(f.dtypes.to_dict())
+        if last is not None:
+            yield pd.DataFrame([(*last[0], *last[1:])], columns=columns)
 
-    empty = F.array().cast("array<struct<start:int,len:int,gram:string>>")
-    return F.aggregate(ordered, empty, step)
+    return run
 
 
 def resolve_overlaps(hits: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Longest non-overlapping hits per text. A text is one row of input, so its hits are bounded by its length."""
-    packed = hits.groupBy(*id_cols).agg(F.collect_list(F.struct("start", "len", "gram")).alias("spans"))
-    return packed.select(*id_cols, F.inline(longest_spans(F.col("spans"))))
+    """Longest non-overlapping hits per text: from the left, a span that overlaps the one kept last replaces it only when longer.
+
+    One pass over sorted rows, in work and memory that do not depend on how many hits a text has. Ids are not null.
+    """
+    h = hits.select(*id_cols, "start", "len", "gram")
+    schema = ", ".join(f"`{c}` {t}" for c, t in h.dtypes)
+    return h.repartition(*id_cols).sortWithinPartitions(*id_cols, "start", "len", "gram").mapInPandas(_fold(), schema)

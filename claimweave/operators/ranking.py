@@ -21,11 +21,25 @@ def _offsets(df: DataFrame, strata: list[str], values: dict[str, Column]) -> Dat
     return totals.withColumns(before).select(*strata, "_b", *before)
 
 
-def hash_rank(df: DataFrame, strata: list[str], key: list[str], seed: str, name: str = "rk", n_hex: int = 2) -> DataFrame:
+#: Rows that a bucket of a hash order holds at most, about, if one stratum holds all rows.
+BUCKET_ROWS = 1_000_000
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits of a digest that cut so many rows into buckets of BUCKET_ROWS; two at least."""
+    n = 2
+    while 16**n * BUCKET_ROWS < rows:
+        n += 1
+    return n
+
+
+def hash_rank(df: DataFrame, strata: list[str], key: list[str], seed: str, name: str = "rk", n_hex: int | None = None) -> DataFrame:
     """Rank of every row in the md5 order of ``seed|key`` within its stratum.
 
-    Digests are uniform, so a stratum holding a third of all rows is still spread over 16**n_hex tasks.
+    Digests are uniform, so they cut a stratum that holds all rows into equal ranges; how many follows from the number
+    of rows, which is counted unless ``n_hex`` says it.
     """
+    n_hex = digits_for(df.count()) if n_hex is None else n_hex
     d = df.withColumn("_d", seeded_md5(seed, *key)).withColumn("_b", F.substring("_d", 1, n_hex))
     off = _offsets(d, strata, {"n": F.count("*")})
     w = Window.partitionBy(*strata, "_b").orderBy("_d", *key)

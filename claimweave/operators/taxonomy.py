@@ -119,18 +119,22 @@ def kingdom_ancestors(concepts: DataFrame) -> DataFrame:
     return settled.join(kings, "ancestor", "left").select("id", "kingdom")
 
 
-def lineage(concepts: DataFrame, max_depth: int = 60) -> DataFrame:
-    """(id, ancestor, depth) for every ancestor; a level per round until no frontier is left or a cycle closes."""
-    parents = concepts.where(F.col("parent").isNotNull()).select(F.col("id").alias("child"), "parent")
-    frontier = stage(concepts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")), "lineage")
-    levels = [frontier]
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(parents, F.col("ancestor") == F.col("child")).where(F.col("parent") != F.col("id"))
-        frontier = stage(step.select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")), "lineage")
-        if frontier.isEmpty():
+def lineage(concepts: DataFrame) -> DataFrame:
+    """(id, ancestor, depth) for every concept and all its ancestors, itself at depth 0, however deep.
+
+    Paths double: round k joins all paths of fewer than 2**k steps with the jumps of 2**k steps, and the jumps with
+    themselves, so a chain of a million levels takes twenty rounds. An ancestor met again on a cycle keeps its least
+    depth; the rounds end when no jump is left, or when nothing is reached that was not reached before.
+    """
+    jumps = stage(concepts.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("to")), "jumps")
+    paths = stage(concepts.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth")), "lineage")
+    n, step = paths.count(), 1
+    while not jumps.isEmpty():
+        further = paths.join(jumps.withColumnRenamed("id", "ancestor"), "ancestor").select("id", F.col("to").alias("ancestor"), (F.col("depth") + step).alias("depth"))
+        paths = stage(paths.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")), "lineage")
+        now = paths.count()
+        if now == n:
             break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        n, step = now, 2 * step
+        jumps = stage(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("_far")), "to").select("id", F.col("_far").alias("to")), "jumps")
+    return paths

@@ -9,6 +9,7 @@ from claimweave.functions import fixed_values as V
 from claimweave.functions import names as N
 from claimweave.functions import rules as RU
 from claimweave.functions import text as T
+from claimweave.functions.text import TOKEN_SPLIT
 from claimweave.operators.corpus import keep_first
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import LEX
@@ -92,19 +93,19 @@ def complete_sentences(spark, sf):
 
 #: A one-word name has at least so many characters.
 NAME_CHARS = 6
-DICTIONARY = f"""dictionary AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS token FROM benchmark) WHERE length(token) >= {NAME_CHARS})"""
+DICTIONARY = f"""dictionary AS (SELECT DISTINCT token FROM (SELECT unnest(string_split_regex(lower(text), '{TOKEN_SPLIT}')) AS token FROM benchmark) WHERE length(token) >= {NAME_CHARS})"""
 
 
 def dictionary(spark, sf):
     """One-word names: the words of the ``benchmark`` texts, however often documents use them."""
-    words = F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")
+    words = F.explode(F.split(F.lower("text"), TOKEN_SPLIT)).alias("token")
     return load(spark, sf, "benchmark").select(words).where(F.length("token") >= NAME_CHARS).distinct()
 
 
 @query(
     "flt_07_recall_prefilter",
     f"""WITH {SENTENCES}, {DICTIONARY}, h AS (SELECT DISTINCT doc_id, sent_id FROM
-   (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
+   (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '{TOKEN_SPLIT}')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
  SELECT s.doc_id, s.sent_id, {any_sql("lower(sentence)", V.STRONG_TERMS + V.WEAK_TERMS)} AS by_term, h.doc_id IS NOT NULL AS by_name
  FROM sentences s LEFT JOIN h ON h.doc_id = s.doc_id AND h.sent_id = s.sent_id WHERE {any_sql("lower(sentence)", V.STRONG_TERMS + V.WEAK_TERMS)} OR h.doc_id IS NOT NULL""",
 )
@@ -113,7 +114,7 @@ def recall_prefilter(spark, sf):
     s = sentences(spark, sf).select("doc_id", "sent_id", "sentence")
     names = dictionary(spark, sf)
     low = F.lower("sentence")
-    words = s.select("doc_id", "sent_id", F.explode(F.array_distinct(F.split(low, "[^a-z0-9]+"))).alias("token"))
+    words = s.select("doc_id", "sent_id", F.explode(F.array_distinct(F.split(low, TOKEN_SPLIT))).alias("token"))
     hits = words.join(names, "token").groupBy("doc_id", "sent_id").agg(F.lit(True).alias("by_name"))
     flagged = s.select("doc_id", "sent_id", T.has_pattern(low, V.STRONG_TERMS + V.WEAK_TERMS).alias("by_term"))
     out = flagged.join(hits, ["doc_id", "sent_id"], "left").withColumn("by_name", F.coalesce("by_name", F.lit(False)))

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
+from claimweave.functions.text import TOKEN_SPLIT
 from claimweave.operators import joins as J
 from claimweave.operators import leakage as L
 from claimweave.operators import matching as MT
 from claimweave.operators import taxonomy as TX
-from claimweave.plans.filters import DICTIONARY, NAME_CHARS, dictionary
+from claimweave.plans.filters import DICTIONARY, dictionary
 from claimweave.plans.registry import query
 from claimweave.plans.sources import taxonomy_dump
 from claimweave.plans.sqltext import norm_ascii_sql
@@ -149,37 +150,56 @@ def article_sentences(spark, sf):
     return j.withColumn("rk", F.row_number().over(w)).where("rk <= 3").select("interaction_id", "doc_id", "sent_id")
 
 
-BIGRAMS = """bigrams AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (
- SELECT list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark))),
-names AS (SELECT token AS name FROM dictionary UNION SELECT name FROM bigrams)"""
+#: All runs of one to three tokens of the ``benchmark`` texts are names, and where documents hold them are hits.
+HITS = f"""{TOKENS}, bt AS (SELECT item_id, ws[i] AS token, i AS pos FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '{TOKEN_SPLIT}'), lambda w: w <> '') AS ws FROM benchmark))),
+ names AS (SELECT token AS name FROM bt UNION SELECT a.token || ' ' || b.token FROM bt a JOIN bt b ON b.item_id = a.item_id AND b.pos = a.pos + 1
+  UNION SELECT a.token || ' ' || b.token || ' ' || c.token FROM bt a JOIN bt b ON b.item_id = a.item_id AND b.pos = a.pos + 1 JOIN bt c ON c.item_id = a.item_id AND c.pos = a.pos + 2),
+ g AS (SELECT doc_id, pos AS start, 1 AS len, token AS gram FROM tokens UNION ALL SELECT a.doc_id, a.pos, 2, a.token || ' ' || b.token FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+  UNION ALL SELECT a.doc_id, a.pos, 3, a.token || ' ' || b.token || ' ' || c.token FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
+ hits AS MATERIALIZED (SELECT * FROM g WHERE gram IN (SELECT name FROM names))"""
 
 
 def dictionary_names(spark, sf):
-    """Words and two-word names of the ``benchmark`` texts."""
-    grams = load(spark, sf, "benchmark").select(F.inline(MT.token_grams(F.col("text"), 2)))
-    return grams.where((F.col("len") == 2) | (F.length("gram") >= NAME_CHARS)).select(F.col("gram").alias("name")).distinct()
+    """Runs of one to three tokens of the ``benchmark`` texts, however short and however often documents use them."""
+    return load(spark, sf, "benchmark").select(F.inline(MT.token_grams(F.col("text"), 3))).select(F.col("gram").alias("name")).distinct()
 
 
-@query(
-    "join_12_dictionary_hits",
-    f"""WITH {TOKENS}, {DICTIONARY}, {BIGRAMS}, g AS (SELECT doc_id, pos AS start, 1 AS len, token AS gram FROM tokens UNION ALL
-  SELECT a.doc_id, a.pos, 2, a.token || ' ' || b.token FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1)
- SELECT doc_id, start, len, gram FROM g WHERE gram IN (SELECT name FROM names)""",
-)
+def name_hits(spark, sf):
+    return MT.dictionary_hits(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", dictionary_names(spark, sf), 3)
+
+
+def per_document(hits):
+    """Hits of each document as their number, words and digest: a text's hits are bounded by its length."""
+    one = F.concat_ws(":", "start", "len", "gram")
+    return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.sum("len").alias("n_words"), F.md5(F.array_join(F.array_sort(F.collect_list(one)), ",").cast("binary")).alias("digest"))
+
+
+PER_DOCUMENT = "SELECT doc_id, count(*) AS n_hits, CAST(sum(len) AS BIGINT) AS n_words, md5(string_agg(start || ':' || len || ':' || gram, ',' ORDER BY start || ':' || len || ':' || gram)) AS digest"
+
+
+@query("join_12_dictionary_hits", f"WITH {HITS} {PER_DOCUMENT} FROM hits GROUP BY doc_id")
 def dictionary_hits(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "text")
-    return MT.dictionary_hits(d, ["doc_id"], "text", dictionary_names(spark, sf), 2)
+    return per_document(name_hits(spark, sf))
 
 
-@query("win_08_longest_match")
+@query(
+    "win_08_longest_match",
+    f"""WITH RECURSIVE {HITS}, m AS (SELECT *, max(start + len) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
+ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS UNBOUNDED PRECEDING) AS island FROM m),
+ n AS MATERIALIZED (SELECT doc_id, island, start, len, gram, row_number() OVER (PARTITION BY doc_id, island ORDER BY start, len, gram) AS k, count(*) OVER (PARTITION BY doc_id, island) AS size FROM i),
+ f AS (SELECT doc_id, island, k, start, len, gram, size, CAST(NULL AS INTEGER) AS es, CAST(NULL AS INTEGER) AS el, CAST(NULL AS VARCHAR) AS eg FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.island, n.k, CASE WHEN apart OR longer THEN n.start ELSE f.start END, CASE WHEN apart OR longer THEN n.len ELSE f.len END, CASE WHEN apart OR longer THEN n.gram ELSE f.gram END, n.size,
+   CASE WHEN apart THEN f.start END, CASE WHEN apart THEN f.len END, CASE WHEN apart THEN f.gram END
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.island = f.island AND n.k = f.k + 1, LATERAL (SELECT n.start >= f.start + f.len AS apart, n.len > f.len AS longer) x),
+ kept AS (SELECT doc_id, es AS start, el AS len, eg AS gram FROM f WHERE es IS NOT NULL UNION ALL SELECT doc_id, start, len, gram FROM f WHERE k = size) {PER_DOCUMENT} FROM kept GROUP BY doc_id""",
+)
 def longest_match(spark, sf):
-    d = load(spark, sf, "documents").select("doc_id", "text")
-    return MT.resolve_overlaps(MT.dictionary_hits(d, ["doc_id"], "text", dictionary_names(spark, sf), 2), ["doc_id"])
+    return per_document(MT.resolve_overlaps(name_hits(spark, sf), ["doc_id"]))
 
 
 @query(
     "str_19_terms_found",
-    f"""WITH {SENTENCES}, {DICTIONARY}, t AS (SELECT DISTINCT doc_id, sent_id, token FROM (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '[^a-z0-9]+')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
+    f"""WITH {SENTENCES}, {DICTIONARY}, t AS (SELECT DISTINCT doc_id, sent_id, token FROM (SELECT doc_id, sent_id, unnest(string_split_regex(lower(sentence), '{TOKEN_SPLIT}')) AS token FROM sentences) WHERE token IN (SELECT token FROM dictionary))
  SELECT doc_id, sent_id, string_agg(token, ',' ORDER BY token) AS terms FROM t GROUP BY ALL""",
 )
 def terms_found(spark, sf):
@@ -227,7 +247,7 @@ def overlapping(spark, sf):
 
 
 MENTIONS = f"""{SENTENCES}, {DICTIONARY}, mentions AS MATERIALIZED (SELECT doc_id, sent_id, min(i) AS pos, w[i] AS name, CASE WHEN length(w[i]) % 2 = 0 THEN 'HOST' ELSE 'PATHOGEN' END AS type FROM (
- SELECT doc_id, sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, sent_id, list_filter(string_split_regex(lower(sentence), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM sentences))
+ SELECT doc_id, sent_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, sent_id, list_filter(string_split_regex(lower(sentence), '{TOKEN_SPLIT}'), lambda x: x <> '') AS w FROM sentences))
  WHERE w[i] IN (SELECT token FROM dictionary) GROUP BY doc_id, sent_id, w[i])"""
 
 

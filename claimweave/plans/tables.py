@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.functions.text import sentences_of
+from claimweave.functions.text import TOKEN_SPLIT, sentences_of
 from claimweave.session import broadcast_if_small
 
 
@@ -146,17 +146,17 @@ WHERE length(trim(parts[i])) > 10)"""
 
 
 def tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, pos, token) over whole documents; tokens are runs of ASCII letters and digits."""
+    """(doc_id, pos, token) over whole documents; tokens are runs of letters, marks and digits of any script."""
     docs = spread(load(spark, sf, "documents").select("doc_id", "text"))
     return docs.select(
-        "doc_id", F.posexplode(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")).alias("pos", "token")
+        "doc_id", F.posexplode(F.filter(F.split(F.lower("text"), TOKEN_SPLIT), lambda w: w != "")).alias("pos", "token")
     )
 
 
-TOKENS = """tokens AS (
+TOKENS = f"""tokens AS (
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, ws[i] AS token FROM (
   SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (
-    SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM documents)))"""
+    SELECT doc_id, list_filter(string_split_regex(lower(text), '{TOKEN_SPLIT}'), lambda w: w <> '') AS ws FROM documents)))"""
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +24,29 @@ def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     q.awaitTermination()
 
 
-def unseen_writer(sink: str, key: str) -> Callable[[DataFrame, int], None]:
-    """Write rows whose key no earlier batch has written; each batch owns one folder and overwrites it on retry."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if batch_id > 0:
-            seen = spark.read.parquet(*[f"{sink}/batch={i}" for i in range(batch_id)]).select(key)
-            new = new.join(seen, key, "left_anti")
-        new.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    return write
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: on local disk with changes saved to the checkpoint, not on the heap."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def unseen(stream: DataFrame, key: str, event_time: str | None = None, within: str = "30 days") -> DataFrame:
+    """The first row of every key over the whole stream, by keyed state: a batch looks up its own keys only.
+
+    With an ``event_time`` a key is forgotten once the watermark has passed it by ``within``; without one it is kept.
+    """
+    if event_time is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
 
 
 def merged_edges(stream: DataFrame, keys: list[str], score: str) -> DataFrame:
