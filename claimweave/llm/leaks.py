@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimweave.llm.common import stage, whole_text
+from claimweave.llm.common import small, stage, whole_text
 from claimweave.llm.tokens import PUNCTUATION, Words, tokenized
 
 GRAM = 3
@@ -167,11 +167,11 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     ``score`` is the best alignment's, over that of the item with itself; ``start`` and ``end`` are its place in the
     document's words. Items are taken in blocks, documents whole. Items of fewer words than a gram have no seed and
     match nothing; null texts have no words; equal items are reported each, repeated rows each; an empty side gives no
-    rows. ``row`` names a column to carry along.
+    rows. ``row`` names a column to carry along, as a string.
     """
     spark = docs.sparkSession
-    key = F.col(row) if row else F.lit(None).cast("bigint")
-    d = docs.select(key.cast("bigint").alias("_row"), F.col(doc_id).cast("bigint").alias("_id"), F.lower(whole_text(text)).alias("text"))
+    key = F.col(row) if row else F.lit(None)
+    d = docs.select(key.cast("string").alias("_row"), F.col(doc_id).cast("bigint").alias("_id"), F.lower(whole_text(text)).alias("text"))
     found = None
     for block in item_blocks(items, item_id, item_text, at_once):
         if not len(block.distinct):
@@ -179,10 +179,10 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         counted = d.select("text").mapInArrow(_counts(block.distinct), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = {r.gram: r.n for r in counted.collect()}  # grams of the block's items only
         gram, owner = block.seeds(counts)
-        part = d.mapInArrow(_find(block, gram, owner, threshold), "_row bigint, doc_id bigint, item_id bigint, score double, start int, end int")
+        part = d.mapInArrow(_find(block, gram, owner, threshold), "_row string, doc_id bigint, item_id bigint, score double, start int, end int")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        kinds = T.StructType([T.StructField("_row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+        kinds = T.StructType([T.StructField("_row", T.StringType()), T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
         return spark.createDataFrame([], kinds)
     return found
 
@@ -190,8 +190,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The documents that hold no copy of a test item, with their own columns.
 
-    The input is written first with a number for each row, by which the verdicts come back.
+    Verdicts come back by id and digest of the text: rows equal in both hold the same copies.
     """
-    d = stage(docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns]).withColumn("_row", F.monotonically_increasing_id()), "leak-documents")
-    bad = stage(leaks(d, items, f"_c_{doc_id}", f"_c_{text}", row="_row", **kw).select("_row").distinct(), "leak-rows")
-    return d.join(bad, "_row", "left_anti").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+    d = docs.select(*[F.col(c).alias(f"_c_{c}") for c in docs.columns])
+    d = d.withColumn("_ref", F.concat_ws("|", F.coalesce(F.col(f"_c_{doc_id}").cast("string"), F.lit("-")), F.md5(whole_text(f"_c_{text}").cast("binary"))))
+    bad = stage(leaks(d, items, f"_c_{doc_id}", f"_c_{text}", row="_ref", **kw).select(F.col("_row").alias("_ref")).distinct(), "leak-rows")
+    return d.join(small(bad), "_ref", "left_anti").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])

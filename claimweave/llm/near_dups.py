@@ -306,6 +306,8 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **k
         same_id = F.col(f"_c_{doc_id}").eqNullSafe(F.col("class_id"))
         led = stage(marked.where(same_id), "near-kept")
         lead = led.groupBy("_ident").agg(F.min("_row").alias("_row"))
-        return led.join(lead, ["_ident", "_row"], "left_semi").select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
+        # more rows than classes only where rows repeat in id and text
+        once = led if led.count() == lead.count() else led.join(lead, ["_ident", "_row"], "left_semi")
+        return once.select(*[F.col(f"_c_{c}").alias(c) for c in docs.columns])
 
     return tidy(docs.sparkSession, build)
