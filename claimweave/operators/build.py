@@ -48,6 +48,6 @@ def build_corpus(sources: list[tuple[DataFrame, SourceSpec]], seed: str) -> Data
     for rank, (df, spec) in enumerate(sources):
         part = take_source(df, spec, seed).withColumn("source_rank", F.lit(rank))
         union = part if union is None else union.unionByName(part)
-    keyed = union.withColumn("k", F.trim(F.lower("text")))
-    once = keep_first(keyed, ["k"], ["source_rank", "claim_id"]).drop("k").withColumn("all", F.lit(0))
+    keyed = union.withColumn("k", F.md5(F.trim(F.lower("text")).cast("binary")))
+    once = stage(keep_first(keyed, ["k"], ["source_rank", "claim_id"]).drop("k"), "corpus").withColumn("all", F.lit(0))
     return hash_rank(once, ["all"], ["claim_id"], seed, "position").drop("all", "source_rank")
