@@ -538,6 +538,9 @@ GATE_LIMITS = {
     "hard_negatives": 0.50,
     "positive_low": 0.20,
     "positive_high": 0.50,
+    "missing_types": 3,
+    "positives_without_signal": 0.20,
+    "negatives_with_strong_term": 0.02,
 }
 TRUE_TITLE_WORDS = ["we ", "our ", "this study", "here we", "was ", "were "]
 BACTERIA_SUFFIXES = ["bacteria", "bacillus", "coccus", "monas"]

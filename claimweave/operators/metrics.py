@@ -105,6 +105,23 @@ def cum_at_grid(df: DataFrame, by: list[str], grid: list[float], score: str = "s
     )
 
 
+def lower_tail(n: int, k: int) -> float:
+    """P(X <= k) of a fair binomial with k <= n / 2: summed from k down until the terms vanish."""
+    if n > 10**6 and k > 1000:  # differences of log-gammas lose digits there
+        d = (n - 2 * k) / n
+        apart = ((1 - d) * math.log1p(-d) + (1 + d) * math.log1p(d)) / 2
+        log = -n * apart - 0.5 * math.log(2 * math.pi * k * (n - k) / n) + (1 / n - 1 / k - 1 / (n - k)) / 12
+    else:
+        log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+    term = math.exp(log)
+    total, i = term, k
+    while i > 0 and term > 1e-18 * total:
+        term *= i / (n - i + 1)
+        total += term
+        i -= 1
+    return total
+
+
 def mcnemar(counts: DataFrame) -> DataFrame:
     """χ² (continuity-corrected) and exact binomial p for rows with discordant counts ``n01`` and ``n10``.
 
@@ -118,8 +135,7 @@ def mcnemar(counts: DataFrame) -> DataFrame:
                 n, k = int(r.n01 + r.n10), int(min(r.n01, r.n10))
                 chi2 = (abs(r.n01 - r.n10) - 1) ** 2 / n if n else 0.0
                 p_chi = math.erfc(math.sqrt(chi2 / 2)) if n else 1.0
-                log_terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
-                p_exact = min(1.0, 2 * math.fsum(math.exp(t) for t in log_terms)) if n else 1.0
+                p_exact = min(1.0, 2 * lower_tail(n, k)) if n else 1.0
                 rows.append((*r, chi2, p_chi, p_exact))
             yield pd.DataFrame(rows, columns=[*pdf.columns, "chi2", "p_chi2", "p_exact"])
 
@@ -212,3 +228,26 @@ def islands(df: DataFrame, by: list[str], order: str, flag: str, value: str) ->
         .agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"), F.min(value).alias("low"), F.max(value).alias("high"))
         .drop("run")
     )
+
+
+def held_out_blocks(df: DataFrame, block: str, models: list[str], label: str = "label") -> DataFrame:
+    """Per block: the model and threshold that are best on all other blocks, and their F1 there and on the block.
+
+    Items are counted once per (block, model, score). The counts of the others are those of all minus the block's, so
+    every block is left out from the same table. Of equal F1 the lower threshold and the first model win.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models]))
+    long = df.select(F.col(block).alias("held"), F.col(label).alias("label"), each)
+    g = stage(score_groups(long, ["held", "model"]), "block-scores")
+    total = g.groupBy("model", "score").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    grid = total.join(g.select("held", "model").distinct(), "model").join(g, ["held", "model", "score"], "left")
+    rest = grid.select("held", "model", "score", (F.col("all_pos") - F.coalesce("pos", F.lit(0))).alias("pos"), (F.col("all_neg") - F.coalesce("neg", F.lit(0))).alias("neg"))
+    rest = stage(rest.where("pos + neg > 0"), "block-rest")
+    c = running_totals(rest, ["held", "model"], "score", ["pos", "neg"]).join(rest.groupBy("held", "model").agg(F.sum("pos").alias("np")), ["held", "model"])
+    f1 = F.round(f1_of(F.col("cum_pos").cast("double"), F.col("cum_neg"), F.col("np") - F.col("cum_pos")), 9)
+    best = c.groupBy("held", "model").agg(F.max(F.struct(f1.alias("f1"), (-F.col("score")).alias("low"))).alias("b"))
+    chosen = best.groupBy("held").agg(F.min(F.struct((-F.col("b.f1")).alias("f1"), "model", (-F.col("b.low")).alias("threshold"))).alias("c")).select("held", "c.model", "c.threshold", (-F.col("c.f1")).alias("rest_f1"))
+    hit = F.col("score") >= F.col("threshold")
+    add = lambda cond, v: F.sum(F.when(cond, F.col(v)).otherwise(0)).cast("double")
+    own = g.join(chosen, ["held", "model"]).groupBy("held", "model", "threshold", "rest_f1").agg(F.round(f1_of(add(hit, "pos"), add(hit, "neg"), add(~hit, "pos")), 6).alias("f1"))
+    return own.select(F.col("held").alias(block), "model", "threshold", F.round("rest_f1", 6).alias("rest_f1"), "f1")

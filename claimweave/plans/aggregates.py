@@ -15,7 +15,7 @@ from claimweave.plans.filters import DICTIONARY, FALSE_NEG_SQL, dictionary
 from claimweave.plans.registry import query
 from claimweave.plans.scalar import CATEGORY_CASE, LEX
 from claimweave.plans.sqltext import any_sql, any_stem_sql, list_sql, values_sql
-from claimweave.plans.tables import CLAIMS, SCORED, TOKENS, claims, load, scored, tokens
+from claimweave.plans.tables import CLAIMS, SCORED, TOKENS, TYPES, claims, load, scored, tokens
 
 LO_HI = "least(source_species, target_species) AS lo, greatest(source_species, target_species) AS hi"
 
@@ -403,41 +403,53 @@ def trust_summary(spark, sf):
     )
 
 
+#: Types that the positives of a corpus should cover; the last one no claim has.
+REQUIRED_TYPES = [*TYPES, "visitsFlowersOf"]
+
+
 @query(
     "agg_39_quality_gates",
-    f"""WITH {CLAIMS}, c AS (SELECT *, CASE WHEN label = 1 THEN interaction_type WHEN pos = 6 THEN 'none' ELSE 'none_two_species' END AS itype FROM claims),
- f AS (SELECT label, itype, target_species LIKE '%rod' AS unknown, interaction_type = 'pollinates' AND target_kingdom <> 'Plantae' AND label = 1 AS violation, contains(text, '{{') OR NOT regexp_matches(trim(text), '[.?!]$') AS defect,
+    f"""WITH {CLAIMS}, {LEX}, c AS (SELECT *, CASE WHEN label = 1 THEN interaction_type WHEN pos = 6 THEN 'none' ELSE 'none_two_species' END AS itype FROM lex),
+ f AS (SELECT label, itype, label = 1 AND NOT lex_signal AS silent, label = 0 AND lex_strong > 0 AND NOT lex_negated AS loud, target_species LIKE '%rod' AS unknown, interaction_type = 'pollinates' AND target_kingdom <> 'Plantae' AND label = 1 AS violation, contains(text, '{{') OR NOT regexp_matches(trim(text), '[.?!]$') AS defect,
    label = 0 AND {FALSE_NEG_SQL} AS false_neg, label = 0 AND (itype IN ({list_sql(V.HARD_NEGATIVE_TYPES)}) OR (itype = 'none' AND {any_stem_sql("lower(text)", V.HARD_NEGATIVE_WORDS)})) AS hard FROM c),
- p AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM f WHERE label = 0 GROUP BY itype))
+ p AS (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM f WHERE label = 0 GROUP BY itype)),
+ m AS (SELECT coalesce(string_agg(t, ',' ORDER BY t), '') AS missing FROM (SELECT unnest([{list_sql(REQUIRED_TYPES)}]) AS t) WHERE t NOT IN (SELECT itype FROM f WHERE label = 1))
  SELECT count(*) AS n, round(avg(CAST(unknown AS INTEGER)), 6) AS unknown_rate, round(count(*) FILTER (WHERE violation) / CAST(sum(label) AS DOUBLE), 6) AS violation_rate, count(*) FILTER (WHERE defect) AS n_defects, count(*) FILTER (WHERE false_neg) AS n_false_neg,
   round(max(top) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE), 6) AS top_pattern_share, round(count(*) FILTER (WHERE hard) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE), 6) AS hard_share, round(avg(label), 6) AS pos_ratio,
   avg(CAST(unknown AS INTEGER)) <= 0.01 AS gate_1, count(*) FILTER (WHERE violation) / CAST(sum(label) AS DOUBLE) <= 0.005 AS gate_2, count(*) FILTER (WHERE defect) = 0 AS gate_3,
   count(*) FILTER (WHERE false_neg) = 0 AND max(top) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) <= 0.7 AND count(*) FILTER (WHERE hard) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) >= 0.5 AS gate_4, avg(label) BETWEEN 0.2 AND 0.5 AS gate_5,
-  count(*) FILTER (WHERE NOT (unknown OR violation OR defect OR false_neg)) AS n_clean FROM f, p""",
+  max(missing) AS missing_types, len(list_filter(string_split(max(missing), ','), lambda t: t <> '')) <= 3 AS gate_5_types, round(count(*) FILTER (WHERE silent) / CAST(sum(label) AS DOUBLE), 6) AS silent_rate, count(*) FILTER (WHERE silent) / CAST(sum(label) AS DOUBLE) <= 0.2 AS gate_6_positives,
+  round(count(*) FILTER (WHERE loud) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE), 6) AS loud_rate, count(*) FILTER (WHERE loud) / CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) <= 0.02 AS gate_6_negatives,
+  count(*) FILTER (WHERE NOT (unknown OR violation OR defect OR false_neg)) AS n_clean FROM f, p, m""",
 )
 def quality_gates(spark, sf):
-    c = claims(spark, sf)
+    c = E.with_lexicon(claims(spark, sf), "text")
     itype = F.when(F.col("label") == 1, F.col("interaction_type")).when(F.col("pos") == 6, "none").otherwise("none_two_species")
     neg, pos = F.col("label") == 0, F.col("label") == 1
     hard_words = T.contains_any(F.lower("text"), V.HARD_NEGATIVE_WORDS)
     f = c.withColumn("itype", itype).select(
-        "label", "itype", F.col("target_species").endswith("rod").alias("unknown"),
+        "label", "itype", (pos & ~F.col("lex_signal")).alias("silent"), (neg & (F.col("lex_strong") > 0) & ~F.col("lex_negated")).alias("loud"),
+        F.col("target_species").endswith("rod").alias("unknown"),
         ((F.col("interaction_type") == "pollinates") & (F.col("target_kingdom") != "Plantae") & pos).alias("violation"),
         (F.col("text").contains("{") | ~F.trim("text").rlike("[.?!]$")).alias("defect"), (neg & T.false_negative("text")).alias("false_neg"),
         (neg & (F.col("itype").isin(V.HARD_NEGATIVE_TYPES) | ((F.col("itype") == "none") & hard_words))).alias("hard"),
     )
-    return gate_report(f)
+    return gate_report(f, REQUIRED_TYPES)
 
 
-def gate_report(f):
-    """Six-gate report from per-row flags: counted per (label, type) first, then one small aggregation."""
-    flags = ["unknown", "violation", "defect", "false_neg", "hard"]
+def gate_report(f, required):
+    """Six-gate report from per-row flags: counted per (label, type) first, then one small aggregation.
+
+    ``silent`` are positives without a lexical signal, ``loud`` negatives with a strong term that nothing negates;
+    ``required`` are the types of which positives should hold nearly all.
+    """
+    flags = ["unknown", "violation", "defect", "false_neg", "hard", "silent", "loud"]
     clean = ~(F.col("unknown") | F.col("violation") | F.col("defect") | F.col("false_neg"))
     g = f.groupBy("label", "itype").agg(F.count("*").alias("n"), F.count_if(clean).alias("clean"), *[F.count_if(x).alias(x) for x in flags])
     neg = F.col("label") == 0
     s = g.agg(
         F.sum("n").alias("n"), F.sum(F.when(neg, F.col("n"))).alias("nn"), F.max(F.when(neg, F.col("n"))).alias("top"), F.sum("clean").alias("n_clean"),
-        *[F.sum(x).alias(x) for x in flags],
+        F.array_sort(F.array_except(F.array(*[F.lit(t) for t in required]), F.collect_set(F.when(~neg, F.col("itype"))))).alias("missing"), *[F.sum(x).alias(x) for x in flags],
     )
     n, nn = F.col("n"), F.col("nn")
     np_ = n - nn
@@ -449,6 +461,9 @@ def gate_report(f):
         (unknown <= lim["unknown_names"]).alias("gate_1"), (violation <= lim["rule_violations"]).alias("gate_2"), (F.col("defect") == 0).alias("gate_3"),
         ((F.col("false_neg") == 0) & (top <= lim["single_pattern"]) & (hard >= lim["hard_negatives"])).alias("gate_4"),
         pos.between(lim["positive_low"], lim["positive_high"]).alias("gate_5"), "n_clean",
+        F.array_join("missing", ",").alias("missing_types"), (F.size("missing") <= lim["missing_types"]).alias("gate_5_types"),
+        F.round(F.col("silent") / np_, 6).alias("silent_rate"), (F.col("silent") / np_ <= lim["positives_without_signal"]).alias("gate_6_positives"),
+        F.round(F.col("loud") / nn, 6).alias("loud_rate"), (F.col("loud") / nn <= lim["negatives_with_strong_term"]).alias("gate_6_negatives"),
     )
 
 

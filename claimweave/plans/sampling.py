@@ -146,6 +146,20 @@ def text_split_subset(spark, sf):
     return c.where("pos > 1").join(dev, "text", "left_semi").select("claim_id")
 
 
+@query(
+    "smp_11_block_held_out",
+    f"""WITH {SCORED}, l AS (SELECT source, label, 'score' AS model, score AS s FROM scored UNION ALL SELECT source, label, 'score_b', score_b FROM scored), k AS (SELECT DISTINCT source AS held FROM scored),
+ g AS (SELECT held, model, s, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM l JOIN k ON source <> held GROUP BY ALL),
+ c AS (SELECT *, sum(pos) OVER (PARTITION BY held, model ORDER BY s DESC) AS cp, sum(neg) OVER (PARTITION BY held, model ORDER BY s DESC) AS cn, sum(pos) OVER (PARTITION BY held, model) AS np FROM g),
+ b AS (SELECT held, model, s AS thr, round(2 * cp / CAST(cp + cn + np AS DOUBLE), 9) AS f FROM c QUALIFY row_number() OVER (PARTITION BY held ORDER BY round(2 * cp / CAST(cp + cn + np AS DOUBLE), 9) DESC, model, s) = 1),
+ e AS (SELECT held, b.model, thr, f, count(*) FILTER (WHERE label = 1 AND s >= thr) AS tp, count(*) FILTER (WHERE label = 0 AND s >= thr) AS fp, count(*) FILTER (WHERE label = 1 AND s < thr) AS fn FROM b JOIN l ON l.source = held AND l.model = b.model GROUP BY ALL)
+ SELECT held AS source, model, thr AS threshold, round(f, 6) AS rest_f1, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 6) AS f1 FROM e""",
+)
+def block_held_out(spark, sf):
+    """Each source held out: model and threshold chosen on all others, both F1 side by side."""
+    return ME.held_out_blocks(scored(spark, sf), "source", ["score", "score_b"])
+
+
 FOLD = "('0x' || substr(md5('s11|' || item_id), 1, 6))::BIGINT % 5"
 
 

@@ -10,10 +10,11 @@ from claimweave.functions import maths as M
 from claimweave.functions import names as N
 from claimweave.functions import relations as R
 from claimweave.functions import text as T
+from claimweave.operators import polarity as PO
 from claimweave.operators.containment import related
 from claimweave.plans.registry import query
 from claimweave.plans.sqltext import (
-    any_sql, any_stem_sql, case_sql, count_sql, first_sql, list_sql, norm_ascii_sql, q, stems_sql, words_sql,
+    any_sql, any_stem_sql, case_sql, count_sql, first_sql, list_sql, norm_ascii_sql, q, stems_sql, values_sql, words_sql,
 )
 from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, claims, load, scored, sentences
 
@@ -263,26 +264,42 @@ def relation_concept(spark, sf):
     )
 
 
+SURFACES = [("endoparasite of", 1), ("vector", -1), ("hosts of", -1), ("grazes on", 1), ("lives in symbiosis with", 0), ("symbiosis with", 0), ("odd link", 0), ("strange links", -1)]
+_K = "trim(regexp_replace(lower(part), '\\s+', ' ', 'g'))"
+
+
 @query(
     "str_13_polarity",
-    f"""WITH {CLAIMS}, r AS (SELECT DISTINCT regexp_replace(verb, '^(is an?|lives in) ', '') || CASE pos WHEN 1 THEN ' by' WHEN 2 THEN 'ing' ELSE '' END AS relation FROM claims),
- k AS (SELECT relation, regexp_replace(lower(trim(relation)), '\\s+', ' ', 'g') AS k FROM r)
- SELECT relation, CAST(CASE WHEN NOT contains(k, ' by') AND regexp_matches(k, {q(V.ACTIVE_FORM)}) THEN 1 WHEN regexp_matches(k, {q(V.SYMMETRIC_FORM)}) THEN 0
-   WHEN regexp_matches(k, {q(V.PATIENT_FORM)}) THEN -1 WHEN regexp_matches(k, {q(V.AGENT_NOUN)}) THEN 1 WHEN regexp_matches(k, {q(V.AGENT_VERB)}) THEN 1 END AS INTEGER) AS polarity,
-  CASE WHEN NOT contains(k, ' by') AND regexp_matches(k, {q(V.ACTIVE_FORM)}) THEN 'active_form' WHEN regexp_matches(k, {q(V.SYMMETRIC_FORM)}) THEN 'symmetric_form'
-   WHEN regexp_matches(k, {q(V.PATIENT_FORM)}) THEN 'patient_form' WHEN regexp_matches(k, {q(V.AGENT_NOUN)}) THEN 'agent_noun'
-   WHEN regexp_matches(k, {q(V.AGENT_VERB)}) THEN 'agent_verb' ELSE 'none' END AS decided_by FROM k""",
+    f"""WITH {CLAIMS}, b AS (SELECT DISTINCT regexp_replace(verb, '^(is an?|lives in) ', '') || CASE pos WHEN 1 THEN ' by' WHEN 2 THEN 'ing' ELSE '' END AS form, pos, interaction_type FROM claims),
+ r AS (SELECT DISTINCT CASE pos WHEN 3 THEN 'odd  link|' || form WHEN 4 THEN 'nothing known| Strange Link |' || form WHEN 5 THEN form || '|is seen by' WHEN 6 THEN 'odd link' WHEN 7 THEN '' ELSE form END AS relation, CAST(CASE WHEN pos = 5 AND interaction_type = 'hasHost' THEN -1 WHEN pos = 5 AND interaction_type = 'interactsWith' THEN 0 END AS INTEGER) AS concept FROM b),
+ {values_sql("surfaces", ["form", "p"], SURFACES)},
+ parts AS (SELECT relation, i AS nth, {_K} AS k FROM (SELECT relation, unnest(range(1, len(string_split(relation, '|')) + 1)) AS i, string_split(relation, '|') AS alternatives FROM r), LATERAL (SELECT alternatives[i] AS part) y WHERE {_K} <> ''),
+ variants AS (SELECT relation, nth, k, 0 AS v, k AS form FROM parts UNION ALL SELECT relation, nth, k, 1, regexp_replace(k, 's+$', '') FROM parts UNION ALL SELECT relation, nth, k, 2, k || 's' FROM parts),
+ per AS (SELECT relation, nth, k, min_by(p, v) FILTER (WHERE p <> 0) AS told, bool_or(v = 0 AND coalesce(p, 1) = 0) AS zero FROM variants LEFT JOIN surfaces USING (form) GROUP BY ALL),
+ one AS (SELECT *, NOT contains(k, ' by') AND regexp_matches(k, {q(V.ACTIVE_FORM)}) AS active, CASE WHEN told IS NOT NULL THEN 'surface' WHEN regexp_matches(k, {q(V.SYMMETRIC_FORM)}) THEN 'symmetric_form' WHEN regexp_matches(k, {q(V.PATIENT_FORM)}) THEN 'patient_form'
+   WHEN regexp_matches(k, {q(V.AGENT_NOUN)}) THEN 'agent_noun' WHEN regexp_matches(k, {q(V.AGENT_VERB)}) THEN 'agent_verb' WHEN zero THEN 'surface_symmetric' END AS way FROM per),
+ best AS (SELECT relation, bool_or(active) AS active, min_by(way, nth) FILTER (WHERE way IS NOT NULL) AS way, min_by(coalesce(told, CASE way WHEN 'patient_form' THEN -1 WHEN 'agent_noun' THEN 1 WHEN 'agent_verb' THEN 1 ELSE 0 END), nth) FILTER (WHERE way IS NOT NULL) AS p FROM one GROUP BY relation)
+ SELECT r.relation, CAST(CASE WHEN active THEN 1 WHEN concept IS NOT NULL THEN concept ELSE p END AS INTEGER) AS polarity, CASE WHEN active THEN 'active_form' WHEN concept IS NOT NULL THEN 'concept' ELSE coalesce(way, 'none') END AS decided_by FROM r LEFT JOIN best USING (relation)""",
 )
 def polarity(spark, sf):
-    rel = _relations(spark, sf)
-    pol, src = R.polarity("relation")
-    return rel.select("relation", pol.alias("polarity"), src.alias("decided_by"))
+    """Verb phrases, some with alternatives before or after them and some with a concept whose polarity is known."""
+    c = claims(spark, sf).select(_form().alias("form"), "pos", "interaction_type").distinct()
+    p, form = F.col("pos"), F.col("form")
+    relation = (
+        F.when(p == 3, F.concat(F.lit("odd  link|"), form)).when(p == 4, F.concat(F.lit("nothing known| Strange Link |"), form)).when(p == 5, F.concat(form, F.lit("|is seen by")))
+        .when(p == 6, "odd link").when(p == 7, "").otherwise(form)
+    )
+    concept = F.when((p == 5) & (F.col("interaction_type") == "hasHost"), -1).when((p == 5) & (F.col("interaction_type") == "interactsWith"), 0)
+    return PO.decided(c.select(relation.alias("relation"), concept.cast("int").alias("concept_polarity")), spark.createDataFrame(SURFACES, "form string, polarity int"))
 
 
-def _relations(spark, sf):
+def _form():
     bare = F.regexp_replace("verb", "^(is an?|lives in) ", "")
-    tail = F.when(F.col("pos") == 1, " by").when(F.col("pos") == 2, "ing").otherwise("")
-    return claims(spark, sf).select(F.concat(bare, tail).alias("relation")).distinct()
+    return F.concat(bare, F.when(F.col("pos") == 1, " by").when(F.col("pos") == 2, "ing").otherwise(""))
+
+
+def _relations(spark, sf):
+    return claims(spark, sf).select(_form().alias("relation")).distinct()
 
 
 @query(
