@@ -46,14 +46,14 @@ def write_remaining(work: DataFrame, path: str, key: list[str], spark: SparkSess
     """
     try:
         done = spark.read.parquet(path).select(*key).distinct()
+        before = spark.read.parquet(path).count()  # from the files' footers
         todo = work.join(done, key, "left_anti")
     except Exception as e:  # the sink does not exist on the first run
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        todo = work
+        todo, before = work, 0
     todo.write.mode("append").parquet(path)
-    written = spark.read.parquet(path).count()
-    return written
+    return spark.read.parquet(path).count() - before
 
 
 def read_answers(spark: SparkSession, path: str, key: list[str], order: list[str]) -> DataFrame:
