@@ -11,7 +11,7 @@ from claimweave.operators import joins as J
 from claimweave.operators import leakage as L
 from claimweave.operators import matching as MT
 from claimweave.operators import taxonomy as TX
-from claimweave.plans.filters import DICTIONARY, dictionary
+from claimweave.plans.filters import DICTIONARY, NAME_CHARS, dictionary
 from claimweave.plans.registry import query
 from claimweave.plans.sources import taxonomy_dump
 from claimweave.plans.sqltext import norm_ascii_sql
@@ -150,22 +150,36 @@ def article_sentences(spark, sf):
     return j.withColumn("rk", F.row_number().over(w)).where("rk <= 3").select("interaction_id", "doc_id", "sent_id")
 
 
-#: All runs of one to three tokens of the ``benchmark`` texts are names, and where documents hold them are hits.
-HITS = f"""{TOKENS}, bt AS (SELECT item_id, ws[i] AS token, i AS pos FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '{TOKEN_SPLIT}'), lambda w: w <> '') AS ws FROM benchmark))),
- names AS (SELECT token AS name FROM bt UNION SELECT a.token || ' ' || b.token FROM bt a JOIN bt b ON b.item_id = a.item_id AND b.pos = a.pos + 1
-  UNION SELECT a.token || ' ' || b.token || ' ' || c.token FROM bt a JOIN bt b ON b.item_id = a.item_id AND b.pos = a.pos + 1 JOIN bt c ON c.item_id = a.item_id AND c.pos = a.pos + 2),
- g AS (SELECT doc_id, pos AS start, 1 AS len, token AS gram FROM tokens UNION ALL SELECT a.doc_id, a.pos, 2, a.token || ' ' || b.token FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
-  UNION ALL SELECT a.doc_id, a.pos, 3, a.token || ' ' || b.token || ' ' || c.token FROM tokens a JOIN tokens b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN tokens c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2),
- hits AS MATERIALIZED (SELECT * FROM g WHERE gram IN (SELECT name FROM names))"""
+_B = f"bt AS (SELECT item_id, ws[i] AS token, i AS pos FROM (SELECT item_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '{TOKEN_SPLIT}'), lambda w: w <> '') AS ws FROM benchmark)))"
+_TWO = "SELECT a.token || ' ' || b.token{0} FROM {1} a JOIN {1} b ON b.{2} = a.{2} AND b.pos = a.pos + 1"
+_THREE = "SELECT a.token || ' ' || b.token || ' ' || c.token{0} FROM {1} a JOIN {1} b ON b.{2} = a.{2} AND b.pos = a.pos + 1 JOIN {1} c ON c.{2} = a.{2} AND c.pos = a.pos + 2"
 
 
-def dictionary_names(spark, sf):
-    """Runs of one to three tokens of the ``benchmark`` texts, however short and however often documents use them."""
-    return load(spark, sf, "benchmark").select(F.inline(MT.token_grams(F.col("text"), 3))).select(F.col("gram").alias("name")).distinct()
+def _hits_sql(names: str, longest: int) -> str:
+    runs = ["SELECT doc_id, pos AS start, 1 AS len, token AS gram FROM tokens", *[f"SELECT doc_id, start, {n}, gram FROM (" + run.format(" AS gram, a.doc_id, a.pos AS start", "tokens", "doc_id") + ")" for n, run in ((2, _TWO), (3, _THREE)) if n <= longest]]
+    return f"{TOKENS}, {_B}, names AS ({names}), g AS ({' UNION ALL '.join(runs)}), hits AS MATERIALIZED (SELECT * FROM g WHERE gram IN (SELECT name FROM names))"
 
 
-def name_hits(spark, sf):
-    return MT.dictionary_hits(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", dictionary_names(spark, sf), 3)
+#: Words of six characters or more and all runs of two; and all runs of one to three tokens, however short.
+HITS = _hits_sql(f"SELECT token AS name FROM bt WHERE length(token) >= {NAME_CHARS} UNION {_TWO.format('', 'bt', 'item_id')}", 2)
+ALL_HITS = _hits_sql(f"SELECT token AS name FROM bt UNION {_TWO.format('', 'bt', 'item_id')} UNION {_THREE.format('', 'bt', 'item_id')}", 3)
+#: CTE ``kept``: the longest match over ``hits``, island of overlapping hits by island.
+KEPT = """m AS (SELECT *, max(start + len) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
+ i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS UNBOUNDED PRECEDING) AS island FROM m),
+ n AS MATERIALIZED (SELECT doc_id, island, start, len, gram, row_number() OVER (PARTITION BY doc_id, island ORDER BY start, len, gram) AS k, count(*) OVER (PARTITION BY doc_id, island) AS size FROM i),
+ f AS (SELECT doc_id, island, k, start, len, gram, size, CAST(NULL AS INTEGER) AS es, CAST(NULL AS INTEGER) AS el, CAST(NULL AS VARCHAR) AS eg FROM n WHERE k = 1
+  UNION ALL SELECT n.doc_id, n.island, n.k, CASE WHEN apart OR longer THEN n.start ELSE f.start END, CASE WHEN apart OR longer THEN n.len ELSE f.len END, CASE WHEN apart OR longer THEN n.gram ELSE f.gram END, n.size,
+   CASE WHEN apart THEN f.start END, CASE WHEN apart THEN f.len END, CASE WHEN apart THEN f.gram END
+  FROM f JOIN n ON n.doc_id = f.doc_id AND n.island = f.island AND n.k = f.k + 1, LATERAL (SELECT n.start >= f.start + f.len AS apart, n.len > f.len AS longer) x),
+ kept AS (SELECT doc_id, es AS start, el AS len, eg AS gram FROM f WHERE es IS NOT NULL UNION ALL SELECT doc_id, start, len, gram FROM f WHERE k = size)"""
+PER_DOCUMENT = "SELECT doc_id, count(*) AS n_hits, CAST(sum(len) AS BIGINT) AS n_words, md5(string_agg(start || ':' || len || ':' || gram, ',' ORDER BY start || ':' || len || ':' || gram)) AS digest"
+
+
+def name_hits(spark, sf, longest=2, chars=NAME_CHARS):
+    """Hits of the ``benchmark`` texts' runs of up to ``longest`` tokens, of one token from ``chars`` characters on."""
+    grams = load(spark, sf, "benchmark").select(F.inline(MT.token_grams(F.col("text"), longest)))
+    names = grams.where((F.col("len") > 1) | (F.length("gram") >= chars)).select(F.col("gram").alias("name")).distinct()
+    return MT.dictionary_hits(load(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], "text", names, longest)
 
 
 def per_document(hits):
@@ -174,27 +188,24 @@ def per_document(hits):
     return hits.groupBy("doc_id").agg(F.count("*").alias("n_hits"), F.sum("len").alias("n_words"), F.md5(F.array_join(F.array_sort(F.collect_list(one)), ",").cast("binary")).alias("digest"))
 
 
-PER_DOCUMENT = "SELECT doc_id, count(*) AS n_hits, CAST(sum(len) AS BIGINT) AS n_words, md5(string_agg(start || ':' || len || ':' || gram, ',' ORDER BY start || ':' || len || ':' || gram)) AS digest"
+@query("join_12_dictionary_hits", f"WITH {HITS} SELECT doc_id, start, len, gram FROM hits")
+def dictionary_hits(spark, sf):
+    return name_hits(spark, sf)
 
 
-@query("join_12_dictionary_hits", f"WITH {HITS} {PER_DOCUMENT} FROM hits GROUP BY doc_id")
-def dictionary_hits(spark, sf):
-    return per_document(name_hits(spark, sf))
+@query("join_12_all_runs", f"WITH {ALL_HITS} {PER_DOCUMENT} FROM hits GROUP BY doc_id")
+def dictionary_hits_of_all_runs(spark, sf):
+    return per_document(name_hits(spark, sf, 3, 1))
 
 
-@query(
-    "win_08_longest_match",
-    f"""WITH RECURSIVE {HITS}, m AS (SELECT *, max(start + len) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
- i AS (SELECT *, sum(CASE WHEN reach IS NULL OR start >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, len, gram ROWS UNBOUNDED PRECEDING) AS island FROM m),
- n AS MATERIALIZED (SELECT doc_id, island, start, len, gram, row_number() OVER (PARTITION BY doc_id, island ORDER BY start, len, gram) AS k, count(*) OVER (PARTITION BY doc_id, island) AS size FROM i),
- f AS (SELECT doc_id, island, k, start, len, gram, size, CAST(NULL AS INTEGER) AS es, CAST(NULL AS INTEGER) AS el, CAST(NULL AS VARCHAR) AS eg FROM n WHERE k = 1
-  UNION ALL SELECT n.doc_id, n.island, n.k, CASE WHEN apart OR longer THEN n.start ELSE f.start END, CASE WHEN apart OR longer THEN n.len ELSE f.len END, CASE WHEN apart OR longer THEN n.gram ELSE f.gram END, n.size,
-   CASE WHEN apart THEN f.start END, CASE WHEN apart THEN f.len END, CASE WHEN apart THEN f.gram END
-  FROM f JOIN n ON n.doc_id = f.doc_id AND n.island = f.island AND n.k = f.k + 1, LATERAL (SELECT n.start >= f.start + f.len AS apart, n.len > f.len AS longer) x),
- kept AS (SELECT doc_id, es AS start, el AS len, eg AS gram FROM f WHERE es IS NOT NULL UNION ALL SELECT doc_id, start, len, gram FROM f WHERE k = size) {PER_DOCUMENT} FROM kept GROUP BY doc_id""",
-)
+@query("win_08_longest_match", f"WITH RECURSIVE {HITS}, {KEPT} SELECT doc_id, start, len, gram FROM kept")
 def longest_match(spark, sf):
-    return per_document(MT.resolve_overlaps(name_hits(spark, sf), ["doc_id"]))
+    return MT.resolve_overlaps(name_hits(spark, sf), ["doc_id"])
+
+
+@query("win_08_all_runs", f"WITH RECURSIVE {ALL_HITS}, {KEPT} {PER_DOCUMENT} FROM kept GROUP BY doc_id")
+def longest_match_of_all_runs(spark, sf):
+    return per_document(MT.resolve_overlaps(name_hits(spark, sf, 3, 1), ["doc_id"]))
 
 
 @query(
