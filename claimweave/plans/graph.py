@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as V
@@ -236,31 +237,26 @@ first AS (SELECT s.sample_id, s.species, sum(score) AS bx, count(*) AS bk FROM s
 coh AS (SELECT f.sample_id, f.species, k, coalesce(bk, 0) AS bk, CASE WHEN coalesce(bx, 0) > 0 THEN bx ELSE k / sqrt(greatest(1, degree)) END AS coherence FROM fall f LEFT JOIN first p ON p.sample_id = f.sample_id AND p.species = f.species JOIN deg ON n = f.species)"""
 
 
-def coherence_inputs(spark, sf):
+def scored_pairs(spark, sf):
+    """Known pairs, every third with a primary score."""
     from claimweave.functions.hashing import hash_bucket, seeded_md5
 
-    pairs = stage(known_pairs(spark, sf), "pairs")
     h = hash_bucket(seeded_md5("bx", "a", "b"), 2)
-    prim = pairs.withColumn("h", h).where("h % 3 = 0").select("a", "b", F.round(F.col("h") / 256.0, 4).alias("score"))
-    deg = pairs.select(F.explode(F.array("a", "b")).alias("species")).groupBy("species").agg(F.count("*").alias("degree"))
-    return spread(stage(samples(spark, sf), "samples")), pairs, prim, deg
+    return known_pairs(spark, sf).select("a", "b", F.when(h % 3 == 0, F.round(h / 256.0, 4)).alias("score"))
 
 
 def coherence(spark, sf):
-    """Detections and edges are written once, since support reads each several times.
+    """All detections, each with its support in its sample.
 
-    Primary score where any primary partner is present, else the degree-normalised count of known partners."""
-    s, pairs, prim, deg = coherence_inputs(spark, sf)
-    fall = RR.partner_support(s, pairs.withColumn("score", F.lit(0.0))).drop("score_sum")
-    first = RR.partner_support(s, prim).withColumnsRenamed({"k": "bk", "score_sum": "bx"})
-    j = fall.join(first, ["sample_id", "species"], "left").join(deg, "species")
-    c = F.when(F.coalesce("bx", F.lit(0.0)) > 0, F.col("bx")).otherwise(M.coherence_sqrt(F.col("k"), F.col("degree")))
-    return j.select("sample_id", "species", "k", F.coalesce("bk", F.lit(0)).alias("bk"), c.alias("coherence"))
+    Primary score where any primary partner is present, else the degree-normalised count of known partners; 0 without partners."""
+    s = RR.with_support(samples(spark, sf), scored_pairs(spark, sf))
+    c = F.when(F.col("score_sum") > 0, F.col("score_sum")).when(F.col("k") > 0, M.coherence_sqrt(F.col("k"), F.col("degree"))).otherwise(0.0)
+    return s.select("sample_id", "species", "reads", "k", F.col("n_scored").alias("bk"), c.alias("coherence"))
 
 
 @query("grf_10_partner_support", f"WITH {SAMPLES}, {KNOWN_PAIRS}, {SCORES} SELECT sample_id, species, k, bk, round(coherence, 6) AS coherence FROM coh")
 def partner_support(spark, sf):
-    return coherence(spark, sf).withColumn("coherence", F.round("coherence", 6))
+    return coherence(spark, sf).where("k > 0").select("sample_id", "species", "k", "bk", F.round("coherence", 6).alias("coherence"))
 
 
 @query(
@@ -272,12 +268,16 @@ def partner_support(spark, sf):
  SELECT sample_id, species, round(-log10(greatest(sum(CASE WHEN c2 IS NOT NULL THEN exp(c1 + c2 - c3) ELSE 0 END), 1e-300)) + 0.0, 5) AS surprise FROM lc GROUP BY ALL""",
 )
 def coherence_surprise(spark, sf):
-    s, pairs, _, deg = coherence_inputs(spark, sf)
-    fall = RR.partner_support(s, pairs.withColumn("score", F.lit(0.0)))
-    n = s.groupBy("sample_id").agg(F.count("*").alias("n"))
-    pop = deg.agg(F.count("*")).scalar()
-    j = fall.join(deg, "species").join(n, "sample_id").withColumn("pop", pop)
-    return j.select("sample_id", "species", F.round(M.hypergeom_surprise(F.col("k"), F.col("degree"), F.least("n", "pop"), F.col("pop")), 5).alias("surprise"))
+    """The probability of a support depends on four counts only, so it is computed once for each that occurs."""
+    pairs = stage(known_pairs(spark, sf), "pairs")
+    pop = pairs.select(F.explode(F.array("a", "b")).alias("n")).agg(F.countDistinct("n")).scalar()
+    s = RR.with_support(samples(spark, sf).drop("reads"), pairs.withColumn("score", F.lit(None).cast("double")))
+    s = s.withColumn("n", F.count("*").over(Window.partitionBy("sample_id"))).where("k > 0")
+    s = stage(s.select("sample_id", "species", "k", "degree", "n"), "supports")
+    counts = stage(s.select("k", "degree", "n").distinct(), "support-counts").withColumn("pop", pop)
+    surprise = M.hypergeom_surprise(F.col("k"), F.col("degree"), F.least("n", "pop"), F.col("pop"))
+    table = broadcast_if_small(stage(counts.select("k", "degree", "n", F.round(surprise, 5).alias("surprise")), "surprises"))
+    return s.join(table, ["k", "degree", "n"]).select("sample_id", "species", "surprise")
 
 
 RERANKED = f"""{SAMPLES}, {KNOWN_PAIRS}, {SCORES}, fin AS (SELECT s.sample_id, s.species, reads, coalesce(coherence, 0) AS coherence, round(reads * (1 + coalesce(coherence, 0)), 4) AS final_score FROM samples s LEFT JOIN coh c ON c.sample_id = s.sample_id AND c.species = s.species),
@@ -285,7 +285,7 @@ reranked AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY reads
 
 
 def reranked(spark, sf):
-    return RR.rerank(samples(spark, sf), coherence(spark, sf).select("sample_id", "species", "coherence"), 1.0)
+    return RR.with_ranks(coherence(spark, sf).drop("k", "bk"), 1.0)
 
 
 @query("win_03_rerank_samples", f"WITH {RERANKED} SELECT sample_id, species, reads, final_score, CAST(original_rank AS INTEGER) AS original_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(original_rank - new_rank AS INTEGER) AS delta_rank FROM reranked")

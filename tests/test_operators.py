@@ -281,6 +281,19 @@ def test_partner_support_against_pairs(spark):
     assert {(r.sample_id, r.species): (r.k, round(r.score_sum, 6)) for r in got.collect()} == want
 
 
+def test_support_in_arrays_makes_no_row_per_pair(spark):
+    """Few names: detections are dealt once, by sample, and joined with nothing but small tables; the same results as by wedges."""
+    rnd = random.Random(8)
+    det = sorted({(rnd.randrange(20), f"s{rnd.randrange(15)}") for _ in range(200)})
+    edges = sorted({(min(p), max(p)) for p in (rnd.sample([f"s{i}" for i in range(12)], 2) for _ in range(40))})
+    d = spark.createDataFrame(det, "sample_id int, species string")
+    e = spark.createDataFrame([(*x, None if i % 3 else i / 64) for i, x in enumerate(edges)], "a string, b string, score double")
+    arrays, wedges = RR.with_support(d, e), RR.with_support(d, e, listed=0)
+    assert arrays.count() == len(det) and sorted(arrays.collect()) == sorted(wedges.collect())
+    plan = arrays._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Generate explode(array(x" not in plan and "Aggregate [sample_id" not in plan
+
+
 def test_entity_split_is_disjoint(spark):
     rnd = random.Random(7)
     df = spark.createDataFrame([(f"e{rnd.randrange(40)}", f"e{rnd.randrange(40)}") for _ in range(500)], "a string, b string")
