@@ -55,23 +55,39 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _walk(x: np.ndarray, n: np.ndarray, k: np.ndarray, rounds: int) -> np.ndarray:
+    """Where places ``x`` of 0 … ``n`` - 1 go under the bijections keyed by ``k`` (broadcast against each other)."""
+    step = 0x9E3779B97F4A7C15
+    for i in range(1, rounds + 1):
+        own = _mixed(k + np.uint64(i * step % 2**64))
+        mirror = own % n + n - x
+        mirror = np.where(mirror >= n, mirror - n, mirror)
+        swap = _mixed(own ^ (np.maximum(x, mirror) + np.uint64(1)) * np.uint64(step)) & np.uint64(1)
+        x = np.where(swap == 1, mirror, x)
+    return x
+
+
+def replicate_keys(keys: np.ndarray, reps: int) -> np.ndarray:
+    """A key per group and replicate."""
+    return _mixed(keys.astype(np.int64).astype(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+
+
+def whole_permutations(keys: np.ndarray, n: int, reps: int, rounds: int = 32) -> np.ndarray:
+    """The bijections of ``permuted_often`` for groups of equal size: an array (group, replicate, place)."""
+    x = np.broadcast_to(np.arange(n, dtype=np.uint64), (len(keys), reps, n))
+    return _walk(x, np.uint64(n), replicate_keys(keys, reps)[:, :, None], rounds).astype(np.int64)
+
+
 def permuted_often(place: Column, size: Column, key: Column, reps: int, rounds: int = 32) -> Column:
     """Places of ``place`` under ``reps`` bijections of 0 … ``size`` - 1, as an array; a bigint ``key`` names the group.
 
     The bijections of ``permuted``, for many replicates of a row at once, over Arrow batches.
     """
-    step = np.uint64(0x9E3779B97F4A7C15)
 
     @F.pandas_udf("array<bigint>")
     def draw(places: pd.Series, sizes: pd.Series, keys: pd.Series) -> pd.Series:
         n = sizes.to_numpy(np.int64)[:, None].astype(np.uint64)
         x = np.repeat(places.to_numpy(np.int64)[:, None], reps, axis=1).astype(np.uint64)
-        k = _mixed(keys.to_numpy(np.int64).astype(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * step)
-        for i in range(1, rounds + 1):
-            own = _mixed(k + np.uint64(i * int(step) % 2**64))
-            mirror = (own % n + n - x) % n
-            swap = _mixed(own ^ (np.maximum(x, mirror) + np.uint64(1)) * step) & np.uint64(1)
-            x = np.where(swap == 1, mirror, x)
-        return pd.Series(list(x.astype(np.int64)))
+        return pd.Series(list(_walk(x, n, replicate_keys(keys.to_numpy(np.int64), reps), rounds).astype(np.int64)))
 
     return draw(place, size, key)

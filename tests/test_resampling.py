@@ -95,3 +95,19 @@ def test_permutation_test_equals_plain_code(spark):
     obs, stats = np.mean(observed), [np.mean(x) for x in null]
     assert got.observed == pytest.approx(obs, abs=1e-6) and got.null_mean == pytest.approx(np.mean(stats), abs=1e-6)
     assert got.p_value == pytest.approx((sum(x >= obs - 1e-9 for x in stats) + 1) / 41, abs=1e-6)
+
+
+def test_permutation_in_tasks_equals_that_by_rows(spark):
+    rnd = random.Random(12)
+    rows = [(s, f"t{k:02}", rnd.randint(1, 9), rnd.randint(0, 64) / 32, rnd.random() < 0.4) for s in range(40) for k in range(rnd.randint(1, 12))]
+    det = spark.createDataFrame(rows, "sample_id long, species string, reads long, coherence double, t boolean")
+    ranked = RR.with_ranks(det, 1.0)
+    t = F.col("t")
+    arrays = RR.permutation_test(ranked, t, 1.0, 30, "q").first()
+    assert arrays == RR.permutation_test(ranked, t, 1.0, 30, "q", listed=0).first() == RR.permutation_test(ranked, t, 1.0, 30, "q", listed=6).first()
+
+
+def test_whole_permutations_are_those_of_rows(spark):
+    for n in (1, 2, 7, 40):
+        many = [r.p for r in spark.range(n).orderBy("id").select(H.permuted_often(F.col("id"), F.lit(n), F.lit(-5).cast("bigint"), 9).alias("p")).collect()]
+        assert H.whole_permutations(np.array([-5]), n, 9)[0].T.tolist() == many
