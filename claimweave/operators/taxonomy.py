@@ -32,20 +32,22 @@ def deletion_forms(c: Column, edits: int) -> Column:
     return F.array_distinct(forms)
 
 
-def fuzzy_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs (query, name_norm, id, is_syn) in one 3-letter block with similarity ≥ the fixed minimum.
+def near_names(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs (query, prefix3, name_norm, similarity) of distinct strings in one 3-letter block with similarity ≥ the fixed minimum.
 
     Up to 29 characters the minimum allows at most two edits: join on deletion forms. Longer names allow
     e more edits: cut into e + 1 pieces, one piece of a partner stands unchanged within e places, so the
-    join runs on (block, length, piece). Both are exact; no block is compared with itself.
+    join runs on (block, length, piece). Both are exact; no block is compared with itself. A string has hundreds of forms,
+    which size estimates do not see, so neither side is ever broadcast.
     """
     q = queries.select("query", F.substring("query", 1, 3).alias("prefix3")).where(F.length("query") >= V.FUZZY_MIN_LENGTH)
-    n = names.select("name_norm", "id", "is_syn", "prefix3")
+    n = names.select("name_norm", "prefix3").distinct()  # ids that share a name are joined to its pairs afterwards
     limit = int(1 / (1 - V.FUZZY_MIN_SIMILARITY) * (MAX_EDITS_BY_DELETION + 1)) - 1
-    form = lambda c: F.explode(deletion_forms(F.col(c), MAX_EDITS_BY_DELETION)).alias("form")
+    # forms only select pairs to be compared in full, so 64-bit digests stand for them
+    form = lambda c: F.explode(F.transform(deletion_forms(F.col(c), MAX_EDITS_BY_DELETION), lambda f: F.xxhash64(f))).alias("form")
     short = (
         q.where(F.length("query") <= limit).select("query", "prefix3", form("query"))
-        .join(n.where(F.length("name_norm") <= limit).select("*", form("name_norm")), ["prefix3", "form"])
+        .join(n.where(F.length("name_norm") <= limit).select("*", form("name_norm")).hint("merge"), ["prefix3", "form"])
         .drop("form").distinct()
     )
     low, high = V.FUZZY_MIN_SIMILARITY, 1 / V.FUZZY_MIN_SIMILARITY
@@ -61,15 +63,22 @@ def fuzzy_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
     shifts = F.sequence(-edits(F.col("len_n")), edits(F.col("len_n")))
     long_q = long_q.withColumn("start", F.explode(F.transform(shifts, lambda d: F.col("part") * width + 1 + d))).where(F.col("start") >= 1)
     long_q = long_q.withColumn("piece", F.substr("query", F.col("start"), width)).drop("start").distinct()
-    long = long_q.join(long_n, ["prefix3", "len_n", "part", "piece"]).select("query", "prefix3", "name_norm", "id", "is_syn").distinct()
-    pairs = short.select("query", "prefix3", "name_norm", "id", "is_syn").unionByName(long)
+    long = long_q.join(long_n.hint("merge"), ["prefix3", "len_n", "part", "piece"]).select("query", "prefix3", "name_norm").distinct()
+    pairs = short.select("query", "prefix3", "name_norm").unionByName(long)
     return pairs.withColumn("similarity", similarity(F.col("query"), F.col("name_norm"))).where(F.col("similarity") >= V.FUZZY_MIN_SIMILARITY - 1e-9)
 
 
+def fuzzy_candidates(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Near pairs (query, prefix3, name_norm, similarity) with the ids that carry the name."""
+    return near_names(queries, names).join(names.select("name_norm", "id", "is_syn"), "name_norm")
+
+
 def best_fuzzy(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Most similar name per query; ties by name."""
-    best = F.min_by(F.struct("name_norm", "id", F.round("similarity", 3).alias("similarity")), F.struct(-F.col("similarity"), "name_norm", "id"))
-    return fuzzy_candidates(queries, names).groupBy("query").agg(best.alias("b")).select("query", "b.*")
+    """Most similar name per query; ties by name, then by id, so that the least id of a name stands for all."""
+    first = names.groupBy("name_norm").agg(F.min("id").alias("id"))
+    best = F.min_by(F.struct("name_norm", F.round("similarity", 3).alias("similarity")), F.struct(-F.col("similarity"), "name_norm"))
+    found = near_names(queries, names).groupBy("query").agg(best.alias("b")).select("query", "b.*")
+    return found.join(first, "name_norm").select("query", "name_norm", "id", "similarity")
 
 
 def resolve(queries: DataFrame, names: DataFrame) -> DataFrame:

@@ -281,6 +281,17 @@ def test_partner_support_against_pairs(spark):
     assert {(r.sample_id, r.species): (r.k, round(r.score_sum, 6)) for r in got.collect()} == want
 
 
+def test_fuzzy_names_broadcast_no_forms(spark):
+    """Thousands of ids of one name are one string for the search, and deletion forms never pass through the driver."""
+    names = spark.range(3000).select(F.concat(F.lit("supplier#00"), (F.col("id") % 3).cast("string")).alias("name_norm"), F.col("id").cast("string").alias("id"), F.lit(0).alias("is_syn"), F.lit("sup").alias("prefix3"))
+    q = spark.createDataFrame([("supplier#002x",), ("suplier#001",)], "query string")
+    near = TX.near_names(q, names)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert near.count() == len({(r["query"], r.name_norm) for r in near.collect()}) <= 6
+    assert {(r["query"], r.name_norm, r.id) for r in TX.best_fuzzy(q, names).collect()} == {("supplier#002x", "supplier#002", "1001"), ("suplier#001", "supplier#001", "1")}
+    assert TX.fuzzy_candidates(q, names).count() >= 2000
+
+
 def test_support_in_arrays_makes_no_row_per_pair(spark):
     """Few names: detections are dealt once, by sample, and joined with nothing but small tables; the same results as by wedges."""
     rnd = random.Random(8)
