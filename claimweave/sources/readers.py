@@ -176,6 +176,23 @@ def html_to_text(html: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"[ \t\r\n\f]+", " "))
 
 
+#: An entry of elements that hold text only, without references to characters, whose parts can be cut out by a pattern.
+FLAT_ENTRY = r'^<ref( [a-z]+="[^"<&\t\r\n]*")*>(<([a-z]+)>[^<&\r]*</\3>)*</ref>$'
+#: Longer entries are parsed; a pattern recurses on every element.
+FLAT_LENGTH = 4000
+
+
+def _entry_part(name: str) -> Column:
+    """``/ref/@id`` or the first ``/ref/name`` of ``entry``, null when missing or empty.
+
+    Building a document costs far more than a pattern, so only entries that are not ``flat`` are parsed.
+    """
+    cut = rf' {name[1:]}="([^"]*)"' if name.startswith("@") else f"<{name}>([^<]*)</{name}>"
+    head = F.substring_index("entry", ">", 1) if name.startswith("@") else F.col("entry")
+    parsed = F.expr(f"xpath_string(entry, '/ref/{name}')")
+    return F.nullif(F.when(F.col("flat"), F.regexp_extract(head, cut, 1)).otherwise(parsed), F.lit(""))
+
+
 def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataFrame:
     """Sentences that cite a target reference.
 
@@ -186,8 +203,8 @@ def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataF
     doc_id = F.col("doc_id")
     # entry by entry, so that one without a part does not take it from the next
     entries = articles.select(doc_id, F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<ref(?:\s[^>]*)?>.*?</ref>"), F.lit(0))).alias("entry"))
-    part = lambda path: F.expr(f"nullif(xpath_string(entry, '{path}'), '')")
-    refs = entries.select("doc_id", part("/ref/@id").alias("rid"), F.lower(part("/ref/doi")).alias("ref_doi"), part("/ref/mixed").alias("ref_text"))
+    entries = entries.withColumn("flat", (F.length("entry") < FLAT_LENGTH) & F.col("entry").rlike(FLAT_ENTRY))
+    refs = entries.select("doc_id", _entry_part("@id").alias("rid"), F.lower(_entry_part("doi")).alias("ref_doi"), _entry_part("mixed").alias("ref_text"))
     refs = refs.withColumn("text_doi", F.lower(F.regexp_replace(F.regexp_extract("ref_text", r"10\.\d{4,}/\S+", 0), r"[.,;)]+$", "")))
     refs = refs.withColumn("title_key", F.lower(F.regexp_extract("ref_text", r"\. ([^.]+)\. ", 1)))
     refs = refs.withColumn("author_year", F.concat_ws("|", F.lower(F.regexp_extract("ref_text", r"^(\p{L}+)", 1)), F.regexp_extract("ref_text", r"\b((?:19|20)\d\d)\b", 1)))

@@ -281,6 +281,22 @@ def test_partner_support_against_pairs(spark):
     assert {(r.sample_id, r.species): (r.k, round(r.score_sum, 6)) for r in got.collect()} == want
 
 
+def test_flat_entries_are_cut_as_they_are_parsed(spark):
+    from claimweave.sources import readers as RD
+
+    entries = [
+        '<ref id="B1"><doi>10.5/A</doi><mixed>Some. Title here. X</mixed></ref>', '<ref id="B2"><mixed>plain &amp; more</mixed></ref>', "<ref id='B3'><doi>10.5/c</doi></ref>",
+        '<ref n="1" id="B4"><label>4</label><mixed>a > b</mixed><mixed>c</mixed></ref>', '<ref id="B5"><mixed>one <i>two</i> three</mixed></ref>', '<ref id="B6"><x><doi>10.5/n</doi></x></ref>',
+        "<ref><doi></doi></ref>", "<ref id=\"B8\"></ref>", '<ref id="B9"><mixed><![CDATA[<doi>1</doi>]]></mixed></ref>', '<ref rid="B0" id="B10"><doi>10.5/z</doi></ref>', '<ref id="B11"><mixed>' + "w " * 3000 + "</mixed></ref>",
+    ]
+    df = spark.createDataFrame([(e,) for e in entries], "entry string")
+    df = df.withColumn("flat", (F.length("entry") < RD.FLAT_LENGTH) & F.col("entry").rlike(RD.FLAT_ENTRY))
+    for name in ("@id", "doi", "mixed"):
+        got = [tuple(r) for r in df.select(RD._entry_part(name), F.expr(f"nullif(xpath_string(entry, '/ref/{name}'), '')")).collect()]
+        assert all(a == b for a, b in got), (name, got)
+    assert [r.flat for r in df.collect()].count(True) == 5
+
+
 def test_fuzzy_names_broadcast_no_forms(spark):
     """Thousands of ids of one name are one string for the search, and deletion forms never pass through the driver."""
     names = spark.range(3000).select(F.concat(F.lit("supplier#00"), (F.col("id") % 3).cast("string")).alias("name_norm"), F.col("id").cast("string").alias("id"), F.lit(0).alias("is_syn"), F.lit("sup").alias("prefix3"))
