@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.text import norm_ascii, shingles, words
@@ -83,47 +83,47 @@ def text_grams(text: Column | str) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(words(F.lower(text))), lambda w: word_char_grams(w))))
 
 
+#: Texts that one task compares, about.
+TEXTS_PER_TASK = 1000
+
+
 def near_duplicates(test: DataFrame, train: DataFrame, test_id: str, train_id: str, text: str, threshold: float = 0.85) -> DataFrame:
     """Best training match of each test row with TF-IDF cosine above ``threshold``.
 
-    Of the training side two passes make small tables only: how many texts hold each gram, and which texts hold enough
-    of a test row's probes. Probes are the rarest grams of a unit test vector, taken until the rest weighs little; by
-    Cauchy and Schwarz a cosine is at most the norm of the part of the test vector that both can share, so a text whose
-    probes fall short of it is out, exactly. Vectors are built for the texts left, and dots for the pairs left.
+    Distinct training texts are written once, numbered, and dealt by number; counting words, cutting grams, weighing and
+    adding up dots and norms then need no further shuffle, and only cosines above the threshold leave a task. Weights and
+    test vectors are small tables joined by gram. Grams of a single text, which make most of a growing vocabulary, have one
+    and the same weight and are not in the table of weights.
     """
-    t = stage(collapse_copies(test, test_id, F.col(text), "_text"), "test-texts")
-    tg = stage(gram_counts(t, "key", "_text"), "test-grams")
-    df_t = tg.join(t.select("key", "copies"), "key").groupBy("gram").agg(F.sum("copies").alias("c"))
-    df_d = train.select(F.explode(text_grams(text)).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    t = collapse_copies(test, test_id, F.col(text), "_text").withColumn("t", F.monotonically_increasing_id())
+    t = stage(t.select("key", "t", "copies", "_text"), "test-texts")
+    tg = stage(gram_counts(t, "t", "_text"), "test-grams")
+    d = stage(collapse_copies(train, train_id, F.col(text), "_text").withColumn("_d", F.monotonically_increasing_id()), "train-texts")
+    n = max(d.sparkSession.sparkContext.defaultParallelism, d.count() // TEXTS_PER_TASK + 1)
+    dealt = d.select("_d", "copies", "_text").repartition(n, "_d")
+
+    df_t = tg.join(t.select("t", "copies"), "t").groupBy("gram").agg(F.sum("copies").alias("c"))
+    df_d = dealt.select("copies", F.explode(text_grams("_text")).alias("gram")).groupBy("gram").agg(F.sum("copies").alias("c"))
     df = df_t.unionByName(df_d).groupBy("gram").agg(F.sum("c").alias("df"))
-    total = test.agg(F.count("*")).scalar() + train.agg(F.count("*")).scalar()
-    idf = stage(df.select("gram", "df", (F.log((1 + total) / (1 + F.col("df"))) + 1).alias("idf")), "gram-idf")
-    tw = tg.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
-    tn = tw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    tu = stage(tw.join(tn, "key").select(F.col("key").alias("t_key"), "gram", "df", (F.col("w") / F.col("t_norm")).alias("wt")), "test-vectors")
-
-    # of the squared norm 1, the rest that is no probe weighs at most half of what a match needs
-    need = threshold * threshold
-    packed = tu.groupBy("t_key").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "wt"))).alias("v"))
-    none = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<struct<gram:string,mass:double>>").alias("grams"))
-    take = lambda a, x: F.struct((a["mass"] + x["wt"] * x["wt"]).alias("mass"), F.concat(a["grams"], F.array(F.struct(x["gram"].alias("gram"), (x["wt"] * x["wt"]).alias("mass")))).alias("grams"))
-    probes = packed.withColumn("p", F.aggregate("v", none, lambda a, x: F.when(a["mass"] > 1 - need / 2, a).otherwise(take(a, x))))
-    probes = stage(probes.select("t_key", (1 - F.col("p.mass")).alias("rest"), F.explode("p.grams").alias("g")).select("t_key", "rest", "g.gram", "g.mass"), "test-probes")
-    d = train.select(digest(F.col(text)).alias("key"), train_id, F.col(text).alias("_text"))
-    seen = d.select("key", F.explode(text_grams("_text")).alias("gram"))
-    # copies of a text meet the same probes: the mass of one copy, whichever
-    met = seen.join(broadcast_if_small(probes), "gram").groupBy("key", "t_key", "gram").agg(F.max("mass").alias("mass"), F.max("rest").alias("rest"))
-    pairs = stage(met.groupBy("key", "t_key").agg(F.sum("mass").alias("mass"), F.max("rest").alias("rest")).where(F.col("mass") + F.col("rest") > need - 1e-6).select("key", "t_key"), "near-pairs")
-
-    left = broadcast_if_small(stage(pairs.select("key").distinct(), "near-keys"))
-    once = d.join(left, "key", "left_semi").groupBy("key").agg(F.min(train_id).alias(train_id), F.first("_text").alias("_text"))
-    once = stage(once, "near-texts")
-    dw = gram_counts(once, "key", "_text").join(idf, "gram").select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    dw = stage(dw, "near-vectors")
-    dn = dw.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("d_norm"))
-    dot = pairs.join(dw, "key").join(tu.select("t_key", "gram", "wt"), ["t_key", "gram"]).groupBy("key", "t_key").agg(F.sum(F.col("wt") * F.col("w")).alias("dot"))
-    sims = dot.join(dn, "key").withColumn("similarity", F.round(F.col("dot") / F.col("d_norm"), 4)).where(F.col("similarity") > threshold)
-    sims = sims.join(once.select("key", train_id), "key")
-    best = sims.groupBy("t_key").agg(F.min_by(F.struct(train_id, "similarity"), F.struct(-F.col("similarity"), train_id)).alias("b"))
+    total = test.agg(F.count("*")).first()[0] + train.agg(F.count("*")).first()[0]
+    weight = lambda c: F.log((1 + total) / (1 + c)) + 1
+    idf = broadcast_if_small(stage(df.where("df > 1").select("gram", weight(F.col("df")).alias("idf")), "gram-idf"))
+    weighed = lambda g: g.join(idf, "gram", "left").withColumn("w", F.col("tf") * F.coalesce("idf", weight(F.lit(1))))
+    tw = stage(weighed(tg).select("t", "gram", "w"), "test-weights")
+    tn = tw.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
+    tu = tw.join(tn, "t").groupBy("gram").agg(F.collect_list(F.struct("t", (F.col("w") / F.col("t_norm")).alias("wt"))).alias("v"))
+    tu = broadcast_if_small(stage(tu, "test-vectors"))
+
+    w = dealt.select("_d", F.explode(words(F.lower("_text"))).alias("word")).groupBy("_d", "word").agg(F.count("*").alias("n"))
+    g = w.select("_d", "n", F.explode(word_char_grams(F.col("word"))).alias("gram")).groupBy("_d", "gram").agg(F.sum("n").alias("tf"))
+    # a text's product with itself, as item -1, is the square of its norm
+    own = F.array(F.struct(F.lit(-1).cast("bigint").alias("t"), F.col("w").alias("wt")))
+    met = weighed(g).join(tu, "gram", "left").select("_d", "w", F.inline(F.when(F.col("v").isNull(), own).otherwise(F.concat("v", own))))
+    dots = met.groupBy("_d", "t").agg(F.sum(F.col("w") * F.col("wt")).alias("dot"))
+    norm = F.sqrt(F.max(F.when(F.col("t") == -1, F.col("dot"))).over(Window.partitionBy("_d")))
+    sims = dots.withColumn("similarity", F.round(F.col("dot") / norm, 4)).where((F.col("similarity") > threshold) & (F.col("t") >= 0))
+    sims = sims.select("_d", "t", "similarity").join(d.select("_d", train_id), "_d")
+    best = sims.groupBy("t").agg(F.min_by(F.struct(train_id, "similarity"), F.struct(-F.col("similarity"), train_id)).alias("b"))
+    best = best.join(t.select("t", F.col("key").alias("t_key")), "t").select("t_key", "b.*")
     rows = test.select(test_id, digest(F.col(text)).alias("t_key"))
-    return rows.join(best.select("t_key", "b.*"), "t_key").select(test_id, train_id, "similarity")
+    return rows.join(best, "t_key").select(test_id, train_id, "similarity")

@@ -281,6 +281,29 @@ def test_partner_support_against_pairs(spark):
     assert {(r.sample_id, r.species): (r.k, round(r.score_sum, 6)) for r in got.collect()} == want
 
 
+def test_near_duplicates_shuffle_no_row_per_pair(spark):
+    """Texts of one small vocabulary all share grams with all items; neither their pairs nor their grams are shuffled."""
+    from claimweave.operators import leakage as L
+
+    rnd = random.Random(9)
+    vocabulary = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(20)) for _ in range(1200)]
+    items = [(f"i{k}", texts[k * 7] + " " + vocabulary[k]) for k in range(40)]
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        done, n = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None).iterator(), {}
+        while done.hasNext():
+            x = done.next()
+            n[x.stageId()] = x.shuffleWriteRecords()
+        return n
+
+    before = shuffled()
+    got = L.near_duplicates(spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "item_id", "doc_id", "text", 0.8)
+    assert {(r.item_id, r.doc_id) for r in got.collect()} >= {(f"i{k}", k * 7) for k in range(40)}
+    assert sum(v for k, v in shuffled().items() if k not in before) < 1200 * 40
+
+
 def test_flat_entries_are_cut_as_they_are_parsed(spark):
     from claimweave.sources import readers as RD
 
