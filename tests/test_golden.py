@@ -235,3 +235,10 @@ def test_mention_offsets(spark):
 def test_list_cells(spark):
     p = lambda c: one(spark, (c,), "c string", parse_list_cell("c"))[0]
     assert p('["a", " b "]') == ["a", "b"] and p("a, b,,") == ["a", "b"] and p("nan") == [] and p(None) == []
+
+
+def test_claims_are_judged_once(spark):
+    """A claim that carries its polarity needs no text: neither the index nor the risk judges it again."""
+    c = spark.createDataFrame([("c1", 1, "A b", "C d", "preysOn", False), ("c2", 1, "A b", "C d", "preysOn", True)], "claim_id string, label int, source_species string, target_species string, interaction_type string, negated boolean")
+    got = {r.claim_id: (r.n_pos, r.n_neg, r.risk) for r in with_risk(c).collect()}
+    assert got == {"c1": (1, 1, 0.5), "c2": (1, 1, 0.8)}
