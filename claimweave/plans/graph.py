@@ -119,16 +119,19 @@ def domain_rules(spark):
 
 
 def violations(c, rules):
-    """First matching rule per interaction type, then the list of what it finds wrong.
+    """First matching rule of the interaction type, then the list of what it finds wrong.
 
-    ``rules`` is a table of rules written by hand, read once; they are matched against the distinct types only, and the
-    few (type, rule) pairs are joined back.
+    ``rules`` is a table of rules written by hand, read once; the rule of a row is chosen in place, so no row is dealt out
+    by its interaction type, of which there are few.
     """
-    patterns = rules.select("seq", "pattern").orderBy("seq").collect()
-    types = c.select("interaction_type").distinct()
-    parts = types.select("interaction_type", F.explode(F.array(*[F.struct(F.lit(r.seq).alias("seq"), F.lower("interaction_type").rlike(r.pattern).alias("hit")) for r in patterns])).alias("m"))
-    first = parts.where("m.hit").groupBy("interaction_type").agg(F.min("m.seq").alias("seq"))
-    j = c.join(broadcast_if_small(first.join(rules, "seq"), [rules]), "interaction_type", "left")
+    fields = ["required", "role", "forbidden"]
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    rule = None
+    for r in rules.orderBy("seq").collect():
+        found = F.struct(texts(r.required).alias("required"), F.lit(r.role).cast("string").alias("role"), texts(r.forbidden).alias("forbidden"))
+        hit = F.lower("interaction_type").rlike(r.pattern)
+        rule = F.when(hit, found) if rule is None else rule.when(hit, found)
+    j = c.withColumn("_rule", rule).select("*", *[F.col("_rule")[f].alias(f) for f in fields])
     inside = lambda k: F.exists("required", lambda t: F.contains(F.lower(k), F.lower(t)))
     need = F.size("required") > 0
     banned = F.exists("forbidden", lambda t: F.contains(F.lower("source_kingdom"), F.lower(t)))
