@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import evidence as E
 from claimweave.functions import fixed_values as V
+from claimweave.functions import rules as RU
 from claimweave.functions.hashing import hash_bucket, seeded_md5
 from claimweave.functions.maths import f1_of
+from claimweave.functions.text import bind
 from claimweave.operators import metrics as ME
 from claimweave.operators import sampling as S
 from claimweave.operators.ranking import hash_rank, top_n
@@ -250,7 +252,7 @@ def kind_flip_rates(spark, sf):
     k = claims(spark, sf).select("claim_id", "label", kind.alias("kind"))
     r = k.where("kind <> 'stated'").groupBy("kind").agg(F.avg("label").alias("rate"))
     new = F.when(F.col("rate").isNull() | (F.col("label") == 0), F.col("label")).when(F.col("rate") < 0.6663, 0).when(F.col("rate") >= 0.668, F.col("label"))
-    return k.join(r, "kind", "left").select("claim_id", "kind", new.alias("label"))
+    return k.join(F.broadcast(r), "kind", "left").select("claim_id", "kind", new.alias("label"))  # one row per kind
 
 
 @query(
@@ -308,22 +310,29 @@ def pattern_negatives(spark, sf):
     """Negatives read off the wording: synonym by apposition, own clade in parentheses, author of a name."""
     from claimweave.plans.filters import candidates
 
-    c = candidates(spark, sf).select("claim_id", "passage")
-    kinds = [
-        ("synonym", V.APPOSITION[0], 1, 2), ("synonym", V.APPOSITION[1], 2, 1),
-        ("author", V.AUTHOR_AND_YEAR, 1, 2), ("author", V.AUTHOR_IN_PARENTHESES, 1, 2),
-    ]
-    out = None
-    for kind, pattern, i, j in kinds:
-        pairs = F.arrays_zip(
-            F.regexp_extract_all("passage", F.lit(pattern), F.lit(i)).alias("a"), F.regexp_extract_all("passage", F.lit(pattern), F.lit(j)).alias("b")
+    none = F.array().cast("array<struct<kind:string,first:string,second:string>>")
+    row = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("first"), b.alias("second"))
+    head = r"([A-Z][a-z]+ [a-z]{3,})\s{0,3}" + V.CLADE_IN_PARENTHESES
+
+    def pairs(p, kind, sign, pattern, i, j):
+        """Two groups of every match; the sign, which every match holds, is tested first."""
+        two = F.arrays_zip(F.regexp_extract_all(p, F.lit(pattern), F.lit(i)).alias("a"), F.regexp_extract_all(p, F.lit(pattern), F.lit(j)).alias("b"))
+        return F.when(sign & p.rlike(pattern), F.transform(two, lambda x: row(kind, x["a"], x["b"]))).otherwise(none)
+
+    def found(p):
+        the, year, opens = p.contains("the"), p.rlike(RU.AUTHOR_YEAR), p.contains("(")
+        clades = pairs(p, "ancestor", opens & p.contains(":"), head, 1, 2)
+        return F.concat(
+            pairs(p, "synonym", the & p.contains(RU.APPOSITION_SIGNS[0]), V.APPOSITION[0], 1, 2),
+            pairs(p, "synonym", the & p.contains(RU.APPOSITION_SIGNS[1]), V.APPOSITION[1], 2, 1),
+            pairs(p, "author", year, V.AUTHOR_AND_YEAR, 1, 2),
+            pairs(p, "author", opens, V.AUTHOR_IN_PARENTHESES, 1, 2),
+            F.flatten(F.transform(clades, lambda x: F.transform(F.split(x["second"], r"\s*:\s*"), lambda y: row("ancestor", x["first"], y)))),
         )
-        rows = c.select("claim_id", F.lit(kind).alias("kind"), F.explode(pairs).alias("p")).select("claim_id", "kind", F.col("p.a").alias("first"), F.col("p.b").alias("second"))
-        out = rows if out is None else out.unionByName(rows)
-    clade = F.regexp_extract_all("passage", F.lit(r"([A-Z][a-z]+ [a-z]{3,})\s{0,3}" + V.CLADE_IN_PARENTHESES), F.lit(2))
-    head = F.regexp_extract_all("passage", F.lit(r"([A-Z][a-z]+ [a-z]{3,})\s{0,3}" + V.CLADE_IN_PARENTHESES), F.lit(1))
-    own = c.select("claim_id", F.explode(F.arrays_zip(head.alias("a"), clade.alias("b"))).alias("p"))
-    own = own.select("claim_id", F.lit("ancestor").alias("kind"), F.col("p.a").alias("first"), F.explode(F.split("p.b", r"\s*:\s*")).alias("second"))
-    rows = out.unionByName(own)
-    ok = (F.lower("first") != F.lower("second")) & ~F.lower("second").isin(V.AUTHOR_STOPWORDS) & (F.length("second") >= 4)
-    return rows.where(ok).distinct()
+
+    def ok(x):
+        second = F.lower(x["second"])
+        return (F.lower(x["first"]) != second) & ~second.isin(V.AUTHOR_STOPWORDS) & (F.length(x["second"]) >= 4)
+
+    rows = bind(F.col("passage"), lambda p: F.filter(found(p), ok))
+    return candidates(spark, sf).select("claim_id", F.inline(rows)).distinct()
