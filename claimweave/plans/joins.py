@@ -469,8 +469,10 @@ def graph_recall(spark, sf):
  s AS (SELECT key, max(label) AS d FROM k WHERE pos IN (1, 4) GROUP BY key) SELECT claim_id, CAST(coalesce(d, -1) AS INTEGER) AS decision FROM k LEFT JOIN s USING (key)""",
 )
 def stored_decisions(spark, sf):
-    norm = lambda c: F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9_]+", " ")))
-    k = claims(spark, sf).select("claim_id", "pos", "label", F.concat_ws("||", norm("text"), norm("source_species"), norm("target_species")).alias("key"))
+    """Decisions by normalised text and names; digests of these are joined."""
+    norm = lambda c: F.trim(F.lower(F.regexp_replace(c, r"\W+", " ")))
+    key = F.unhex(F.md5(F.concat_ws("||", norm("text"), norm("source_species"), norm("target_species"))))
+    k = claims(spark, sf).select("claim_id", "pos", "label", key.alias("key"))
     stored = k.where("pos in (1, 4)").groupBy("key").agg(F.max("label").alias("d"))
     return k.join(stored, "key", "left").select("claim_id", F.coalesce("d", F.lit(-1)).alias("decision"))
 

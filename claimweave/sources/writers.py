@@ -62,8 +62,11 @@ def read_answers(spark: SparkSession, path: str, key: list[str], order: list[str
 
 
 def split_by_reason(df: DataFrame, reason: Column, accepted: str, rejected: str) -> DataFrame:
-    """Write accepted and rejected rows from one pass (partitioned by outcome) and return them tagged."""
-    tagged = df.withColumn("rejection_reason", reason).withColumn("accepted", F.col("rejection_reason").isNull())
+    """Write accepted and rejected rows and return them tagged.
+
+    The reason is made by a generator of one row: conditions on it are not moved below, so it is judged once per row and sink.
+    """
+    tagged = df.select("*", F.explode(F.array(reason)).alias("rejection_reason")).withColumn("accepted", F.col("rejection_reason").isNull())
     tagged.where("accepted").drop("accepted", "rejection_reason").write.parquet(accepted)
     tagged.where("not accepted").drop("accepted").write.parquet(rejected)
     return tagged
