@@ -16,7 +16,7 @@ from claimweave.plans.registry import query
 from claimweave.plans.sqltext import (
     any_sql, any_stem_sql, case_sql, count_sql, first_sql, list_sql, norm_ascii_sql, q, stems_sql, values_sql, words_sql,
 )
-from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, claims, load, scored, sentences
+from claimweave.plans.tables import CLAIMS, SCORED, SENTENCES, claims, load, scored, sentences, spread
 
 LEX = f"""lex0 AS (SELECT *, lower(text) AS low FROM claims),
 lex1 AS MATERIALIZED (SELECT *, {count_sql("low", V.STRONG_TERMS)} AS lex_strong, {count_sql("low", V.WEAK_TERMS)} AS lex_weak,
@@ -639,10 +639,11 @@ def covering_sentences(text, lo, hi):
  SELECT doc_id, count(*) AS n_shingles, min(md5(g)) AS min_digest, max(md5(g)) AS max_digest FROM s GROUP BY doc_id""",
 )
 def shingle_profile(spark, sf):
-    s = load(spark, sf, "documents").select("doc_id", F.explode(T.shingles("text", 5)).alias("g"))
-    return s.groupBy("doc_id").agg(
-        F.count("*").alias("n_shingles"), F.min(F.md5("g")).alias("min_digest"), F.max(F.md5("g")).alias("max_digest")
-    )
+    """Profiles are made where a text lies, so no shingle is sorted or shuffled; rows of one id are then added up."""
+    d = spread(load(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.array_compact(F.transform(T.shingles("text", 5), lambda x: F.md5(x))).alias("h"))
+    d = d.select("doc_id", T.bind(F.col("h"), lambda h: F.struct(F.when(F.size(h) > 0, F.size(h)).alias("n"), F.array_min(h).alias("lo"), F.array_max(h).alias("hi"))).alias("s"))
+    out = d.groupBy("doc_id").agg(F.sum(F.col("s.n").cast("bigint")).alias("n_shingles"), F.min("s.lo").alias("min_digest"), F.max("s.hi").alias("max_digest"))
+    return out.where("n_shingles is not null")  # documents without a text have none
 
 
 @query(
