@@ -177,22 +177,25 @@ SIGNAL_RE = any_sql("lower(text)", V.STRONG_TERMS + V.WEAK_TERMS)
 def harvest_tiers(spark, sf):
     """Sentences of an article against its records: positives, and the three hardest negatives.
 
-    Names of sentence and record meet in an equi-join on (article, name); sentences and records are never paired.
+    Names of sentence and record meet in equi-joins on (article, name); sentences and records are never paired. A text is judged
+    where it is read and not shuffled; the tiers are written once for both branches.
     """
     c = claims(spark, sf)
     rec = c.where(F.col("pos").isin(1, 3, 5)).select("doc_id", F.col("source_species").alias("a"), F.col("target_species").alias("b")).distinct()
-    s = c.where(T.good_sentence("text")).select("claim_id", "doc_id", "text", "source_species", "target_species")
+    signal = T.has_pattern(F.lower("text"), V.STRONG_TERMS + V.WEAK_TERMS)
+    s = c.where(T.good_sentence("text")).select(
+        "claim_id", "doc_id", "source_species", "target_species", signal.alias("signal"), F.col("text").rlike(r"[A-Z][a-z]+\s[a-z]{3,}").alias("other"), (F.size(T.words("text")) >= 12).alias("long")
+    )
     both = rec.select("doc_id", F.col("a").alias("source_species"), F.col("b").alias("target_species"), F.lit(True).alias("both"))
     one = rec.select("doc_id", F.explode(F.array("a", "b")).alias("name")).distinct()
-    names = s.select("claim_id", "doc_id", F.explode(F.array("source_species", "target_species")).alias("name"))
-    single = names.join(one, ["doc_id", "name"], "left_semi").select("claim_id").distinct().withColumn("single", F.lit(True))
-    j = s.join(both, ["doc_id", "source_species", "target_species"], "left").join(single, "claim_id", "left")
-    signal = T.has_pattern(F.lower("text"), V.STRONG_TERMS + V.WEAK_TERMS)
+    j = s.join(both, ["doc_id", "source_species", "target_species"], "left")
+    for side in ("source_species", "target_species"):
+        j = j.join(one.select("doc_id", F.col("name").alias(side), F.lit(True).alias(f"known_{side}")), ["doc_id", side], "left")
     tier = (
-        F.when(F.col("both") & signal, "positive").when(F.col("both"), "both_species").when(F.col("single"), "single_species")
-        .when(F.col("text").rlike(r"[A-Z][a-z]+\s[a-z]{3,}"), "other_species").when(F.size(T.words("text")) >= 12, "no_species")
+        F.when(F.col("both") & F.col("signal"), "positive").when(F.col("both"), "both_species")
+        .when(F.coalesce("known_source_species", "known_target_species"), "single_species").when(F.col("other"), "other_species").when(F.col("long"), "no_species")
     )
-    t = j.select("claim_id", "doc_id", tier.alias("tier"))
+    t = stage(j.select("claim_id", "doc_id", tier.alias("tier")).where("tier is not null"), "tiers")
     order = F.when(F.col("tier") == "both_species", 0).when(F.col("tier") == "other_species", 1).when(F.col("tier") == "single_species", 2).otherwise(3)
     neg = top_n(t.where("tier <> 'positive'"), ["doc_id"], [order, "claim_id"], 3).drop("rk")
     return t.where("tier = 'positive'").unionByName(neg)
