@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import fixed_values as V
@@ -68,38 +68,90 @@ def symmetric(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b"))))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected component (smallest node id in it) of every node, by alternating large-star and small-star.
+#: A key that more rows than this ask for is looked up by broadcast.
+HUB_ROWS = 100_000
 
-    Minima are aggregated with map-side combine and joined back, so a hub's neighbours are never collected;
-    every round is written to the shared folder and the loop stops when the edges are stars.
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, hubs: DataFrame | None, spread: Column, name: str) -> DataFrame:
+    """``rows`` with column ``name``: the v that ``table`` (k, v; 64-bit, k unique) has for ``key``, null without one.
+
+    ``hubs`` (k, v; none if None) has the keys that more than HUB_ROWS rows ask for, so few that they are broadcast. Their rows
+    are dealt by ``spread``, which must differ from row to row, and not all to the task of their key.
     """
+    if hubs is None:
+        return rows.join(table.select(F.col("k").alias(key), F.col("v").alias(name)), key, "left")
+    j = rows.join(F.broadcast(hubs.select(F.col("k").alias(key), F.col("v").alias("_hub"))), key, "left")
+    j = j.withColumn("_k", F.when(F.col("_hub").isNull(), F.col(key)).otherwise(spread))
+    j = j.join(table.select(F.col("k").alias("_k"), F.col("v").alias("_v")), "_k", "left")
+    return j.withColumn(name, F.coalesce("_hub", "_v")).drop("_k", "_v", "_hub")
+
+
+def number_of(node: str, seed: int) -> Column:
+    """64-bit number of a node; null has none."""
+    return F.when(F.col(node).isNotNull(), F.xxhash64(F.lit(seed), F.col(node)))
+
+
+def numbered(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct nodes (id, node) and the first seed that gives each its own number."""
+    for seed in range(20):
+        names = stage(nodes.where("node is not null").select(number_of("node", seed).alias("id"), "node").distinct(), "components-names")
+        if names.groupBy("id").count().where("count > 1").isEmpty():
+            return names, seed
+    raise RuntimeError("no seed numbers the nodes without collisions")
+
 
-    def star(e: DataFrame, small: bool) -> DataFrame:
-        # e(u, v): u with neighbour v. Small star looks at smaller neighbours only.
-        near = e.where("v < u") if small else e
-        # minima are written before the join, so that a hub's edges are dealt to several tasks
-        low = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components-low")
-        j = near.join(low, "u")
-        moved = j.where("v <> m" if small else "v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        if small:
-            moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
-        return moved.where("u <> v").distinct()
-
-    both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    state = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "components")
-    for _ in range(max_rounds):
-        large = stage(star(both(state), small=False), "components")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        state = stage(star(down, small=True), "components")
-        # done when every node but the roots has one edge, and that leads to a root
-        by_node = state.groupBy("u").agg(F.count("*").alias("n"))
-        if by_node.where("n > 1").isEmpty() and state.join(by_node.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not converge")
-    roots = state.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+def both_ways(e: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
+    """Edges (a, b) in both directions; of ``values``, none or that of a and that of b, the two change places too."""
+    turned = [F.col(c).alias(d) for c, d in zip(("b", "a", *values[::-1]), ("a", "b", *values))]
+    return e.select(F.inline(F.array(F.struct("a", "b", *values), F.struct(*turned))))
+
+
+def rank(node: str, degree: str, round_: int) -> Column:
+    """Order of the nodes in a round: by the binary length of their degree, and at random among those alike."""
+    return F.shiftleft(F.length(F.bin(degree)).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.lit(round_), F.col(node)), 7))
+
+
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Connected component (smallest node id in it) of every node, by random contraction.
+
+    Nodes are numbered by a hash that is checked for collisions. In each round every node moves to the last of itself and its
+    neighbours by ``rank``, and edges are rewritten to where their ends moved. A component loses at least its first node in a
+    round, and most of its nodes as the order is drawn anew each time, so the first rounds cost most. Then the moves are
+    followed back from the last round. Each round is written to the shared folder; edges and nodes of a hub are dealt to all
+    tasks.
+    """
+    kind = nodes.schema["node"].dataType
+    ends = edges.where("a <> b").select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    names, seed = numbered(nodes.select("node").unionByName(ends.select(F.explode(F.array("a", "b")).alias("node"))))
+    ordered = lambda e, a, b: e.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    state = stage(ordered(ends.select(number_of("a", seed).alias("a"), number_of("b", seed).alias("b")), "a", "b"), "components")
+    moves: list[tuple[DataFrame, DataFrame | None]] = []
+    while not state.isEmpty():
+        if len(moves) == max_rounds:
+            raise RuntimeError("components did not converge")
+        degree = stage(both_ways(state).groupBy(F.col("a").alias("k")).agg(F.count("*").alias("n")).select("k", "n", rank("k", "n", len(moves)).alias("v")), "components-ranks")
+        hubs, spread = degree.where(F.col("n") > HUB_ROWS), F.xxhash64("a", "b")
+        hubs = None if hubs.isEmpty() else hubs
+        ranked = looked_up(looked_up(state, "a", degree, hubs, spread, "x"), "b", degree, hubs, spread, "y")
+        first = both_ways(ranked, ("x", "y")).groupBy("a").agg(F.max_by("b", "y").alias("b"), F.max("y").alias("y"), F.max("x").alias("x"))
+        move = stage(first.select(F.col("a").alias("k"), F.when(F.col("x") > F.col("y"), F.col("a")).otherwise(F.col("b")).alias("v")), "components-moves")
+        hubs = hubs if hubs is None else move.join(F.broadcast(hubs.select("k")), "k", "left_semi")
+        moved = looked_up(looked_up(state, "a", move, hubs, spread, "x"), "b", move, hubs, spread, "y")
+        state = stage(ordered(moved, "x", "y"), "components")
+        moves.append((move, hubs))
+    if not moves:
+        return nodes.select("node", F.col("node").alias("component"))
+    root = moves.pop()[0].select("k", "v")
+    for move, hubs in reversed(moves):
+        if hubs is not None:  # only neighbours of a node, and itself, have moved to it; a node without edges in the next round stays
+            known = root.join(F.broadcast(hubs.select("k")), "k", "left_semi")
+            hubs = hubs.select("k").join(known, "k", "left").select("k", F.coalesce("v", "k").alias("v"))
+        root = stage(looked_up(move.select("k", "v"), "v", root, hubs, F.col("k"), "r").select("k", F.coalesce("r", "v").alias("v")), "components-roots")
+    members = stage(names.join(root.select(F.col("k").alias("id"), F.col("v").alias("root")), "id"), "components-members")
+    least = stage(members.groupBy(F.col("root").alias("k")).agg(F.min("node").alias("v"), F.count("*").alias("n")), "components-least")
+    found = looked_up(members.select("id", "root"), "root", least, least.where(F.col("n") > HUB_ROWS), F.col("id"), "component").select("id", "component")
+    given = nodes.select("node", number_of("node", seed).alias("id"))
+    return given.join(found, "id", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def first_category(pairs: DataFrame, relevant: list[str]) -> DataFrame:

@@ -104,3 +104,40 @@ def test_evidence_patterns_with_and_without_the_first_test(spark):
     for patterns in V.EVIDENCE_PATTERNS.values():
         rows = df.select(T.any_gated(F.lower("t"), F.col("t"), patterns, "(?i)").alias("a"), F.col("t").rlike(T.any_of(patterns, "(?i)")).alias("b")).collect()
         assert [bool(r.a) for r in rows] == [bool(r.b) for r in rows]
+
+
+def rows_read_by_one_task(spark, group: str) -> int:
+    """Most shuffled rows that one task of the group's jobs read."""
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    most = 0
+    for stage in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}:
+        tasks = store.taskList(stage, 0, 1000)
+        for k in range(tasks.size()):
+            metrics = tasks.apply(k).taskMetrics()
+            if metrics.isDefined():
+                most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+def test_hub_of_a_component_is_dealt_to_all_tasks(spark, monkeypatch):
+    from claimweave.operators import graph as G
+
+    monkeypatch.setattr(G, "HUB_ROWS", 500, raising=False)
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in held}
+    n = 8000
+    # a star whose leaves hang together in pairs, and a star apart from it
+    edges = spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(1, n, 2).selectExpr("id", "id + 1"))
+    edges = edges.union(spark.range(2 * n + 1, 3 * n).select(F.col("id"), F.lit(2 * n).cast("long")))
+    nodes = spark.range(0, 3 * n).where(f"id < {n} or id >= {2 * n}").withColumnRenamed("id", "node")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("hub", "components of stars")
+        got = {r.node: r.component for r in G.components(nodes, edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: 0 if k < n else 2 * n for k in [*range(n), *range(2 * n, 3 * n)]}
+    assert 0 < rows_read_by_one_task(spark, "hub") < n
