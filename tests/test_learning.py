@@ -20,3 +20,12 @@ def test_resumable_sink_returns_what_it_appends(spark, tmp_path):
     assert W.write_remaining(df, path, ["k"], spark) == 60
     assert W.write_remaining(df, path, ["k"], spark) == 0
     assert spark.read.parquet(path).count() == 100
+
+
+def test_classifiers_share_features_made_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    made, fits = LN.rich_features, []
+    monkeypatch.setattr(LN, "rich_features", lambda *a: fits.append(1) or made(*a))
+    rows = entry.queries()["ml_02_classifiers"](spark, "/root/testdata/sf0.001").collect()
+    assert len(fits) == 1 and {r.model for r in rows} == {"logistic", "linear_svm", "forest", "boosted"}
