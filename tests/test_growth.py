@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ import __spark_entry__ as entry
 from claimweave.functions import fixed_values as V
 from claimweave.functions import rules as RU
 from claimweave.functions import text as T
+from tools.check import TABLES, rows_of
 
 QUERIES = entry.queries()
 SF = "/root/testdata/sf0.001"
@@ -141,3 +143,30 @@ def test_hub_of_a_component_is_dealt_to_all_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {k: 0 if k < n else 2 * n for k in [*range(n), *range(2 * n, 3 * n)]}
     assert 0 < rows_read_by_one_task(spark, "hub") < n
+
+
+@pytest.mark.parametrize("name, joins", [("tru_01_claim_trust", 2), ("tru_05_triple_trust", 0), ("tru_06_document_pairs", 2)])
+def test_claims_are_shuffled_once_for_all_of_a_pair(spark, name, joins):
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    assert p.count("SortMergeJoin") <= joins and "SortMergeJoin [paper" not in p  # papers are few values, and null
+    assert joins or p.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["tru_01_claim_trust", "tru_05_triple_trust", "tru_06_document_pairs"])
+def test_trust_of_odd_tables(spark, tmp_path, name):
+    """Orders listed twice, parts and line keys without a value: as the SQL has it."""
+    con, sf = duckdb.connect(), str(tmp_path)
+    odd = {"orders": "select * from t union all select * from t where o_orderkey % 9 = 0", "part": "select * replace (case when p_partkey % 5 <> 0 then p_name end as p_name) from t",
+           "lineitem": "select * replace (case when l_linenumber <> 4 then l_orderkey end as l_orderkey) from t"}
+    for t in TABLES:
+        con.execute(f"copy (with t as (select * from '{SF}/{t}.parquet') {odd.get(t, 'select * from t')}) to '{sf}/{t}.parquet' (format parquet)")
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cur = con.execute(entry.oracle_sql()[name])
+    want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    df = QUERIES[name](spark, sf)
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
