@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from claimweave.functions.text import nullify
+from claimweave.functions.text import bind, nullify
 
 INTERACTION_COLUMNS = [
     "sourceTaxonName", "sourceTaxonKingdomName", "targetTaxonName", "targetTaxonKingdomName",
@@ -182,15 +182,37 @@ FLAT_ENTRY = r'^<ref( [a-z]+="[^"<&\t\r\n]*")*>(<([a-z]+)>[^<&\r]*</\3>)*</ref>$
 FLAT_LENGTH = 4000
 
 
-def _entry_part(name: str) -> Column:
+def _entry_part(name: str, entry: Column | None = None, flat: Column | None = None) -> Column:
     """``/ref/@id`` or the first ``/ref/name`` of ``entry``, null when missing or empty.
 
     Building a document costs far more than a pattern, so only entries that are not ``flat`` are parsed.
     """
+    entry, flat = F.col("entry") if entry is None else entry, F.col("flat") if flat is None else flat
     cut = rf' {name[1:]}="([^"]*)"' if name.startswith("@") else f"<{name}>([^<]*)</{name}>"
-    head = F.substring_index("entry", ">", 1) if name.startswith("@") else F.col("entry")
-    parsed = F.expr(f"xpath_string(entry, '/ref/{name}')")
-    return F.nullif(F.when(F.col("flat"), F.regexp_extract(head, cut, 1)).otherwise(parsed), F.lit(""))
+    head = F.substring_index(entry, ">", 1) if name.startswith("@") else entry
+    parsed = F.xpath_string(entry, F.lit(f"/ref/{name}"))
+    return F.nullif(F.when(flat, F.regexp_extract(head, cut, 1)).otherwise(parsed), F.lit(""))
+
+
+def _ranked(keys: list[Column]) -> Column:
+    """Keys with their rank, from 1; those that are null or empty are none."""
+    return F.filter(F.array(*[F.struct(F.lit(rank).alias("rank"), k.alias("key")) for rank, k in enumerate(keys, 1)]), lambda k: k["key"] != "")
+
+
+def _reference(entry: Column) -> Column:
+    """(rid, keys) of an entry: DOI, DOI in its text, title, surname and year."""
+
+    def keys(r: Column) -> Column:
+        text_doi = F.regexp_replace(F.regexp_extract(r["text"], r"10\.\d{4,}/\S+", 0), r"[.,;)]+$", "")
+        title, year = F.regexp_extract(r["text"], r"\. ([^.]+)\. ", 1), F.regexp_extract(r["text"], r"\b((?:19|20)\d\d)\b", 1)
+        author_year = F.when(year != "", F.concat_ws("|", F.lower(F.regexp_extract(r["text"], r"^(\p{L}+)", 1)), year))
+        return F.struct(r["rid"].alias("rid"), _ranked([r["doi"], F.lower(text_doi), F.lower(title), author_year]).alias("keys"))
+
+    def parts(e: Column) -> Column:
+        part = lambda name: _entry_part(name, e["entry"], e["flat"])
+        return bind(F.struct(part("@id").alias("rid"), F.lower(part("doi")).alias("doi"), part("mixed").alias("text")), keys)
+
+    return bind(F.struct(entry.alias("entry"), ((F.length(entry) < FLAT_LENGTH) & entry.rlike(FLAT_ENTRY)).alias("flat")), parts)
 
 
 def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataFrame:
@@ -199,34 +221,26 @@ def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataF
     ``articles``: doc_id, xml. A reference list entry is matched on DOI, then DOI in its text, then title,
     then surname and year; in the body each ``<xref rid=…>`` becomes the marker ``⟦rid⟧`` and the sentence
     holding the marker is returned. ``targets``: target_id, doi, title, surname, year.
+
+    Sentences and the references they cite meet inside the article, so only keys of cited references are shuffled, with
+    their sentence, and only those that name a target again.
     """
-    doc_id = F.col("doc_id")
     # entry by entry, so that one without a part does not take it from the next
-    entries = articles.select(doc_id, F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<ref(?:\s[^>]*)?>.*?</ref>"), F.lit(0))).alias("entry"))
-    entries = entries.withColumn("flat", (F.length("entry") < FLAT_LENGTH) & F.col("entry").rlike(FLAT_ENTRY))
-    refs = entries.select("doc_id", _entry_part("@id").alias("rid"), F.lower(_entry_part("doi")).alias("ref_doi"), _entry_part("mixed").alias("ref_text"))
-    refs = refs.withColumn("text_doi", F.lower(F.regexp_replace(F.regexp_extract("ref_text", r"10\.\d{4,}/\S+", 0), r"[.,;)]+$", "")))
-    refs = refs.withColumn("title_key", F.lower(F.regexp_extract("ref_text", r"\. ([^.]+)\. ", 1)))
-    refs = refs.withColumn("author_year", F.concat_ws("|", F.lower(F.regexp_extract("ref_text", r"^(\p{L}+)", 1)), F.regexp_extract("ref_text", r"\b((?:19|20)\d\d)\b", 1)))
-    ways = [
-        (1, "ref_doi", F.lower("doi")),
-        (2, "text_doi", F.lower("doi")),
-        (3, "title_key", F.lower("title")),
-        (4, "author_year", F.concat_ws("|", F.lower("surname"), F.col("year").cast("string"))),
-    ]
-    keys = lambda cols: F.inline(F.array(*[F.struct(F.lit(rank).alias("rank"), k.alias("key")) for (rank, _, _), k in zip(ways, cols, strict=True)]))
-    known = refs.select("doc_id", "rid", keys([F.col(left) for _, left, _ in ways])).where("key <> ''")
-    hits = known.join(targets.select("target_id", keys([right for _, _, right in ways])), ["rank", "key"])
-    best = hits.groupBy("doc_id", "rid").agg(
-        F.min_by("target_id", F.struct("rank", "target_id")).alias("target_id"), F.min("rank").alias("matched_by")
-    )
+    entries = F.regexp_extract_all("xml", F.lit(r"(?s)<ref(?:\s[^>]*)?>.*?</ref>"), F.lit(0))
     body = F.regexp_extract("xml", r"(?s)<body>(.*)</body>", 1)
     marked = F.regexp_replace(body, r"<xref rid=\"([^\"]+)\"[^>]*>[^<]*</xref>", "⟦$1⟧")
-    plain = articles.select(doc_id, F.trim(F.regexp_replace(F.regexp_replace(marked, "<[^>]+>", " "), r"\s+", " ")).alias("text"))
-    cited = sentences(plain, "text", ["doc_id"]).select(
-        "doc_id", "sent_id", "sentence", F.explode(F.regexp_extract_all("sentence", F.lit("⟦([^⟧]+)⟧"), F.lit(1))).alias("rid")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(marked, "<[^>]+>", " "), r"\s+", " "))
+    read = articles.select("doc_id", F.transform(entries, _reference).alias("refs"), plain.alias("text"))
+    cited = sentences(read, "text", ["doc_id", "refs"]).select(
+        "doc_id", "sent_id", "sentence", "refs", F.explode(F.regexp_extract_all("sentence", F.lit("⟦([^⟧]+)⟧"), F.lit(1))).alias("rid")
     )
-    return cited.join(best, ["doc_id", "rid"])
+    own = F.flatten(F.transform(F.filter("refs", lambda r: r["rid"] == F.col("rid")), lambda r: r["keys"]))
+    asked = cited.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "rid", "sent_id", "sentence", own.alias("own"))
+    asked = asked.select("_row", "doc_id", "rid", "sent_id", "sentence", F.inline("own"))
+    names = _ranked([F.lower("doi"), F.lower("doi"), F.lower("title"), F.concat_ws("|", F.lower("surname"), F.col("year").cast("string"))])
+    index = targets.select("target_id", F.inline(names)).groupBy("rank", "key").agg(F.min("target_id").alias("target_id"))
+    best = asked.join(index, ["rank", "key"]).groupBy("_row", "doc_id", "rid", "sent_id", "sentence").agg(F.min(F.struct("rank", "target_id")).alias("b"))
+    return best.select("doc_id", "rid", "sent_id", "sentence", F.col("b.target_id").alias("target_id"), F.col("b.rank").alias("matched_by"))
 
 
 def assignments(df: DataFrame, layout: str) -> DataFrame:

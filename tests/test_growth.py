@@ -170,3 +170,23 @@ def test_trust_of_odd_tables(spark, tmp_path, name):
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     df = QUERIES[name](spark, sf)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_articles_are_read_once_for_references_and_sentences(spark):
+    p = plan(QUERIES["src_13_citation_passages"](spark, SF))
+    assert p.count("<ref-list>") == 1 and p.count("Join") == 1
+
+
+def test_citations_of_odd_articles(spark):
+    from claimweave.functions.text import sentences_of
+    from claimweave.sources import readers as RD
+
+    entry_of = lambda rid, rest: f'<ref id="{rid}">{rest}</ref>'
+    body = 'One thing was seen <xref rid="a">1</xref> and again <xref rid="a">1</xref> here. Another was not <xref rid="b">2</xref> seen, <xref rid="z">9</xref>.'
+    twice = entry_of("a", "<mixed>See 10.5555/two.</mixed>") + entry_of("a", "<doi>10.5555/ONE</doi>") + entry_of("b", "<mixed>Plain &amp; no year</mixed>") + "<ref><doi>10.5555/one</doi></ref>"
+    other = entry_of("b", "<mixed>Someone 1999. A title here. Journal.</mixed>")
+    rows = [(k, f"<article><body><p>{body}</p></body><ref-list>{refs}</ref-list></article>") for k, refs in (("x", twice), ("x", twice), ("y", other), ("none", ""))] + [("null", None)]
+    targets = [("t2", "10.5555/One", None, None, None), ("t1", "10.5555/one", "No title", "Someone", 1999), ("t3", "10.5555/two", "A title here", None, None), ("t4", None, None, "Plain", None)]
+    df = RD.citing_passages(spark.createDataFrame(rows, "doc_id string, xml string"), spark.createDataFrame(targets, "target_id string, doi string, title string, surname string, year int"), sentences_of)
+    got = sorted((r.doc_id, r.rid, r.target_id, r.matched_by, r.sent_id) for r in df.collect())
+    assert got == [("x", "a", "t1", 1, 0)] * 4 + [("y", "b", "t3", 3, 1)]
