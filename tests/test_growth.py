@@ -190,3 +190,28 @@ def test_citations_of_odd_articles(spark):
     df = RD.citing_passages(spark.createDataFrame(rows, "doc_id string, xml string"), spark.createDataFrame(targets, "target_id string, doi string, title string, surname string, year int"), sentences_of)
     got = sorted((r.doc_id, r.rid, r.target_id, r.matched_by, r.sent_id) for r in df.collect())
     assert got == [("x", "a", "t1", 1, 0)] * 4 + [("y", "b", "t3", 3, 1)]
+
+
+@pytest.mark.parametrize("name", ["join_20_near_duplicates", "comp_06_contamination_report"])
+def test_words_and_grams_of_texts_are_no_rows(spark, name):
+    p = plan(QUERIES[name](spark, SF))
+    assert "Generate" not in p and "CoGroup" in p
+
+
+def test_near_duplicates_in_small_parts(spark, monkeypatch):
+    from claimweave.operators import leakage as L
+    from tests.test_operators import cosine_by_hand
+
+    monkeypatch.setattr(L, "PART_CHARS", 60)
+    monkeypatch.setattr(L, "TABLE_CELLS", 50)
+    monkeypatch.setattr(L, "BLOCK_TEXTS", 2)
+    base = ["The wasp lays its eggs", "a beetle eats\tleaves and leaves", "ÉTÉ à la mer", "x", "zebra zebra zebra"]
+    test = [*base, "nothing of it"]
+    train = [b + extra for b in base for extra in ("", " again", "\n\nand once more in spring")] + ["", " \r\n "]
+    sims = cosine_by_hand(test, train)
+    t = spark.createDataFrame(list(enumerate(test)) + [(99, None)], "tid int, text string")
+    d = spark.createDataFrame(list(enumerate(train)), "did int, text string")
+    got = {r.tid: (r.did, r.similarity) for r in L.near_duplicates(t, d.unionByName(d.where("did > 90")), "tid", "did", "text", 0.4).collect()}
+    assert set(got) >= {0, 1, 2, 3, 4} and all(got[k][0] == 3 * k for k in range(5))
+    # the row without a text counts among all rows, so weights differ a little
+    assert all(v[1] == pytest.approx(max(sims[k]), abs=0.02) for k, v in got.items())
