@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.functions.text import bind, nullify
+from claimweave.session import stage
 
 INTERACTION_COLUMNS = [
     "sourceTaxonName", "sourceTaxonKingdomName", "targetTaxonName", "targetTaxonKingdomName",
@@ -239,7 +240,8 @@ def citing_passages(articles: DataFrame, targets: DataFrame, sentences) -> DataF
     asked = asked.select("_row", "doc_id", "rid", "sent_id", "sentence", F.inline("own"))
     names = _ranked([F.lower("doi"), F.lower("doi"), F.lower("title"), F.concat_ws("|", F.lower("surname"), F.col("year").cast("string"))])
     index = targets.select("target_id", F.inline(names)).groupBy("rank", "key").agg(F.min("target_id").alias("target_id"))
-    best = asked.join(index, ["rank", "key"]).groupBy("_row", "doc_id", "rid", "sent_id", "sentence").agg(F.min(F.struct("rank", "target_id")).alias("b"))
+    # written, so that its size is known: guessed from the columns read, a large table would be broadcast
+    best = asked.join(stage(index, "citation-keys"), ["rank", "key"]).groupBy("_row", "doc_id", "rid", "sent_id", "sentence").agg(F.min(F.struct("rank", "target_id")).alias("b"))
     return best.select("doc_id", "rid", "sent_id", "sentence", F.col("b.target_id").alias("target_id"), F.col("b.rank").alias("matched_by"))
 
 

@@ -177,6 +177,15 @@ def test_articles_are_read_once_for_references_and_sentences(spark):
     assert p.count("<ref-list>") == 1 and p.count("Join") == 1
 
 
+def test_keys_of_citation_targets_have_a_measured_size(spark, monkeypatch):
+    from claimweave.sources import readers as RD
+
+    put, seen = RD.stage, []
+    monkeypatch.setattr(RD, "stage", lambda df, name: seen.append(put(df, name)) or seen[-1])
+    QUERIES["src_13_citation_passages"](spark, SF)
+    assert len(seen) == 1 and seen[0].columns == ["rank", "key", "target_id"]
+
+
 def test_citations_of_odd_articles(spark):
     from claimweave.functions.text import sentences_of
     from claimweave.sources import readers as RD
